@@ -44,7 +44,7 @@ def with_prefix_sums(rows: DataFrame, order: Sequence[Column], size: str) -> Dat
     up, and each range adds its own running sums to where it starts. Rows that tie in the order
     are told apart by their place in the input, which can only exchange rows that are alike.
     """
-    tied = rows.withColumn("_tie", F.monotonically_increasing_id())
+    tied = written(rows.withColumn("_tie", F.monotonically_increasing_id()), "rows")  # ranges are found by sampling, which reads the rows once more
     keys = [*order, F.col("_tie").asc()]
     placed = written(tied.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "prefix")
     totals = placed.groupBy("_part").agg(F.sum(size).alias("_bytes"), F.count(F.lit(1)).alias("_rows"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from kelpforge.llm import mixing, sharding
+from kelpforge.llm import bpe, mixing, pii, sharding, token_files, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op4_token_files": token_files.op4_token_files,
+    "op5_pii": pii.op5_pii,
+    "op6_warc": warc.op6_warc,
     "op8_mixing": mixing.op8_mixing,
+    "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
