@@ -54,15 +54,17 @@ class PairTable:
         return out.reshape(shape)
 
 
-class Vocabulary:
+def read_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a .tiktoken file: base64 of the bytes, a space, the rank."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
+class Vocabulary:
+    """Ranks of tokens, and of pairs that merge into one."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
+        self.ranks = read_ranks(path)
         pairs, ranks = [], []
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
@@ -160,8 +162,18 @@ class Vocabulary:
                 lowest[t] = ranks[t * block : (t + 1) * block].min()
         return ids[ids >= 0].astype("<u4").tobytes()
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+_tokens: dict[str, list[bytes]] = {}
+
+
+def decode_ids(ids: bytes, path: str) -> bytes:
+    """What little-endian unsigned 32-bit ids stand for. The tokens are loaded once per Python process."""
+    if path not in _tokens:
+        ranks = read_ranks(path)
+        _tokens[path] = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            _tokens[path][rank] = token
+    return b"".join(map(_tokens[path].__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 _loaded: dict[tuple[str, str], tuple[Vocabulary, Memo]] = {}
@@ -204,14 +216,15 @@ def encode_bpe(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(encode, f"{id_col} {kind}, ids binary")
 
 
-def decode_bpe(encoded: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
+def decode_bpe(encoded: DataFrame, ranks: str, id_col: str = "doc_id") -> DataFrame:
     """Adds decoded (binary) to what encode_bpe returns."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _vocabulary(ranks, pattern)[0]
-            got = [v.decode(x.as_py()) for x in batch["ids"]]
-            yield pa.RecordBatch.from_arrays([batch[id_col], batch["ids"], pa.array(got, pa.binary())], names=[id_col, "ids", "decoded"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                got = [decode_ids(x.as_py(), ranks) for x in part["ids"]]
+                yield pa.RecordBatch.from_arrays([part[id_col], part["ids"], pa.array(got, pa.binary())], names=[id_col, "ids", "decoded"])
 
     kind = dict(encoded.dtypes)[id_col]
     return encoded.select(id_col, "ids").mapInArrow(decode, f"{id_col} {kind}, ids binary, decoded binary")
@@ -223,7 +236,7 @@ def digests(docs: DataFrame, ranks: str | None = None, pattern: str | None = Non
         import public_tokenizers as public
 
         ranks, pattern = ranks or public.path("byte_bpe_multi_50k.tiktoken"), pattern or public.PATTERN
-    d = decode_bpe(encode_bpe(docs, ranks, pattern), ranks, pattern)
+    d = decode_bpe(encode_bpe(docs, ranks, pattern), ranks)
     return d.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from kelpforge.llm import bpe, mixing, pii, sharding, token_files, warc
+from kelpforge.llm import bpe, jaccard, jpeg, mixing, pii, quality, sharding, token_files, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_progressive_jpeg": jpeg.op2_progressive_jpeg,
     "op4_token_files": token_files.op4_token_files,
     "op5_pii": pii.op5_pii,
     "op6_warc": warc.op6_warc,
+    "op7_quality": quality.op7_quality,
     "op8_mixing": mixing.op8_mixing,
     "op9_bpe": bpe.op9_bpe,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {}
