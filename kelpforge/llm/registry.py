@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kelpforge.llm import bpe, jaccard, jpeg, mixing, pii, quality, sharding, token_files, warc
+from kelpforge.llm import bpe, embeddings, jaccard, jpeg, mixing, pii, quality, sharding, token_files, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_progressive_jpeg": jpeg.op2_progressive_jpeg,
+    "op3_embedding_copies": embeddings.op3_embedding_copies,
     "op4_token_files": token_files.op4_token_files,
     "op5_pii": pii.op5_pii,
     "op6_warc": warc.op6_warc,
