@@ -131,5 +131,30 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     )
 
 
+def mix_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: docs with each text cut down to the words that mix_sources takes of it; what it takes twice is a second row.
+
+    Blocks keep the white space between their words. Documents of which nothing is taken, and so those without words, are gone; all
+    other columns stay as they are. Rows that repeat an id are told apart by a hash of their texts; those alike in both may exchange places.
+    """
+    rows = docs.withColumn("_hash", F.xxhash64(text_col))
+    plan = placed_documents(rows, mix, id_col, text_col, source_col, carry=("_hash",)).withColumnRenamed("_of__hash", "_hash")
+    plan = plan.where((F.col("_quota") > 0) & (F.col("_size") > 0)).select("_id", "_hash", "_at", "_size", "_words", "_quota", "_blocks", "_offset")
+    plan = plan.withColumnsRenamed({"_id": "_plan_id", "_hash": "_plan_hash"})
+    same = F.col("_plan_id").eqNullSafe(F.col(id_col)) & (F.col("_plan_hash") == F.col("_hash")) & (F.col("_plan_row") == F.col("_row"))
+    own = Window.partitionBy(id_col, "_hash").orderBy(F.lit(0))
+    plan = plan.withColumn("_plan_row", F.row_number().over(Window.partitionBy("_plan_id", "_plan_hash").orderBy("_at")))
+    d = rows.withColumn("_row", F.row_number().over(own)).join(plan, same)
+    spaced = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+    d = d.withColumn("_pieces", F.regexp_extract_all(text_col, F.lit(spaced), F.lit(0)))
+    d = d.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("(_quota + _blocks - 1) div _blocks"))))
+    chosen = """filter(sequence(_at div _words, (_at + _size - 1) div _words), b ->
+        (cast(_quota % _blocks as decimal(19,0)) * cast(b as decimal(19,0)) + cast(_offset as decimal(19,0))) % cast(_blocks as decimal(19,0)) >= _blocks - _quota % _blocks)"""
+    part = "slice(_pieces, cast(greatest(b * _words - _at, 0) + 1 as int), cast(least((b + 1) * _words - _at, _size) - greatest(b * _words - _at, 0) as int))"
+    cut = F.expr(f"array_join(transform({chosen}, b -> array_join({part}, '')), '')")
+    d = d.withColumn(text_col, F.when(F.col("_time") <= F.expr("_quota div _blocks"), F.col(text_col)).otherwise(cut))
+    return d.where(F.octet_length(text_col) > 0).select(*docs.columns)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
