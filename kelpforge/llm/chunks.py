@@ -25,20 +25,20 @@ def split_parts(text: str) -> list[str]:
 
 
 class Memo:
-    """ids (bytes, four for each id) of parts. encode: gives the ids of each of a list of strings."""
+    """ids (bytes, four for each id) of parts. encode: gives the ids of each of a list of strings; encode_parts, if given, does so for parts with the space before them."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]]):
-        self.encode, self.known = encode, {}
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], encode_parts: Callable[[list[str]], Iterable[bytes]] | None = None, entries: int = MEMO_ENTRIES):
+        self.encode, self.encode_parts, self.entries, self.known = encode, encode_parts or encode, entries, {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
         split = [split_parts(t) for t in texts]
-        if len(self.known) > MEMO_ENTRIES:
+        if len(self.known) > self.entries:
             self.known = {}
         wanted: set[str] = set()
         for parts in split:
             wanted.update(parts[1:])
         new = [p for p in wanted if p not in self.known]
-        got = dict(zip(new, self.encode([" " + p for p in new]), strict=True)) if new else {}
+        got = dict(zip(new, self.encode_parts([" " + p for p in new]), strict=True)) if new else {}
         heads = self.encode([parts[0] for parts in split])
         known = self.known
         known.update((p, ids) for p, ids in got.items() if len(p) <= MEMO_CHARS)

@@ -57,7 +57,7 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
         lowest = both.groupBy("_a").agg(F.least(F.min("_b"), F.first("_a")).alias("_m"))
-        large = both.where("_b > _a").join(lowest, "_a").select(F.col("_b").alias("_a"), F.col("_m").alias("_b")).where("_a != _b").distinct()
+        large = both.where("_b > _a").join(lowest, "_a").select(F.col("_b").alias("_a"), F.col("_m").alias("_b")).where("_a != _b")
         lowest = large.groupBy("_a").agg(F.min("_b").alias("_m"))
         small = large.join(lowest, "_a")
         small = small.select(F.col("_b").alias("_a"), F.col("_m").alias("_b")).where("_a != _b").unionByName(lowest.select("_a", F.col("_m").alias("_b"))).distinct()

@@ -3,9 +3,10 @@
 1. Texts become sets of shingles; equal sets become one class. How many texts hold a shingle is counted, over all texts, in a
    sketch of fixed size. Any order of shingles would give right results; this one puts rare shingles first.
 2. Each class sends its prefix: of n shingles, the n - ceil(t n) + 1 rarest. Two sets of similarity t share one at least.
-3. Classes that share a shingle meet. A long run of them is not paired off: each is tested against the first of its run of
-   fitting lengths, which links most near copies at once. Classes so linked need no more tests among each other; what is left are
-   pairs across components, and those are all tested. So no link between different components is lost, and components are exact.
+3. Classes that share a shingle meet. A run of them is not paired off at once: each is tested against the first of its run of
+   fitting lengths, which links most near copies. Classes so linked need no more tests among each other; what is left are
+   pairs across components, and those are all tested, so that components are exact: pair by pair where few classes share a shingle,
+   and in blocks of families where many do, without a row for each pair.
 4. A pair is verified by the whole texts of one document of each class.
 """
 
@@ -23,23 +24,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from kelpforge.llm.common import written
-from kelpforge.llm.components import connected_components, forest_edges
+from kelpforge.llm.components import Forest, connected_components, forest_edges
 from kelpforge.llm.shingles import class_of, mixed, shingle_sets
 
 #: Places in the signature that the suffix filter compares.
 BUCKETS = 64
 #: The sketch is summed up in so many parts.
 CHUNKS = 64
+#: Nodes that a task remembers before it forgets which links it has passed on.
+FOREST = 500_000
 
 
 @dataclass(frozen=True)
 class Join:
     """percent: 100 * intersection >= percent * union links two sets. sketch_bits: the sketch has 2 ** sketch_bits counters of four bytes,
-    which every task gets. hot: classes that share a shingle, by the sketch, beyond which their run is split."""
+    which every task gets. hot: classes that share a shingle, by the sketch, beyond which their run is split. crowd: classes that share a shingle, up to which
+    they are paired off; beyond, they are compared in blocks of so many shingles each (block)."""
 
     percent: int = 75
-    sketch_bits: int = 22
+    sketch_bits: int = 21
     hot: int = 20_000
+    crowd: int = 64
+    block: int = 400_000
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -48,7 +54,8 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    return shingle_sets(batch["_text"].cast(pa.binary()).to_pylist())
+    for at in range(0, batch.num_rows, 500):  # not all texts of a batch at once
+        yield from shingle_sets(batch["_text"].slice(at, 500).cast(pa.binary()).to_pylist())
 
 
 def _signature(s: np.ndarray) -> bytes:
@@ -158,13 +165,14 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, how: Join) -> DataFrame:
 def runs(sent: DataFrame, how: Join) -> DataFrame:
     """What is left of the prefixes where two classes or more share a shingle, with the class that leads the run: _class_b, _n_b, _at_b.
 
-    Each partition is sorted by shingle and size and read as a stream; a leader holds for the sizes that fit its own.
+    Each partition is sorted by shingle, size and place, and read as a stream; a leader holds for the sizes that fit its own. Of equal
+    sizes the one with the fewest rarer shingles leads: it is likely to be the original of its copies.
     """
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, cut_run = None, None
         for batch in batches:
-            x = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("_token", "_salt", "_n", "_class", "_at")])
+            x = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("_token", "_salt", "_n", "_at", "_class")])
             x = x if held is None else np.concatenate([held, x], axis=1)
             # the last run may go on, so it waits for the next batch; a very long one is led in pieces
             change = np.flatnonzero((x[:2, 1:] != x[:2, :-1]).any(axis=0)) + 1
@@ -180,7 +188,7 @@ def runs(sent: DataFrame, how: Join) -> DataFrame:
 
     def led(x: np.ndarray, cut_run: tuple | None) -> pa.RecordBatch:
         same = np.zeros(x.shape[1], bool)
-        same[1:] = (x[:4, 1:] == x[:4, :-1]).all(axis=0)
+        same[1:] = (x[:, 1:] == x[:, :-1]).all(axis=0)
         x = x[:, ~same]  # a class that came from several tasks
         new = np.ones(x.shape[1], bool)
         new[1:] = (x[:2, 1:] != x[:2, :-1]).any(axis=0)
@@ -200,9 +208,9 @@ def runs(sent: DataFrame, how: Join) -> DataFrame:
             first[1:] &= ~(off[:-1] & (leader[1:] == leader[:-1]))
             leader = np.where(off, np.maximum.accumulate(np.where(first, place, 0)), leader)
         b = x[:, leader]
-        return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[3]), pa.array(x[2].astype(np.int32)), pa.array(x[4].astype(np.int32)), pa.array(b[3]), pa.array(b[2].astype(np.int32)), pa.array(b[4].astype(np.int32))], names=["_token", "_class", "_n", "_at", "_class_b", "_n_b", "_at_b"])
+        return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[4]), pa.array(x[2].astype(np.int32)), pa.array(x[3].astype(np.int32)), pa.array(b[4]), pa.array(b[2].astype(np.int32)), pa.array(b[3].astype(np.int32))], names=["_token", "_class", "_n", "_at", "_class_b", "_n_b", "_at_b"])
 
-    order = ["_token", "_salt", "_n", "_class"]
+    order = ["_token", "_salt", "_n", "_at", "_class"]
     return sent.repartition("_token", "_salt").sortWithinPartitions(*order).mapInArrow(lead, "_token long, _class long, _n int, _at int, _class_b long, _n_b int, _at_b int")
 
 
@@ -229,7 +237,7 @@ def _bound(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
-    """Links _a, _b (documents that stand for their classes) among the pairs (_class, _class_b, _n, _n_b): suffix filter, then the whole texts."""
+    """Links _a, _b (documents that stand for their classes) among the pairs (_class, _class_b, _n, _n_b): suffix filter, then the whole texts. Enough links to connect all that is linked."""
     known = classes.select("_class", "_rep", "_signature")
     p = pairs.join(known, "_class").withColumnsRenamed({"_rep": "_a", "_signature": "_sa"})
     p = p.join(known.withColumnsRenamed({"_class": "_class_b", "_rep": "_b", "_signature": "_sb"}), "_class_b")
@@ -239,31 +247,128 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, how: Join) -
     p = p.join(docs.select(F.col("_id").alias("_b"), F.col("_text").alias("_tb")), "_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()  # links that close a circle are not needed
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                keep = []
+            for at in range(0, batch.num_rows, 500):
+                part, keep = batch.slice(at, 500), []
+                if len(forest.up) > FOREST:
+                    forest = Forest()
                 left, right = (shingle_sets([t.as_py().encode() for t in part[c]]) for c in ("_ta", "_tb"))
-                for c, d, x, y in zip(part["_class"].to_pylist(), part["_class_b"].to_pylist(), left, right, strict=True):
+                named = (part[k].to_pylist() for k in ("_class", "_class_b", "_a", "_b"))
+                for c, d, a, b, x, y in zip(*named, left, right, strict=True):
                     # a row that repeats an id may have another text
                     both = np.intersect1d(x, y, assume_unique=True).size if class_of(x) == c and class_of(y) == d else 0
-                    keep.append(both > 0 and 100 * both >= how.percent * (len(x) + len(y) - both))
+                    keep.append(both > 0 and 100 * both >= how.percent * (len(x) + len(y) - both) and forest.join(a, b))
                 yield part.select(["_a", "_b"]).filter(pa.array(keep, pa.bool_()))
 
     return p.mapInArrow(verify, "_a long, _b long")
 
 
-def across(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes that share a shingle and lie in different components. roots: _class, _root of all classes.
-
-    Shingles whose classes all lie in one component are left out first; the others' classes are joined by the shingle.
-    """
+def undecided(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of shingles whose classes lie in different components, with _root, and for each shingle _size (its rows) and _lead (one of its classes). roots: _class, _root of all classes."""
     s = shared.select("_token", "_class", "_n", "_at").join(roots, "_class")
-    mixed = s.groupBy("_token").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo != _hi").select("_token")
-    s = s.join(mixed, "_token")
+    mixed_ = s.groupBy("_token").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count(F.lit(1)).alias("_size"), F.min("_class").alias("_lead")).where("_lo != _hi")
+    return written(s.join(mixed_.select("_token", "_size", "_lead"), "_token"), "undecided")
+
+
+def across(s: DataFrame, how: Join) -> DataFrame:
+    """All pairs of classes of different components that share a shingle with few others: a row gives rise to how.crowd pairs at most."""
+    s = s.where(F.col("_size") <= how.crowd).select("_token", "_class", "_n", "_at", "_root")
     b = s.select("_token", *[F.col(c).alias(f"{c}_b") for c in ("_class", "_n", "_at", "_root")])
     ordered = F.expr("_root != _root_b and (_n_b < _n or (_n_b = _n and _class_b < _class))")
-    return s.join(b, "_token").where(ordered & _may_link("_n", "_n_b", "_at", "_at_b", percent)).select("_class", "_class_b", "_n", "_n_b", "_at", "_at_b")
+    return s.join(b, "_token").where(ordered & _may_link("_n", "_n_b", "_at", "_at_b", how.percent)).select("_class", "_class_b", "_n", "_n_b", "_at", "_at_b")
+
+
+def within_families(s: DataFrame, classes: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
+    """Links _a, _b between components among classes that share a shingle with many others.
+
+    Classes that crowded shingles connect are one family. A family is dealt out into blocks, every two blocks meet once, and overlaps
+    of all their sets are counted by matrix products; only links that join components leave the task.
+    """
+    crowded = s.where(F.col("_size") > how.crowd)
+    family = connected_components(forest_edges(crowded.select(F.col("_class").alias("_a"), F.col("_lead").alias("_b")))).withColumnRenamed("_root", "_family")
+    m = crowded.select("_class", "_n", "_root").distinct().join(family, F.col("_class") == F.col("_node")).drop("_node")
+    sizes = m.groupBy("_family").agg(F.expr(f"(sum(_n) + {how.block} - 1) div {how.block}").alias("_blocks"))
+    m = m.join(sizes, "_family").withColumn("_own", F.pmod(F.xxhash64("_class"), "_blocks"))
+    m = m.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    m = m.select("_family", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"), (F.col("_own") > F.col("_other")).cast("int").alias("_side"), "_class", "_root")
+    m = m.join(classes.select("_class", "_rep"), "_class").join(docs.select(F.col("_id").alias("_rep"), "_text"), "_rep")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_runs(batches, ["_family", "_lo", "_hi"]):
+            sets = list(_sets(rows))
+            ok = np.array([class_of(x) == c for x, c in zip(sets, rows["_class"].to_pylist(), strict=True)])  # a row that repeats an id may have another text
+            at = np.flatnonzero(ok)
+            rep, root, side = (rows[c].to_numpy()[at] for c in ("_rep", "_root", "_side"))
+            first, second = (at[side == 0], at[side == 1]) if rows["_lo"][0] != rows["_hi"][0] else (at, at)
+            if len(first) and len(second):
+                near = _linked([sets[i] for i in first], [sets[i] for i in second], how.percent)
+                yield _spanning(near, *(x[np.searchsorted(at, side_)] for side_ in (first, second) for x in (rep, root)))
+
+    place = ["_family", "_lo", "_hi"]
+    return m.repartition(*place).sortWithinPartitions(*place).mapInArrow(link, "_a long, _b long")
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of equal keys, one run after the other, from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        x = np.stack([batch[k].to_numpy() for k in keys])
+        starts = [0, *(np.flatnonzero((x[:, 1:] != x[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for i, j in zip(starts, starts[1:], strict=False):
+            part = batch.slice(i, j - i)
+            if held and part.num_rows and any(held[0][k][0] != part[k][0] for k in keys):
+                yield _joined(held)
+                held = []
+            if part.num_rows:
+                held.append(part)
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def _linked(one: list[np.ndarray], other: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of one and other are linked: shingles that many sets have are counted by a matrix product, others set by set."""
+    sizes = [np.array([len(s) for s in some]) for some in (one, other)]
+    flat, counts = np.unique(np.concatenate([*one, *other]), return_counts=True)
+    often = flat[counts > 32]
+    both = np.zeros((len(one), len(other)), np.float32)
+    for at in range(0, len(often), 4096):
+        some = often[at : at + 4096]
+        left, right = (np.stack([np.isin(some, s, assume_unique=True) for s in part]).astype(np.float32) for part in (one, other))
+        both += left @ right.T
+    few = flat[(counts <= 32) & (counts > 1)]
+    where = [[], []]
+    for side, part in enumerate((one, other)):
+        for i, s in enumerate(part):
+            k = np.searchsorted(few, s)
+            k = k[few[np.minimum(k, len(few) - 1)] == s] if len(few) else k[:0]
+            where[side].append(np.stack([k, np.full(len(k), i)]))
+    (lk, li), (rk, ri) = (np.concatenate(w, axis=1) for w in where)
+    order, start = np.argsort(rk, kind="stable"), None
+    rk, ri = rk[order], ri[order]
+    start, end = np.searchsorted(rk, lk), np.searchsorted(rk, lk, "right")
+    n = end - start
+    a = np.repeat(li, n)
+    b = ri[np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    np.add.at(both, (a, b), 1)
+    return 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+
+
+def _spanning(near: np.ndarray, rep: np.ndarray, root: np.ndarray, rep_b: np.ndarray, root_b: np.ndarray) -> pa.RecordBatch:
+    """Links between different roots, as many as keep what they connect together: each row with its first link to each root, once per pair of roots."""
+    a, b = np.nonzero(near & (root[:, None] != root_b[None, :]))
+    forest, keep = Forest(), []
+    pairs, first = np.unique(np.stack([root[a], root_b[b]]), axis=1, return_index=True)
+    for (x, y), i in zip(pairs.T.tolist(), first.tolist(), strict=True):
+        if forest.join(x, y):
+            keep.append(i)
+    return pa.RecordBatch.from_arrays([pa.array(rep[a[keep]], pa.int64()), pa.array(rep_b[b[keep]], pa.int64())], names=["_a", "_b"])
+
+
 
 
 def jaccard_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,15 +384,16 @@ def jaccard_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_i
     shared = written(runs(prefixes(rows, sketch, how), how), "shared")
     led = shared.where("_class != _class_b").where(_may_link("_n", "_n_b", "_at", "_at_b", how.percent)).select("_class", "_class_b", "_n", "_n_b", "_at", "_at_b")
     first = written(_pairs(led, how.percent), "pairs")
-    links = written(forest_edges(verified(first, classes, rows, how)), "links")
+    links = written(verified(first, classes, rows, how), "links")
 
     def rooted(links: DataFrame) -> DataFrame:
         found = connected_components(links)
         return classes.select("_class", "_rep").join(found, F.col("_rep") == F.col("_node"), "left").select("_class", F.coalesce("_root", "_rep").alias("_root"))
 
-    rest = _pairs(across(shared, rooted(links), how.percent), how.percent)
+    open_ = undecided(shared, rooted(links))
+    rest = _pairs(across(open_, how), how.percent)
     rest = written(rest.join(first.select("_class", "_class_b"), ["_class", "_class_b"], "left_anti"), "pairs")
-    more = written(forest_edges(verified(rest, classes, rows, how)), "links")
+    more = written(verified(rest, classes, rows, how).unionByName(within_families(open_, classes, rows, how)), "links")
     named = rooted(links.unionByName(more))
     return sets.join(named, "_class", "left").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_root", "_id").alias("component_id"))
 

@@ -25,6 +25,9 @@ from kelpforge.llm.common import fresh_dir, open_store, written
 MARK = b"KFBITS01"
 TAIL = struct.Struct("<5q8s")
 BLOCK_IDS = 8192
+#: Parts encoded in one string, and parts remembered.
+JOINED = 512
+MEMO_ENTRIES = 600_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -137,10 +140,30 @@ def _encoder(path: str) -> tuple[Memo, int]:
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
 
+        size = t.get_vocab_size()
+        n_bytes = np.zeros(size, np.int64)
+        for token, i in t.get_vocab().items():
+            n_bytes[i] = len(token)  # a character for each byte
+
         def encode(texts: list[str]) -> list[bytes]:
             return [array("I", e.ids).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
-        _encoders[path] = Memo(encode), t.get_vocab_size()
+        def encode_parts(parts: list[str]) -> list[bytes]:
+            """Parts may be encoded in one string, since they are cut where tokens end; the ids are dealt out by the bytes they stand for."""
+            out: list[bytes] = []
+            for at in range(0, len(parts), JOINED):
+                some = parts[at : at + JOINED]
+                ids = np.array(t.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                ends, bounds = np.cumsum(n_bytes[ids]), np.cumsum([len(p.encode()) for p in some])
+                cuts = np.searchsorted(ends, bounds)
+                if len(ends) and cuts[-1] < len(ends) and (ends[cuts] == bounds).all():
+                    data, cut = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
+                    out += [data[i:j] for i, j in zip(cut, cut[1:], strict=False)]
+                else:  # not a vocabulary of bytes
+                    out += encode(some)
+            return out
+
+        _encoders[path] = Memo(encode, encode_parts, MEMO_ENTRIES), size
     return _encoders[path]
 
 

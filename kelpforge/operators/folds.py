@@ -1,0 +1,304 @@
+"""Seeded simulations whose every step depends on the one before. One run is one group; runs go over the cluster in parallel.
+
+Each takes a table with a row per run and returns rows per run; nothing random comes from anywhere but the run's seed.
+"""
+
+from __future__ import annotations
+
+import heapq
+from collections.abc import Iterator
+from typing import Any
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kelpforge.functions.sunlight import SOLAR_CONSTANT
+from kelpforge.operators.neighbours import KM_S_IN_PC_PER_YEAR, LIGHT_PC_PER_YEAR, log_edges
+
+M32, M64 = 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF
+
+
+class Draws32:
+    """The draws of kelpforge.functions.random.draw32 one after the other, or any range of them at once."""
+
+    def __init__(self, seed: int):
+        self.seed, self.k = seed & M32, 0
+
+    def many(self, start: int, n: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            a = np.uint32(self.seed) + (np.arange(start + 1, start + n + 1, dtype=np.uint64) & np.uint64(M32)).astype(np.uint32) * np.uint32(0x6D2B79F5)
+            t = (a ^ (a >> np.uint32(15))) * (a | np.uint32(1))
+            t ^= t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61))
+        return (t ^ (t >> np.uint32(14))) / 4294967296.0
+
+    def __call__(self) -> float:
+        self.k += 1
+        return float(self.many(self.k - 1, 1)[0])
+
+
+def draws64(seed: int, start: int, n: int) -> np.ndarray:
+    """Draws of splitmix64 as doubles."""
+    with np.errstate(over="ignore"):
+        z = np.uint64(seed & M64) + np.arange(start + 1, start + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return z.astype(np.float64) / 2.0**64
+
+
+def mortality(runs: DataFrame) -> DataFrame:
+    """run, day, alive for every day. runs: run, population, days, hazard, seed. Each living unit draws once a day and dies below the hazard."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                if not 0 <= r.hazard <= 1 or r.days < 0:
+                    raise ValueError("hazard must lie in 0..1 and days must not be negative")
+                alive, at, rows = int(r.population), 0, [(r.run, 0, int(r.population))]
+                for day in range(1, int(r.days) + 1):
+                    u = draws64(int(r.seed), at, alive)
+                    at += alive
+                    alive -= int((u < r.hazard).sum())
+                    rows.append((r.run, day, alive))
+                yield pd.DataFrame(rows, columns=["run", "day", "alive"])
+
+    return runs.repartition("run").mapInPandas(fold, "run long, day int, alive long")
+
+
+FLEET = dict(area=9798.0, efficiency=0.3, manufacturing=0.7, start_au=1.0, spread=1.2, most_au=40.0, transit=365.0, jitter=0.0, pool=1e6, most=1000, seeds=1, days=3650.0, dt=1.0, seed=0x9E3779B9)
+
+
+def with_defaults(runs: DataFrame, defaults: dict[str, Any]) -> DataFrame:
+    """Missing columns and nulls get the defaults."""
+    return runs.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in runs.columns else F.lit(v) for k, v in defaults.items()})
+
+
+def fleet(runs: DataFrame) -> DataFrame:
+    """run, day, population, active, children, built, pool, mean_au, most_au for every step.
+
+    runs: run, mass (of a seed), closure, kwh_per_kg (local), rate (kg a day), and any of FLEET. In the order of their ids, active probes
+    build at the lower of their machines' and their sunlight's rate, and make children while material, imports and the cap last; the
+    children travel outwards and become active on arrival.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                yield pd.DataFrame(_fleet(r), columns=["run", "day", "population", "active", "children", "built", "pool", "mean_au", "most_au"])
+
+    return with_defaults(runs, FLEET).repartition("run").mapInPandas(fold, "run long, day double, population long, active long, children long, built double, pool double, mean_au double, most_au double")
+
+
+def _fleet(r: Any) -> list[tuple]:
+    draw, pool, own, imported = Draws32(int(r.seed)), float(r.pool), r.closure * r.mass, (1 - r.closure) * r.mass
+    au, arrives, built = [float(r.start_au)] * int(r.seeds), [0.0] * int(r.seeds), [0.0] * int(r.seeds)
+    active = [True] * int(r.seeds)
+    watts = SOLAR_CONSTANT * r.area * r.efficiency * r.manufacturing
+    rate = lambda d: min(r.rate, watts / d**2 / 1000 * 24 / r.kwh_per_kg)
+    rows, day, children = [], 0.0, 0
+    for step in range(round(r.days / r.dt) + 1):
+        if step:
+            day += r.dt
+            for i in range(len(au)):
+                if not active[i]:
+                    continue
+                built[i] += rate(au[i]) * r.dt
+                while built[i] >= own and len(au) < r.most and pool >= imported:
+                    built[i], pool, children = built[i] - own, pool - imported, children + 1
+                    transit = r.transit * (1 + r.jitter * (2 * draw() - 1)) if r.jitter > 0 else r.transit
+                    au.append(min(au[i] * r.spread, r.most_au))
+                    arrives.append(day + transit)
+                    built.append(0.0)
+                    active.append(False)
+            active = [a or t <= day for a, t in zip(active, arrives, strict=True)]
+        rows.append((r.run, day, len(au), sum(active), children, sum(built), pool, sum(au) / len(au) if au else 0.0, max(au, default=0.0)))
+    return rows
+
+
+def fleet_summary(steps: DataFrame, runs: DataFrame) -> DataFrame:
+    """run, final figures, doubling_days (first day with twice the first population, null if never), and which limits bound: imports, the cap."""
+    first = F.min_by("population", "day")
+    d = steps.groupBy("run").agg(F.max_by("population", "day").alias("population"), F.max_by("active", "day").alias("active"), F.max_by("children", "day").alias("children"), F.max_by("pool", "day").alias("pool"), first.alias("_first"))
+    twice = steps.join(d.select("run", "_first"), "run").groupBy("run").agg(F.min(F.when(F.col("population") >= 2 * F.col("_first"), F.col("day"))).alias("doubling_days"))
+    p = with_defaults(runs, FLEET).select("run", "most", ((1 - F.col("closure")) * F.col("mass")).alias("_imported"))
+    d = d.join(twice, "run").join(p, "run")
+    d = d.withColumn("imports_bind", F.col("pool") < F.col("_imported")).withColumn("cap_binds", F.col("population") >= F.col("most"))
+    label = F.when(F.col("imports_bind"), "vitamin-limited").when(F.col("cap_binds"), "cap-limited").otherwise("unbound")
+    return d.withColumn("binding", label).drop("_first", "_imported", "most")
+
+
+FRONT = dict(n=500, density=1.0, periodic=False, speed_c=3e-5, offspring=2, dwell=0.0, dt=5000.0, stepping="event", max_years=5e7, policy="powered", star_speed=220.0, star_spread=40.0, escape=617.5, candidates=30, cap_c=0.05, knowledge="instant", retargets=8, clumps=0, sigma=0.15, seed=1)
+#: Edges of hop lengths in parsec, and of distances to a wall in spacings.
+HOP_EDGES = log_edges(0.1, 30.0, 12)
+EVENT = "run long, event long, kind string, year double, probe long, star long, hop double, speed double, x double, y double, z double, behind double"
+
+
+def settlement(runs: DataFrame) -> DataFrame:
+    """Events of a settlement front: kind launch, settle, waste (a place that others settled first), retarget or learn (turned round on the way).
+
+    runs: run and any of FRONT. A settled star sends offspring to the nearest stars that it believes unsettled (or, of several
+    candidates, to the fastest star). News is instant, or travels at the speed of light and is read at stars (lightspeed) or on the
+    way too (inflight). Losers turn to another star, up to a number of times. Counters and histograms are aggregates of this table.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                yield pd.DataFrame(_Front(r).events(), columns=[c.split()[0] for c in EVENT.split(", ")])
+
+    return with_defaults(runs, FRONT).repartition("run").mapInPandas(fold, EVENT)
+
+
+class _Front:
+    def __init__(self, r: Any):
+        self.r, n = r, int(r.n)
+        self.side = (n / r.density) ** (1 / 3)
+        d = Draws32(int(r.seed))
+        if r.clumps:
+            c = d.many(0, 3 * int(r.clumps)).reshape(-1, 3) * self.side
+            u = d.many(3 * int(r.clumps), 4 * n).reshape(n, 4)
+            radius = np.sqrt(-2 * np.log(np.maximum(u[:, ::2], 1e-12)))
+            normal = np.column_stack([radius[:, 0] * np.cos(2 * np.pi * u[:, 1]), radius[:, 0] * np.sin(2 * np.pi * u[:, 1]), radius[:, 1] * np.cos(2 * np.pi * u[:, 3])])
+            t = np.mod(c[np.arange(n) % int(r.clumps)] + normal * (r.sigma * self.side), 2 * self.side)
+            self.at, used = np.where(t > self.side, 2 * self.side - t, t), 3 * int(r.clumps) + 4 * n
+        else:
+            self.at, used = d.many(0, 3 * n).reshape(n, 3) * self.side, 3 * n
+        self.star_speed = np.maximum(0, r.star_speed + r.star_spread * (2 * d.many(used, n) - 1)) * KM_S_IN_PC_PER_YEAR
+        self.settled = np.full(n, np.inf)
+        self.probes: dict[int, dict] = {}
+        self.heap: list[tuple[float, int]] = []
+        self.bound_for: dict[int, list[int]] = {}
+        self.launched, self.out = 0, []
+
+    def gaps(self, where: np.ndarray, wrap: bool) -> np.ndarray:
+        d = self.at - where
+        if wrap and self.r.periodic:
+            d -= np.rint(d / self.side) * self.side
+        return np.einsum("ij,ij->i", d, d)
+
+    def target(self, where: np.ndarray, year: float, exclude: set[int], speed_rule: bool) -> int | None:
+        """Nearest star believed unsettled there and then; ties go to the lower number."""
+        known = self.settled <= year
+        if self.r.knowledge != "instant":
+            known &= self.settled + np.sqrt(self.gaps(where, False)) / LIGHT_PC_PER_YEAR <= year
+        d2 = np.where(known, np.inf, self.gaps(where, True))
+        d2[list(exclude)] = np.inf
+        if not speed_rule:
+            best = int(d2.argmin())
+            return best if d2[best] < np.inf else None
+        near = np.argsort(d2, kind="stable")[: int(self.r.candidates)]
+        near = near[d2[near] < np.inf]
+        return int(near[self.star_speed[near].argmax()]) if len(near) else None
+
+    def note(self, kind: str, year: float, probe: int, star: int, hop: float, speed: float, behind: float | None = None) -> None:
+        self.out.append((self.r.run, len(self.out), kind, year, probe, star, hop, speed, *self.at[star], behind))
+
+    def actionable(self, p: dict) -> float:
+        if self.r.knowledge != "inflight" or self.settled[p["star"]] == np.inf:
+            return p["arrives"]
+        b = p["speed"] / LIGHT_PC_PER_YEAR
+        return min(p["arrives"], max(p["left"], (self.settled[p["star"]] + b * p["arrives"]) / (1 + b)))
+
+    def send(self, probe: int, start: np.ndarray, star: int, year: float, speed: float, turns: int) -> float:
+        hop = float(np.sqrt(self.gaps(start, True)[star]))
+        self.probes[probe] = dict(star=star, start=start, left=year, arrives=year + hop / speed, speed=speed, hop=hop, turns=turns)
+        heapq.heappush(self.heap, (self.actionable(self.probes[probe]), probe))
+        self.bound_for.setdefault(star, []).append(probe)
+        return hop
+
+    def launch(self, star: int, year: float, speed: float) -> None:
+        if self.r.policy != "powered":
+            e, u = self.r.escape * KM_S_IN_PC_PER_YEAR, speed + self.star_speed[star]
+            speed = min(speed + e * e / (e * e / (2 * u) + u), self.r.cap_c * LIGHT_PC_PER_YEAR)
+        else:
+            speed = self.r.speed_c * LIGHT_PC_PER_YEAR
+        chosen: set[int] = set()
+        for _ in range(int(self.r.offspring)):
+            to = self.target(self.at[star], year, chosen, self.r.policy == "slingshot_maxboost")
+            if to is None:
+                break
+            chosen.add(to)
+            hop = self.send(self.launched, self.at[star], to, year + self.r.dwell, speed, 0)
+            self.note("launch", year, self.launched, to, hop, speed)
+            self.launched += 1
+
+    def due(self, until: float) -> list[tuple[float, int]]:
+        """Live probes whose own time has come, each once; entries that a later one replaced are passed over."""
+        found: dict[int, float] = {}
+        while self.heap and self.heap[0][0] <= until:
+            t, i = heapq.heappop(self.heap)
+            if i in self.probes and i not in found and self.actionable(self.probes[i]) == t:
+                found[i] = t
+        return sorted((self.probes[i]["arrives"], i) for i in found)
+
+    def events(self) -> list[tuple]:
+        r = self.r
+        home = int(((self.at - self.side / 2) ** 2).sum(axis=1).argmin())
+        self.settled[home] = 0.0
+        self.note("settle", 0.0, -1, home, 0.0, 0.0)
+        self.launch(home, 0.0, r.speed_c * LIGHT_PC_PER_YEAR)
+        year = 0.0
+        while self.probes and year < r.max_years:
+            while self.heap and (self.heap[0][1] not in self.probes or self.actionable(self.probes[self.heap[0][1]]) != self.heap[0][0]):
+                heapq.heappop(self.heap)
+            if not self.heap:
+                break
+            year = max(year, self.heap[0][0]) if r.stepping == "event" else year + r.dt
+            some = self.due(year)
+            arrived = [(t, i, self.probes.pop(i)) for t, i in some if t <= year]
+            for _, i, p in arrived:
+                self.arrive(i, p, year)
+            for t, i in some:
+                if t > year and i in self.probes:
+                    self.turn(i, self.probes.pop(i), year)
+        return self.out
+
+    def arrive(self, i: int, p: dict, year: float) -> None:
+        star = p["star"]
+        if self.settled[star] == np.inf:
+            self.settled[star] = year
+            self.note("settle", year, i, star, p["hop"], p["speed"])
+            if self.r.knowledge == "inflight":
+                for j in self.bound_for.pop(star, []):
+                    if j in self.probes and self.probes[j]["star"] == star:
+                        heapq.heappush(self.heap, (self.actionable(self.probes[j]), j))
+            self.launch(star, year, p["speed"])
+            return
+        flight = p["arrives"] - p["left"]
+        self.note("waste", year, i, star, p["hop"], p["speed"], (self.settled[star] - p["left"]) / flight if flight > 0 else None)
+        self.again(i, self.at[star], year, p, "retarget")
+
+    def turn(self, i: int, p: dict, year: float) -> None:
+        """News of the target meets the probe on its way."""
+        done = (year - p["left"]) / max(1e-300, p["arrives"] - p["left"])
+        self.note("learn", year, i, p["star"], p["hop"] * done, p["speed"])
+        self.again(i, p["start"] + (self.at[p["star"]] - p["start"]) * done, year, p, "retarget")
+
+    def again(self, i: int, where: np.ndarray, year: float, p: dict, kind: str) -> None:
+        if p["turns"] >= self.r.retargets:
+            return
+        to = self.target(where, year, {p["star"]}, self.r.policy == "slingshot_maxboost")
+        if to is not None:
+            self.note(kind, year, i, to, self.send(i, where, to, year, p["speed"], p["turns"] + 1), p["speed"])
+
+
+def settlement_summary(events: DataFrame, runs: DataFrame) -> DataFrame:
+    """run, settled, launched, wasted, retargets, and the years in which 25, 50, 75, 90, 99 and 100 % of the stars are settled (null if never)."""
+    from pyspark.sql import Window
+
+    n = with_defaults(runs, FRONT).select("run", "n")
+    w = Window.partitionBy("run").orderBy("event").rowsBetween(Window.unboundedPreceding, 0)
+    d = events.withColumn("_k", F.sum((F.col("kind") == "settle").cast("long")).over(w)).join(n, "run")
+    count = lambda kind: F.count_if(F.col("kind") == kind)
+    reached = [F.min(F.when(F.col("_k") >= F.ceil(F.col("n") * p / 100), F.col("year"))).alias(f"t{p}") for p in (25, 50, 75, 90, 99, 100)]
+    return d.groupBy("run").agg(count("settle").alias("settled"), count("launch").alias("launched"), count("waste").alias("wasted"), count("retarget").alias("retargets"), *reached)
+
+
+def hop_histogram(events: DataFrame) -> DataFrame:
+    """run, kind (settle or waste), bin, n over HOP_EDGES."""
+    from kelpforge.operators.neighbours import edge_bin
+
+    d = events.where(F.col("kind").isin("settle", "waste") & (F.col("probe") >= 0))
+    return d.groupBy("run", "kind", edge_bin(F.col("hop"), HOP_EDGES).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
