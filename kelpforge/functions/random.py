@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -25,10 +25,15 @@ def _product32(a: Column, b: int | Column) -> Column:
 
 def draw32(seed: Column, k: Column) -> Column:
     """The k-th (from 0) 32-bit number of the generator mulberry32."""
-    a = (seed.cast("long").bitwiseAND(F.lit(MASK)) + _product32((k.cast("long") + 1).bitwiseAND(F.lit(MASK)), 0x6D2B79F5)).bitwiseAND(F.lit(MASK))
-    t = _product32(a.bitwiseXOR(F.shiftrightunsigned(a, 15)), a.bitwiseOR(F.lit(1)))
-    t = t.bitwiseXOR((t + _product32(t.bitwiseXOR(F.shiftrightunsigned(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK)))
-    return t.bitwiseXOR(F.shiftrightunsigned(t, 14))
+
+    def step(x: Column, f: Callable[[Column], Column]) -> Column:  # f uses its argument several times; bound to a name, its expression stands in the plan once
+        return F.transform(F.array(x), f)[0]
+
+    n = step((k.cast("long") + 1).bitwiseAND(F.lit(MASK)), lambda n: _product32(n, 0x6D2B79F5))
+    a = (seed.cast("long").bitwiseAND(F.lit(MASK)) + n).bitwiseAND(F.lit(MASK))
+    t = step(a, lambda a: _product32(a.bitwiseXOR(F.shiftrightunsigned(a, 15)), a.bitwiseOR(F.lit(1))))
+    t = step(t, lambda t: t.bitwiseXOR((t + _product32(t.bitwiseXOR(F.shiftrightunsigned(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK))))
+    return step(t, lambda t: t.bitwiseXOR(F.shiftrightunsigned(t, 14)))
 
 
 def uniform(seed: Column, k: Column) -> Column:

@@ -15,13 +15,19 @@ LIGHT_PC_PER_YEAR = 299792458 * 31557600 / 3.0856775814913673e16
 KM_S_IN_PC_PER_YEAR = 1000 * 31557600 / 3.0856775814913673e16
 
 
+def kept_apart(df: DataFrame, by: str, columns: dict[str, Column]) -> DataFrame:
+    """by and the columns, as rows that later filters do not write the columns' long expressions into again."""
+    return df.select(by, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def field(spark: SparkSession, n: int, density: float, seed: int, speed: float = 0.0, spread: float = 0.0) -> DataFrame:
     """star, x, y, z, speed: n points at random in a cube of the density; draws 3 i, 3 i + 1, 3 i + 2 place star i, draw 3 n + i sets its speed."""
     side = (n / density) ** (1 / 3)
     u = lambda k: uniform(F.lit(seed), k)
     i = F.col("id")
-    v = F.greatest(F.lit(0.0), F.lit(speed) + (2 * u(3 * n + i) - 1) * spread)
-    return spark.range(n).select(i.alias("star"), *[(u(3 * i + j) * side).alias(c) for j, c in enumerate("xyz")], v.alias("speed"))
+    d = kept_apart(spark.range(n), "id", {c: u(3 * i + j) for j, c in enumerate("xyz")} | {"v": u(3 * n + i)})
+    v = F.greatest(F.lit(0.0), F.lit(speed) + (2 * F.col("v") - 1) * spread)
+    return d.select(i.alias("star"), *[(F.col(c) * side).alias(c) for c in "xyz"], v.alias("speed"))
 
 
 def reflected(x: Column, side: float) -> Column:
@@ -36,9 +42,11 @@ def clustered_field(spark: SparkSession, n: int, density: float, seed: int, clum
     u = lambda k: uniform(F.lit(seed), k)
     i = F.col("id")
     centre = F.pmod(i, F.lit(clumps))
-    one, two = normal_pair(u(3 * clumps + 4 * i), u(3 * clumps + 4 * i + 1)), normal_pair(u(3 * clumps + 4 * i + 2), u(3 * clumps + 4 * i + 3))
+    d = kept_apart(spark.range(n), "id", {f"u{j}": u(3 * clumps + 4 * i + j) for j in range(4)} | {f"c{j}": u(3 * centre + j) for j in range(3)})
+    one, two = normal_pair(F.col("u0"), F.col("u1")), normal_pair(F.col("u2"), F.col("u3"))
     off = (one[0], one[1], two[0])
-    return spark.range(n).select(i.alias("star"), *[reflected(u(3 * centre + j) * side + o * (sigma * side), side).alias(c) for j, (c, o) in enumerate(zip("xyz", off, strict=True))])
+    d = kept_apart(d, "id", {c: reflected(F.col(f"c{j}") * side + o * (sigma * side), side) for j, (c, o) in enumerate(zip("xyz", off, strict=True))})
+    return d.withColumnRenamed("id", "star")
 
 
 def squared_distance(a: Sequence[Column], b: Sequence[Column], side: float | None = None) -> Column:

@@ -47,17 +47,16 @@ def summarised(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def bootstrap_median(rows: DataFrame, by: Sequence[str], value: str, resamples: int, seed: int) -> DataFrame:
     """median, lo, hi: 2.5 % and 97.5 % (by index, rounded down) of medians of resamples. Draw r n + k of the seed picks the k-th value of resample r out of the sorted values.
 
-    A group's values form an array, for groups as long as experiments have seeds; they are not meant for large groups.
+    Values are numbered within their group and draws find them by a join, so no group is held in memory. Null values and null groups are left out.
     """
-    d = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_v"))
-    d = d.withColumn("_n", F.size("_v")).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    d = d.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    pick = F.element_at("_v", (F.pmod(draw32(F.lit(seed), F.col("_r").cast("long") * F.col("_n") + F.col("_k")), F.col("_n").cast("long")) + 1).cast("int"))
-    medians = d.groupBy(*by, "_r").agg(F.median(pick).alias("_m"), F.first("_v").alias("_v"))
-    out = medians.groupBy(*by).agg(F.sort_array(F.collect_list("_m")).alias("_ms"), F.first("_v").alias("_v"))
-    half = F.size("_v") / 2
-    median = F.when(F.size("_v") % 2 == 1, F.element_at("_v", F.ceil(half).cast("int"))).otherwise((F.element_at("_v", half.cast("int")) + F.element_at("_v", half.cast("int") + 1)) / 2)
-    return out.select(*by, median.alias("median"), F.element_at("_ms", F.lit(int(0.025 * resamples) + 1)).alias("lo"), F.element_at("_ms", F.lit(min(resamples - 1, int(0.975 * resamples)) + 1)).alias("hi"))
+    d = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    d = d.withColumn("_i", (F.row_number().over(Window.partitionBy(*by).orderBy("_v")) - 1).cast("long"))
+    n = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.median("_v").alias("median"))
+    draws = d.join(n, [*by]).select(*by, "_n", "_i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).cast("long").alias("_r"))
+    draws = draws.select(*by, "_r", F.pmod(draw32(F.lit(seed), F.col("_r") * F.col("_n") + F.col("_i")), F.col("_n")).alias("_i"))
+    medians = draws.join(d, [*by, "_i"]).groupBy(*by, "_r").agg(F.median("_v").alias("_m"))
+    out = medians.groupBy(*by).agg(F.sort_array(F.collect_list("_m")).alias("_ms")).join(n, [*by])  # a median per resample
+    return out.select(*by, "median", F.element_at("_ms", F.lit(int(0.025 * resamples) + 1)).alias("lo"), F.element_at("_ms", F.lit(min(resamples - 1, int(0.975 * resamples)) + 1)).alias("hi"))
 
 
 def slope(rows: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:

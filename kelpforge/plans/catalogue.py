@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpforge.functions import flight, plant, random, sunlight, text
-from kelpforge.operators import bom, graph, growth, neighbours, paired, uncertainty
+from kelpforge.operators import bom, folds, graph, growth, neighbours, paired, uncertainty
 from kelpforge.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,12 +265,12 @@ def sobol_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return uncertainty.bootstrap_indices(uncertainty.design(spark, INPUTS, finding, n, 9), list(INPUTS), 50, 3, n)
 
 
-@query(f"""with g as (select o_orderpriority, list_sort(list(round(o_totalprice, 2))) as v, count(*) as n from (select o_orderpriority, avg(o_totalprice) as o_totalprice from orders group by o_orderpriority, o_custkey) where o_totalprice is not null group by 1),
-    d as (select o_orderpriority, v, n, r, r * n + i as k, 7::bigint as seed from g, range(0, 20) a(r), lateral (select unnest(range(0, n)) as i)), {_U32}, m as (select o_orderpriority, r, median(v[draw % n + 1]) as m from u group by 1, 2), b as (select o_orderpriority, list_sort(list(m)) as ms from m group by 1)
-    select o_orderpriority, round(list_median(v), 4) as median, round(ms[1], 4) as lo, round(ms[20], 4) as hi from b join g using (o_orderpriority)""".replace("list_median(v)", "list_aggregate(v, 'median')"))
+@query(f"""with g as (select o_orderpriority, list_sort(list(o_totalprice)) as v, count(*) as n from (select o_orderpriority, avg(o_totalprice) as o_totalprice from orders group by o_orderpriority, o_custkey) where o_totalprice is not null group by 1),
+    d as (select o_orderpriority, v, n, r, r * n + i as k, 7::bigint as seed from g, range(0, 20) a(r), lateral (select unnest(range(0, n)) as i)), {_U32}, m as (select o_orderpriority, r, median(v[draw % n + 1]) as m from u group by 1, 2), e as (select o_orderpriority, list_sort(list(m)) as ms from m group by 1)
+    select o_orderpriority, round(list_median(v), 4) as median, round(ms[1], 4) as lo, round(ms[20], 4) as hi from e join g using (o_orderpriority)""".replace("list_median(v)", "list_aggregate(v, 'median')"))
 def bootstrap_median(spark: SparkSession, d: str) -> DataFrame:
     """Medians of customers' average orders, by priority."""
-    o = table(spark, d, "orders").groupBy("o_orderpriority", "o_custkey").agg(F.round(F.avg("o_totalprice"), 2).alias("v"))
+    o = table(spark, d, "orders").groupBy("o_orderpriority", "o_custkey").agg(F.avg("o_totalprice").alias("v"))
     return rounded(paired.bootstrap_median(o, ["o_orderpriority"], "v", 20, 7), 4)
 
 
@@ -405,3 +405,28 @@ def first_seen_distinct(spark: SparkSession, d: str) -> DataFrame:
 def json_field(spark: SparkSession, d: str) -> DataFrame:
     k = F.from_json("props", "k long")["k"]
     return table(spark, d, "events").groupBy("event_type").agg(F.count(k).alias("n"), F.sum(k).alias("total"))
+
+
+def seeded_runs(spark: SparkSession, d: str) -> DataFrame:
+    """A run per supplier; its key is the seed."""
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("run"), F.col("s_suppkey").alias("seed"))
+
+
+@query()
+def mortality(spark: SparkSession, d: str) -> DataFrame:
+    runs = seeded_runs(spark, d).select("run", F.lit(500).alias("population"), F.lit(60).alias("days"), F.lit(0.02).alias("hazard"), "seed")
+    return folds.mortality(runs)
+
+
+@query()
+def fleet(spark: SparkSession, d: str) -> DataFrame:
+    runs = seeded_runs(spark, d).select("run", "seed", F.lit(2000.0).alias("mass"), (0.9 + F.pmod("run", F.lit(10)) / 100).alias("closure"), F.lit(40.0).alias("kwh_per_kg"), F.lit(20.0).alias("rate"), F.lit(1500.0).alias("days"), F.lit(10.0).alias("dt"), F.lit(0.1).alias("jitter"), F.lit(200).alias("most"))
+    return folds.fleet_summary(folds.fleet(runs), runs)
+
+
+@query()
+def front(spark: SparkSession, d: str) -> DataFrame:
+    """A settlement front for each supplier's seed, each way of knowing in turn."""
+    ways = F.array(F.lit("instant"), F.lit("lightspeed"), F.lit("inflight"))
+    runs = seeded_runs(spark, d).select("run", "seed", F.lit(120).alias("n"), F.element_at(ways, F.pmod("run", F.lit(3)).cast("int") + 1).alias("knowledge"))
+    return folds.settlement_summary(folds.settlement(runs), runs)
