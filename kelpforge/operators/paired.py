@@ -52,7 +52,7 @@ def bootstrap_median(rows: DataFrame, by: Sequence[str], value: str, resamples:
     d = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     d = d.withColumn("_i", (F.row_number().over(Window.partitionBy(*by).orderBy("_v")) - 1).cast("long"))
     n = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.median("_v").alias("median"))
-    draws = d.join(n, [*by]).select(*by, "_n", "_i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).cast("long").alias("_r"))
+    draws = d.join(n, [*by]).select(*by, "_n", "_i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("_r"))
     draws = draws.select(*by, "_r", F.pmod(draw32(F.lit(seed), F.col("_r") * F.col("_n") + F.col("_i")), F.col("_n")).alias("_i"))
     medians = draws.join(d, [*by, "_i"]).groupBy(*by, "_r").agg(F.median("_v").alias("_m"))
     out = medians.groupBy(*by).agg(F.sort_array(F.collect_list("_m")).alias("_ms")).join(n, [*by])  # a median per resample
