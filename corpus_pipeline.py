@@ -47,7 +47,7 @@ STAGES = [
     ("byte-level BPE", tokens),
 ]
 
-#: Several stages (a trained classifier, merges of a vocabulary) cannot be written in SQL; tests/llm/test_pipeline.py has a plain version.
+#: Several stages (a trained classifier, merges of a vocabulary) cannot be written in SQL. Their operators are tested in tests/llm; the whole has no plain version yet.
 ORACLE_SQL = None
 
 
