@@ -216,21 +216,21 @@ def runs(sent: DataFrame, how: Join) -> DataFrame:
 
 def _may_link(n: str, n_b: str, at: str, at_b: str, percent: int) -> Column:
     """Length and positional filters for two sets that share a shingle at these places: what may lie before and behind it bounds the intersection."""
-    fits = f"100 * least({n}, {n_b}) >= {percent} * greatest({n}, {n_b})"
+    fits = f"100L * least({n}, {n_b}) >= {percent}L * greatest({n}, {n_b})"
     most = f"least({at}, {at_b}) + 1 + least({n} - {at}, {n_b} - {at_b}) - 1"
-    return F.expr(f"{fits} and {100 + percent} * ({most}) >= {percent} * (cast({n} as bigint) + {n_b})")
+    return F.expr(f"{fits} and {100 + percent}L * ({most}) >= {percent} * (cast({n} as bigint) + {n_b})")
 
 
 def _pairs(candidates: DataFrame, percent: int) -> DataFrame:
     """Each pair once, with the first place where it meets: from there the positional filter is strict."""
     first = candidates.groupBy("_class", "_class_b").agg(F.min(F.struct("_at", "_at_b", "_n", "_n_b")).alias("_f"))
     first = first.select("_class", "_class_b", "_f.*")
-    return first.where(f"{100 + percent} * (1 + least(_n - _at, _n_b - _at_b) - 1) >= {percent} * (cast(_n as bigint) + _n_b)").select("_class", "_class_b", "_n", "_n_b")
+    return first.where(f"{100 + percent}L * (1 + least(_n - _at, _n_b - _at_b) - 1) >= {percent} * (cast(_n as bigint) + _n_b)").select("_class", "_class_b", "_n", "_n_b")
 
 
 @F.pandas_udf(LongType())
 def _bound(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Suffix filter: the intersection is at most what both signatures have in each bucket; full buckets may hold any number."""
+    """Suffix filter: the intersection is at most what both signatures have in each bucket; full buckets may hold any number, which the caller bounds by the sets' sizes."""
     x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, BUCKETS) for s in (a, b))
     low = np.minimum(x, y).astype(np.int64)
     return pd.Series(np.where((low == 255).any(axis=1), np.int64(2**62), low.sum(axis=1)))
@@ -241,7 +241,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, how: Join) -
     known = classes.select("_class", "_rep", "_signature")
     p = pairs.join(known, "_class").withColumnsRenamed({"_rep": "_a", "_signature": "_sa"})
     p = p.join(known.withColumnsRenamed({"_class": "_class_b", "_rep": "_b", "_signature": "_sb"}), "_class_b")
-    p = p.where((100 + how.percent) * _bound("_sa", "_sb") >= how.percent * (F.col("_n").cast("long") + F.col("_n_b")))
+    most = F.least(_bound("_sa", "_sb"), F.col("_n").cast("long"), F.col("_n_b").cast("long"))  # no intersection is larger than the smaller set
+    p = p.where((100 + how.percent) * most >= how.percent * (F.col("_n").cast("long") + F.col("_n_b")))
     p = p.select("_a", "_b", "_class", "_class_b")
     p = p.join(docs.select(F.col("_id").alias("_a"), F.col("_text").alias("_ta")), "_a")
     p = p.join(docs.select(F.col("_id").alias("_b"), F.col("_text").alias("_tb")), "_b")
