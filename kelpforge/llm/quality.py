@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Generator, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,19 +11,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpforge.llm.common import written
+
 TEXT_DIM = 1024
 SOURCES, LANGS = 64, 16
 LAYOUT = 14
 META_DIM = SOURCES + LANGS + LAYOUT + 1
+#: Log-odds of pseudo-labels are told apart in so many steps, up to the last.
+BINS, LAST = 4096, 35.0
 
 
 @dataclass(frozen=True)
 class CoTraining:
-    """max_labelled, max_pool: rows that fitting uses at most, those of the smallest hashed ids; everything else covers all rows.
+    """max_labelled: labelled documents that fitting uses at most, those of the smallest hashed ids; everything else covers all rows.
     confident: a pseudo-label's least probability. per_round: share of the pool that each classifier may label in a round."""
 
     max_labelled: int = 6000
-    max_pool: int = 6000
     rounds: int = 4
     confident: float = 0.98
     per_round: float = 0.1
@@ -33,16 +36,25 @@ class CoTraining:
     seed: int = 7
 
 
-def text_view(text: str) -> np.ndarray:
-    """Hashed counts of byte trigrams of the whole text, dampened and of length 1."""
+def text_counts(text: str) -> np.ndarray:
+    """Hashed counts of byte trigrams of the whole text."""
     raw = np.frombuffer(text.encode(), np.uint8)
     counts = np.zeros(TEXT_DIM)
     for i in range(0, max(0, len(raw) - 2), 1 << 20):  # a bounded piece at a time; neighbours overlap by two bytes
         b = raw[i : i + (1 << 20) + 2].astype(np.uint32)
         h = ((b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * np.uint32(2654435761)) >> np.uint32(22)
         counts += np.bincount(h, minlength=TEXT_DIM)
+    return counts
+
+
+def dampened(counts: np.ndarray) -> np.ndarray:
+    """Rows of counts, dampened and of length 1."""
     v = np.log1p(counts)
-    return v / max(1e-9, float(np.sqrt(v @ v)))
+    return v / np.maximum(1e-9, np.sqrt((v * v).sum(axis=-1, keepdims=True)))
+
+
+def text_view(text: str) -> np.ndarray:
+    return dampened(text_counts(text))
 
 
 def meta_view(text: str, lang: str | None, source: str | None) -> np.ndarray:
@@ -104,36 +116,176 @@ class Model:
         return sigmoid(z[0]), sigmoid(z[1]), sigmoid(self.views @ z)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, how: CoTraining) -> Model:
-    """y: 0 or 1. Part of the labelled rows is held out of all training and calibrates the views."""
+#: What sums over the pool take: both views of some rows, and a number in 0..1 of each that breaks ties.
+Block = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+class Pool:
+    """All unlabelled rows (_u, _t, _m), which stay in tasks: only sums of a fixed size come to the driver."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows = rows
+        self.many = rows.rdd.getNumPartitions() > 64
+
+    def total(self, f: Block) -> np.ndarray:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = None
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    some = batch.slice(at, 512)
+                    found = f(*_decoded(some["_t"].to_pylist(), some["_m"].to_pylist()), some["_u"].to_numpy())
+                    out = found if out is None else out + found
+            if out is not None:
+                yield pa.RecordBatch.from_pydict({"_s": pa.array([out.tobytes()], pa.binary())})
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = None
+            for batch in batches:
+                for x in batch["_s"]:
+                    found = np.frombuffer(x.as_py())
+                    out = found if out is None else out + found
+            if out is not None:
+                yield pa.RecordBatch.from_pydict({"_s": pa.array([out.tobytes()], pa.binary())})
+
+        sums = self.rows.mapInArrow(part, "_s binary")
+        if self.many:  # sums of sums, so that what the driver gets does not grow with the input
+            sums = sums.repartition(32).mapInArrow(added, "_s binary")
+        found = [np.frombuffer(r["_s"]) for r in sums.collect()]
+        return np.sum(found, axis=0) if found else f(np.zeros((0, TEXT_DIM)), np.zeros((0, META_DIM)), np.zeros(0))
+
+
+@dataclass
+class Turn:
+    """How the views label the pool in a round: their weights, and for each view and side (0, 1) the bin of the least sure and the share of that bin that counts."""
+
+    weights: Sequence[np.ndarray]
+    cuts: Sequence[Sequence[tuple[int, float]]]
+
+
+def _bins(z: np.ndarray, confident: float) -> np.ndarray:
+    """Bin of log-odds; -1 is not confident."""
+    least = float(np.log(confident / (1 - confident)))
+    return np.where(z >= least, np.clip((z - least) / (LAST - least) * BINS, 0, BINS - 1), -1).astype(np.int64)
+
+
+def cut(sizes: np.ndarray, want: float) -> tuple[int, float]:
+    """The bin down to which as many as wanted are taken, from the surest, and the share of that bin that still counts."""
+    above = np.cumsum(sizes[::-1])[::-1]
+    if above[0] <= want:
+        return -1, 0.0
+    at = int(np.flatnonzero(above > want)[-1])
+    return at, float((want - (above[at] - sizes[at])) / sizes[at])
+
+
+def pseudo_labels(turns: Sequence[Turn], views: Sequence[np.ndarray], u: np.ndarray, how: CoTraining) -> np.ndarray:
+    """What each view has got from the other, the first label of each row; NaN is none."""
+    got = np.full((2, len(u)), np.nan)
+    for turn in turns:
+        for view, x in enumerate(views):
+            z, to = x @ turn.weights[view], got[1 - view]
+            for side in (1, 0):
+                at, share = turn.cuts[view][side]
+                b = _bins(z if side else -z, how.confident)
+                to[np.isnan(to) & ((b > at) | ((b == at) & (b >= 0) & (u < share)))] = side
+    return got
+
+
+def _loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Log-loss, its curvature and its gradient, summed over the rows."""
+    z = x @ w
+    p = sigmoid(z)
+    return np.concatenate([[np.sum(np.logaddexp(0, z) - y * z), np.sum(p * (1 - p))], x.T @ (p - y)])
+
+
+def minimised(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float, enough: float = 1e-4) -> Generator[np.ndarray, np.ndarray, np.ndarray]:
+    """Ridge logistic regression over rows at hand and others that are far: yields weights and is sent the others' _loss at them.
+
+    Limited-memory quasi-Newton steps from the Hessian of the rows at hand, until about so much of the summed loss is left to gain.
+    """
+
+    def whole(w: np.ndarray, far: np.ndarray) -> tuple[float, np.ndarray]:
+        all_ = _loss(x, y, w) + far
+        return float(all_[0] + ridge / 2 * w @ w), all_[2:] + ridge * w
+
+    far = yield w
+    value, g = whole(w, far)
+    p = sigmoid(x @ w)
+    curved = p * (1 - p) + 1e-6
+    inverse = np.linalg.inv((x * (curved * (1 + far[1] / curved.sum()))[:, None]).T @ x + ridge * np.eye(len(w)))
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(100):
+        q, used = g.copy(), []
+        for s, d in reversed(past):
+            used.append(s @ q / (s @ d))
+            q -= used[-1] * d
+        q = inverse @ q
+        for (s, d), a in zip(past, reversed(used), strict=True):
+            q += (a - d @ q / (s @ d)) * s
+        gain = g @ q
+        if gain < 2 * enough:
+            break
+        step = 1.0
+        while True:
+            far = yield w - step * q
+            new, g_new = whole(w - step * q, far)
+            if new <= value - 1e-4 * step * gain or step < 1e-6:
+                break
+            step = max(step / 10, min(step / 2, step * step * gain / (2 * (new - value + step * gain))))
+        s, d = -step * q, g_new - g
+        past = [*past, (s, d)][-20:] if s @ d > 0 else past
+        w, value, g = w + s, new, g_new
+    return w
+
+
+def _fitted(runs: Sequence[Generator[np.ndarray, np.ndarray, np.ndarray]], far: Callable[[list[np.ndarray]], list[np.ndarray]]) -> list[np.ndarray]:
+    """Lets the fits take their steps together, so that both need one pass over the pool."""
+    at, open_ = [next(r) for r in runs], set(range(len(runs)))
+    while open_:
+        found = far(at)
+        for i in sorted(open_):
+            try:
+                at[i] = runs[i].send(found[i])
+            except StopIteration as done:
+                at[i] = done.value
+                open_.discard(i)
+    return at
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Pool | None, how: CoTraining) -> Model:
+    """y: 0 or 1. Part of the labelled rows is held out of all training and calibrates the views. All rows of the pool may be labelled in every round."""
     rng = np.random.default_rng(how.seed)
     order = rng.permutation(len(y))
     n_held = int(len(y) * how.held_out)
     held, fit = order[:n_held], order[n_held:]
-    own = [(text, pool_text), (meta, pool_meta)]
-    labels: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has got from the other
-    weights: list[np.ndarray] = []
-    for turn in range(how.rounds + 1):
-        weights = []
-        for view, (x, pool) in enumerate(own):
-            got = labels[view]
-            k = np.fromiter(got, int, len(got))
-            weights.append(logistic(np.vstack([x[fit], pool[k]]), np.concatenate([y[fit], [got[i] for i in got]]), how.ridge))
-        if turn == how.rounds or not len(pool_text):
+    own = (text, meta)
+    weights = [logistic(x[fit], y[fit], how.ridge) for x in own]
+    turns: list[Turn] = []
+    share = y[fit].mean()
+    for _ in range(how.rounds if pool else 0):
+
+        def sure(t: np.ndarray, m: np.ndarray, u: np.ndarray, weights: list[np.ndarray] = weights) -> np.ndarray:
+            z = (t @ weights[0], m @ weights[1])
+            return np.concatenate([[len(u)], *(np.bincount(_bins(s * x, how.confident) + 1, minlength=BINS + 1)[1:] for x in z for s in (-1, 1))]).astype(float)
+
+        found = pool.total(sure)
+        if not found[0]:
             break
-        share = y[fit].mean()
-        for view, (_, pool) in enumerate(own):
-            p = sigmoid(pool @ weights[view])
-            to = labels[1 - view]
-            for side, part in ((1, share), (0, 1 - share)):  # as many of each class as the labels have
-                sure = p if side else 1 - p
-                best = np.argsort(-sure, kind="stable")[: int(np.ceil(how.per_round * len(pool) * part))]
-                for i in best[sure[best] >= how.confident]:
-                    to.setdefault(int(i), float(side))
+        sizes = found[1:].reshape(2, 2, BINS)
+        want = [np.ceil(how.per_round * found[0] * part) for part in (1 - share, share)]  # as many of each class as the labels have
+        turns.append(Turn(weights, [[cut(sizes[view, side], want[side]) for side in (0, 1)] for view in (0, 1)]))
+
+        def far(at: list[np.ndarray]) -> list[np.ndarray]:
+            def block(t: np.ndarray, m: np.ndarray, u: np.ndarray) -> np.ndarray:
+                got = pseudo_labels(turns, (t, m), u, how)
+                return np.concatenate([_loss(x[k], labels[k], w) for x, labels, w, k in zip((t, m), got, at, ~np.isnan(got), strict=True)])
+
+            return np.split(pool.total(block), [2 + TEXT_DIM])
+
+        weights = _fitted([minimised(x[fit], y[fit], w, how.ridge) for x, w in zip(own, weights, strict=True)], far)
     if not n_held or len(set(y[held])) < 2:
         return Model(*weights, np.array([[1.0, 0.0], [1.0, 0.0]]), np.array([0.5, 0.5]))
     platt, loss = [], []
-    for (x, _), w in zip(own, weights, strict=True):
+    for x, w in zip(own, weights, strict=True):
         z = x[held] @ w
         a, b = logistic(np.column_stack([z, np.ones(n_held)]), y[held], 1e-3)
         platt.append((a, b) if a > 0 else (1.0, 0.0))
@@ -143,16 +295,26 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
     return Model(*weights, np.array(platt), views / views.sum())
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """In the least width that holds the largest."""
+    return counts.astype(np.uint8 if counts.max() < 1 << 8 else np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _decoded(t: list[bytes], m: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    width = {TEXT_DIM: np.uint8, 2 * TEXT_DIM: np.uint16, 4 * TEXT_DIM: np.uint32}
+    counts = np.array([np.frombuffer(x, width[len(x)]) for x in t], float).reshape(-1, TEXT_DIM)
+    return dampened(counts), np.frombuffer(b"".join(m), "<f4").reshape(-1, META_DIM).astype(float)
+
+
 def _features(rows: DataFrame, carry: str) -> DataFrame:
-    """carry and both views (binary, 32-bit floats) of _text, _lang, _source."""
+    """carry and both views of _text, _lang, _source: _t the packed counts, _m 32-bit floats."""
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(text_view(t), meta_view(t, lang, source)) for t, lang, source in _rows(batch)]
-            t, m = ([x[i].astype("<f4").tobytes() for x in found] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch[carry], pa.array(t, pa.binary()), pa.array(m, pa.binary())], names=[carry, "_t", "_m"])
+            found = [(_packed(text_counts(t)), meta_view(t, lang, source).astype("<f4").tobytes()) for t, lang, source in _rows(batch)]
+            yield pa.RecordBatch.from_arrays([batch[carry], *(pa.array([x[i] for x in found], pa.binary()) for i in (0, 1))], names=[carry, "_t", "_m"])
 
-    return rows.select(carry, "_text", "_lang", "_source").mapInArrow(views, f"{carry} double, _t binary, _m binary")
+    return rows.select(carry, "_text", "_lang", "_source").mapInArrow(views, f"{carry} {dict(rows.dtypes)[carry]}, _t binary, _m binary")
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, str | None, str | None]]:
@@ -160,35 +322,30 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, str | None, str | None]]
         yield t.as_py() or "", lang.as_py(), source.as_py()
 
 
-def _collected(features: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = features.toArrow()
-    read = lambda c, n: np.frombuffer(b"".join(rows[c].to_pylist()), "<f4").reshape(-1, n).astype(np.float64)
-    return rows[0].to_numpy(), read("_t", TEXT_DIM), read("_m", META_DIM)
+def unlabelled(docs: DataFrame, labelled: DataFrame, how: CoTraining) -> DataFrame:
+    """_u, _t, _m of every row of docs (_id, _text, _lang, _source) whose id has no label, a null id's too, as a table. Texts are read once and not shuffled, their views are."""
+    rows = _features(docs, "_id").join(labelled, F.col("_id") == F.col("_label_id"), "left_anti")
+    u = F.pmod(F.xxhash64(F.lit(how.seed), "_id", "_t", "_m"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return written(rows.select(u.alias("_u"), "_t", "_m"), "pool")
 
 
 def fit(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining(), id_col: str = "doc_id") -> Model | None:
     """The model from labels (doc_id, quality 0 or 1), or None if they do not have both classes.
 
-    At most max_labelled labelled and max_pool unlabelled documents come to the driver, as feature vectors. A document with
-    labels of both classes counts for the one that most have; null labels and labels of other documents are passed over.
+    At most max_labelled labelled documents come to the driver, as feature vectors, one row of each id; unlabelled ones all take part and stay
+    in tasks. A document with labels of both classes counts for the one that most have; null labels and labels of other documents are passed over.
     """
-    chosen = F.xxhash64(F.lit(how.seed), "_id")
     view = docs.select(F.col(id_col).alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang"), F.col("source").alias("_source"))
     labelled = labels.where("quality is not null").groupBy(F.col("doc_id").alias("_label_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("_y"))
-    ids = view.select("_id").distinct()
-    known = ids.join(labelled, F.col("_id") == F.col("_label_id")).select("_id", "_y").orderBy(chosen, "_id").limit(how.max_labelled)
-    pool = ids.join(labelled, F.col("_id") == F.col("_label_id"), "left_anti").select("_id", F.lit(0.0).alias("_y")).orderBy(chosen, "_id").limit(how.max_pool)
-    # both sides of the union are bounded by the limits above
-    wanted = known.withColumn("_side", F.lit(1.0)).unionByName(pool.withColumn("_side", F.lit(0.0))).select(F.col("_id").alias("_want"), (2 * F.col("_side") + F.col("_y")).alias("_kind"))
-    rows = view.join(F.broadcast(wanted), F.col("_id") == F.col("_want"))
-    kind, text, meta = _collected(_features(rows, "_kind"))
-    order = np.lexsort((text[:, 0], meta[:, -2], text[:, 1], kind)) if len(kind) else np.arange(0)  # results do not depend on the order of arrival
-    kind, text, meta = kind[order], text[order], meta[order]
-    lab = kind >= 2
-    y = kind[lab] - 2
+    known = view.select("_id").distinct().join(labelled, F.col("_id") == F.col("_label_id")).select(F.col("_id").alias("_want"), "_y").orderBy(F.xxhash64(F.lit(how.seed), "_want"), "_want").limit(how.max_labelled)
+    # bounded by the limit above
+    rows = view.join(F.broadcast(known), F.col("_id") == F.col("_want")).groupBy("_want", "_y").agg(F.min(F.struct("_text", "_lang", "_source")).alias("_r"))
+    found = _features(rows.select("_want", "_y", "_r.*").withColumn("_k", F.struct("_want", "_y")), "_k").select("_k.*", "_t", "_m").toArrow()
+    found = found.sort_by("_want")  # results do not depend on the order of arrival
+    y = found["_y"].to_numpy()
     if len(set(y)) < 2:
         return None
-    return co_train(text[lab], meta[lab], y, text[~lab], meta[~lab], how)
+    return co_train(*_decoded(found["_t"].to_pylist(), found["_m"].to_pylist()), y, Pool(unlabelled(view, labelled, how)), how)
 
 
 def score(docs: DataFrame, model: Model | None, how: CoTraining = CoTraining(), id_col: str = "doc_id") -> DataFrame:
