@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -64,27 +65,25 @@ def news_has_come(settled_year: Column, distance: Column, year: Column, instant:
     return settled_year.isNotNull() & (settled_year <= year) & (instant | (settled_year + distance / LIGHT_PC_PER_YEAR <= year))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int = 1, cell: float | None = None) -> DataFrame:
-    """query, star, d2, rank: the k nearest points (ties: the lower star) that a query, in its year, does not believe settled and does not exclude.
+def nearest_within(queries: DataFrame, points: DataFrame, k: int, radius: float) -> DataFrame:
+    """As nearest, but only of points within the radius, by an equi-join on cells of its size."""
+    grid = lambda c: F.floor(F.col(c) / radius)
+    around = F.sequence(F.lit(-1), F.lit(1))
+    q = queries.withColumn("_x", F.explode(around)).withColumn("_y", F.explode(around)).withColumn("_z", F.explode(around))
+    q = q.withColumns({f"_c{c}": grid(c) + F.col(f"_{c}") for c in "xyz"}).drop("_x", "_y", "_z")
+    p = _placed(points)
+    d = q.join(p.withColumns({f"_c{c}": grid(f"p{c}") for c in "xyz"}), ["_cx", "_cy", "_cz"])
+    return _ranked(d, k, radius)
 
-    queries: query, x, y, z, year, instant, excluded (array). points: star, x, y, z, settled_year. With a cell size only the 27 cells around a
-    query are searched, which is exact where the k-th neighbour lies within one cell size; rank is null-free and rows lie within it.
-    Without one, every point is tried, for queries that are few.
-    """
-    p = points.select("star", *[F.col(c).alias(f"p{c}") for c in "xyz"], "settled_year")
-    if cell is None:
-        d = queries.join(p, F.lit(True))
-    else:
-        grid = lambda c: F.floor(F.col(c) / cell)
-        around = F.sequence(F.lit(-1), F.lit(1))
-        q = queries.withColumns({f"_{c}": F.explode(around) for c in "x"}).withColumn("_y", F.explode(around)).withColumn("_z", F.explode(around))
-        q = q.withColumns({f"_c{c}": grid(c) + F.col(f"_{c}") for c in "xyz"}).drop("_x", "_y", "_z")
-        p = p.withColumns({f"_c{c}": grid(f"p{c}") for c in "xyz"})
-        d = q.join(p, ["_cx", "_cy", "_cz"])
-    d2 = squared_distance([F.col(c) for c in "xyz"], [F.col(f"p{c}") for c in "xyz"])
-    d = d.withColumn("d2", d2)
-    if cell is not None:
-        d = d.where(F.col("d2") <= cell * cell)
+
+def _placed(points: DataFrame) -> DataFrame:
+    return points.select("star", *[F.col(c).alias(f"p{c}") for c in "xyz"], "settled_year")
+
+
+def _ranked(d: DataFrame, k: int, radius: float | None) -> DataFrame:
+    d = d.withColumn("d2", squared_distance([F.col(c) for c in "xyz"], [F.col(f"p{c}") for c in "xyz"]))
+    if radius is not None:
+        d = d.where(F.col("d2") <= radius * radius)
     d = d.where(~news_has_come(F.col("settled_year"), F.sqrt("d2"), F.col("year"), F.col("instant")) & ~F.array_contains("excluded", F.col("star")))
     if k == 1:
         best = d.groupBy("query").agg(F.min(F.struct("d2", "star")).alias("_b"))
@@ -93,6 +92,36 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, cell: float | Non
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "star", "d2", "rank")
 
 
+def nearest(queries: DataFrame, points: DataFrame, k: int = 1, cell: float | None = None) -> DataFrame:
+    """query, star, d2, rank: the k nearest points (ties: the lower star) that a query, in its year, does not believe settled and does not exclude.
+
+    queries: query (one row each), x, y, z, year, instant, excluded (array). points: star, x, y, z, settled_year. With a cell size, all queries are
+    searched for within it; those that found fewer than k go on with twice the size, until each has k or the whole field is covered. Runs a job per round.
+    Without one, every point is tried, for queries that are few.
+    """
+    if cell is None:
+        return _ranked(queries.join(_placed(points), F.lit(True)), k, None)
+    both = queries.select("x", "y", "z").unionByName(points.select("x", "y", "z"))
+    span = both.where(~(F.isnan("x") | F.isnan("y") | F.isnan("z"))).agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
+    spark = queries.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())  # only where the cluster names none
+    across = 1.001 * math.sqrt(sum((v or 0.0) ** 2 for v in span))
+    out, open_ = None, queries
+    while True:
+        found = nearest_within(open_, points, k, cell).checkpoint()
+        full = found.where(F.col("rank") == k).select("query")
+        last = cell >= across
+        found = found if last else found.join(full, "query", "left_semi")  # the others are searched for again
+        out = found if out is None else out.unionByName(found)
+        if last:
+            return out
+        open_ = open_.join(full, "query", "left_anti").checkpoint()
+        if open_.isEmpty():
+            return out
+        cell *= 2
+
+
 def fastest_of(found: DataFrame, speeds: DataFrame) -> DataFrame:
     """Of each query's neighbours the fastest, the nearer one if they tie."""
     return found.join(speeds.select("star", "speed"), "star").groupBy("query").agg(F.max_by("star", F.struct("speed", (-F.col("rank")).alias("r"))).alias("star"))
@@ -111,12 +140,10 @@ def news_meets(settled_year: Column, arrival: Column, speed: Column) -> Column:
 
 
 def clustering_index(points: DataFrame, side: float, cell: float) -> DataFrame:
-    """Mean distance to the nearest other point over what a random field would have; below 1 is clustered. Points whose nearest lies beyond a cell are searched for in all points."""
+    """Mean distance to the nearest other point over what a random field would have; below 1 is clustered."""
     q = points.select(F.col("star").alias("query"), "x", "y", "z", F.lit(0.0).alias("year"), F.lit(True).alias("instant"), F.array("star").alias("excluded"))
     p = points.withColumn("settled_year", F.lit(None).cast("double"))
-    close = nearest(q, p, 1, cell).select("query", "d2")
-    rest = nearest(q.join(close, "query", "left_anti"), p, 1).select("query", "d2")
-    d = close.unionByName(rest)
+    d = nearest(q, p, 1, cell).select("query", "d2")
     expected = 0.55396 * F.pow(F.count("d2") / (side**3), F.lit(-1 / 3))
     return d.agg(F.count("d2").alias("n"), (F.avg(F.sqrt("d2")) / expected).alias("index"))
 
