@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from kelpforge.llm.common import written
 
 TEXT_DIM = 1024
-SOURCES, LANGS = 64, 16
-LAYOUT = 14
-META_DIM = SOURCES + LANGS + LAYOUT + 1
+SOURCES, LANGS, LENGTHS = 64, 16, 32
+META_DIM = SOURCES + LANGS + LENGTHS + 1
 #: Log-odds of pseudo-labels are told apart in so many steps, up to the last.
 BINS, LAST = 4096, 35.0
+#: What a pass over the pool adds up for a view, before the gradient: log-loss, its curvature, rows.
+SUMS = 3
 
 
 @dataclass(frozen=True)
@@ -39,50 +40,34 @@ class CoTraining:
 def text_counts(text: str) -> np.ndarray:
     """Hashed counts of byte trigrams of the whole text."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    counts = np.zeros(TEXT_DIM)
-    for i in range(0, max(0, len(raw) - 2), 1 << 20):  # a bounded piece at a time; neighbours overlap by two bytes
-        b = raw[i : i + (1 << 20) + 2].astype(np.uint32)
+    counts = np.zeros(TEXT_DIM, np.int64)
+    for i in range(0, max(0, len(raw) - 2), 1 << 16):  # a bounded piece at a time; neighbours overlap by two bytes
+        b = raw[i : i + (1 << 16) + 2].astype(np.uint32)
         h = ((b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * np.uint32(2654435761)) >> np.uint32(22)
-        counts += np.bincount(h, minlength=TEXT_DIM)
+        counts += np.bincount(h.view(np.int32), minlength=TEXT_DIM)
     return counts
 
 
-def dampened(counts: np.ndarray) -> np.ndarray:
-    """Rows of counts, dampened and of length 1."""
-    v = np.log1p(counts)
-    return v / np.maximum(1e-9, np.sqrt((v * v).sum(axis=-1, keepdims=True)))
-
+_LOG = np.log1p(np.arange(256, dtype=np.float32))
 
-def text_view(text: str) -> np.ndarray:
-    return dampened(text_counts(text))
 
-
-def meta_view(text: str, lang: str | None, source: str | None) -> np.ndarray:
-    """Source and language, hashed, and how the page is laid out: lengths, lines, and shares of kinds of characters."""
-    v = np.zeros(META_DIM)
-    v[zlib.crc32((source or "").encode()) % SOURCES] = 1
-    v[SOURCES + zlib.crc32((lang or "").encode()) % LANGS] = 1
-    raw = np.frombuffer(text.encode(), np.uint8)
-    n = max(1, len(raw))
-    kinds = np.bincount(_KIND[raw], minlength=7) / n if len(raw) else np.zeros(7)
-    lines = text.split("\n")
-    words = text.split()
-    layout = [np.log1p(len(raw)) / 10, np.log1p(len(lines)) / 5, np.log1p(len(words)) / 10, len(raw) / max(1, len(words)) / 10, len(set(lines)) / len(lines), len(set(words)) / max(1, len(words)), max(map(len, lines)) / n]
-    v[SOURCES + LANGS : -1] = [*kinds * 3, *layout]
-    v[-1] = 1
-    return v
+def dampened(counts: np.ndarray) -> np.ndarray:
+    """Rows of counts, dampened and of length 1, as 32-bit floats."""
+    v = _LOG[counts] if counts.dtype == np.uint8 else np.log1p(counts, dtype=np.float32)
+    return v / np.maximum(np.float32(1e-9), np.sqrt(np.einsum("ij,ij->i", v, v)))[:, None]
 
 
-def _kinds() -> np.ndarray:
-    """Of a byte: lower case, upper case, digit, white space, stop or comma, other mark, beyond ASCII."""
-    out = np.full(256, 5)
-    for kind, some in enumerate((range(97, 123), range(65, 91), range(48, 58), b" \t\n\v\f\r", b".,;:'?-", b"", range(128, 256))):
-        for b in some:
-            out[b] = kind
-    return out
+def meta_places(lang: str | None, source: str | None, n_chars: int | None) -> bytes:
+    """What the page's metadata say, and nothing of its text: hashed source, hashed language, and the length that is recorded of it, by powers of two."""
+    return bytes((zlib.crc32((source or "").encode()) % SOURCES, zlib.crc32((lang or "").encode()) % LANGS, min(LENGTHS - 1, max(0, n_chars or 0).bit_length())))
 
 
-_KIND = _kinds()
+def meta_view(places: list[bytes]) -> np.ndarray:
+    at = np.frombuffer(b"".join(places), np.uint8).reshape(-1, 3).astype(np.int64) + (0, SOURCES, SOURCES + LANGS)
+    v = np.zeros((len(at), META_DIM), np.float32)
+    np.put_along_axis(v, at, 1, axis=1)
+    v[:, -1] = 1
+    return v
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -93,9 +78,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12) -> np.
     """Ridge logistic regression by Newton's steps."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (p - y) + ridge * w)
+        p = sigmoid((x @ w.astype(x.dtype)).astype(float))
+        h = ((x * (p * (1 - p) + 1e-6)[:, None].astype(x.dtype)).T @ x).astype(float) + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (p - y).astype(x.dtype) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -104,7 +89,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12) -> np.
 
 @dataclass
 class Model:
-    """Weights of both views; platt: slope and offset that calibrate each view's log-odds; views: their weights in the mean of log-odds."""
+    """Weights of both views; platt: slope and offset that calibrate each view's log-odds; views: weights of the calibrated log-odds in their sum, and its offset."""
 
     text: np.ndarray
     meta: np.ndarray
@@ -112,8 +97,11 @@ class Model:
     views: np.ndarray
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        z = np.stack([text @ self.text, meta @ self.meta]) * self.platt[:, :1] + self.platt[:, 1:]
-        return sigmoid(z[0]), sigmoid(z[1]), sigmoid(self.views @ z)
+        z = self.calibrated(text, meta)
+        return sigmoid(z[0]), sigmoid(z[1]), sigmoid(self.views[:2] @ z + self.views[2])
+
+    def calibrated(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        return np.stack([text @ self.text, meta @ self.meta]) * self.platt[:, :1] + self.platt[:, 1:]
 
 
 #: What sums over the pool take: both views of some rows, and a number in 0..1 of each that breaks ties.
@@ -191,27 +179,27 @@ def pseudo_labels(turns: Sequence[Turn], views: Sequence[np.ndarray], u: np.ndar
 
 
 def _loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Log-loss, its curvature and its gradient, summed over the rows."""
-    z = x @ w
+    """Log-loss, its curvature, rows, and the gradient, summed over the rows."""
+    z = (x @ w.astype(x.dtype)).astype(float)
     p = sigmoid(z)
-    return np.concatenate([[np.sum(np.logaddexp(0, z) - y * z), np.sum(p * (1 - p))], x.T @ (p - y)])
+    return np.concatenate([[np.sum(np.logaddexp(0, z) - y * z), np.sum(p * (1 - p)), len(y)], x.T @ (p - y).astype(x.dtype)])
 
 
-def minimised(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float, enough: float = 1e-4) -> Generator[np.ndarray, np.ndarray, np.ndarray]:
+def minimised(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float, enough: float = 2e-6) -> Generator[np.ndarray, np.ndarray, np.ndarray]:
     """Ridge logistic regression over rows at hand and others that are far: yields weights and is sent the others' _loss at them.
 
-    Limited-memory quasi-Newton steps from the Hessian of the rows at hand, until about so much of the summed loss is left to gain.
+    Limited-memory quasi-Newton steps from the Hessian of the rows at hand, until about so much of the mean loss is left to gain.
     """
 
     def whole(w: np.ndarray, far: np.ndarray) -> tuple[float, np.ndarray]:
         all_ = _loss(x, y, w) + far
-        return float(all_[0] + ridge / 2 * w @ w), all_[2:] + ridge * w
+        return float(all_[0] + ridge / 2 * w @ w), all_[SUMS:] + ridge * w
 
     far = yield w
     value, g = whole(w, far)
     p = sigmoid(x @ w)
     curved = p * (1 - p) + 1e-6
-    inverse = np.linalg.inv((x * (curved * (1 + far[1] / curved.sum()))[:, None]).T @ x + ridge * np.eye(len(w)))
+    inverse = np.linalg.inv(((x * (curved * (1 + far[1] / curved.sum()))[:, None].astype(x.dtype)).T @ x).astype(float) + ridge * np.eye(len(w)))
     past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(100):
         q, used = g.copy(), []
@@ -222,7 +210,7 @@ def minimised(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float, enough:
         for (s, d), a in zip(past, reversed(used), strict=True):
             q += (a - d @ q / (s @ d)) * s
         gain = g @ q
-        if gain < 2 * enough:
+        if gain < 2 * enough * (len(y) + far[2]):
             break
         step = 1.0
         while True:
@@ -279,20 +267,28 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Pool | Non
                 got = pseudo_labels(turns, (t, m), u, how)
                 return np.concatenate([_loss(x[k], labels[k], w) for x, labels, w, k in zip((t, m), got, at, ~np.isnan(got), strict=True)])
 
-            return np.split(pool.total(block), [2 + TEXT_DIM])
+            return np.split(pool.total(block), [SUMS + TEXT_DIM])
 
         weights = _fitted([minimised(x[fit], y[fit], w, how.ridge) for x, w in zip(own, weights, strict=True)], far)
-    if not n_held or len(set(y[held])) < 2:
-        return Model(*weights, np.array([[1.0, 0.0], [1.0, 0.0]]), np.array([0.5, 0.5]))
-    platt, loss = [], []
-    for x, w in zip(own, weights, strict=True):
-        z = x[held] @ w
-        a, b = logistic(np.column_stack([z, np.ones(n_held)]), y[held], 1e-3)
-        platt.append((a, b) if a > 0 else (1.0, 0.0))
-        p = np.clip(sigmoid(z * platt[-1][0] + platt[-1][1]), 1e-6, 1 - 1e-6)
-        loss.append(max(1e-3, -np.mean(y[held] * np.log(p) + (1 - y[held]) * np.log(1 - p))))
-    views = 1 / np.array(loss)
-    return Model(*weights, np.array(platt), views / views.sum())
+    # one half of what is held out calibrates each view, the other weighs the views
+    tune, weigh = held[: n_held // 2], held[n_held // 2 :]
+    model = Model(*weights, np.array([[1.0, 0.0], [1.0, 0.0]]), np.array([0.5, 0.5, 0.0]))
+    if len(set(y[tune])) < 2 or len(set(y[weigh])) < 2:
+        return model
+    for view, (x, w) in enumerate(zip(own, weights, strict=True)):
+        a, b = logistic(np.column_stack([x[tune] @ w, np.ones(len(tune))]), y[tune], 1e-3)
+        if a > 0:
+            model.platt[view] = a, b
+        else:  # no help from this view: the share of good ones
+            model.platt[view] = 0.0, np.log(y[tune].mean() / (1 - y[tune].mean()))
+    z = np.column_stack([*model.calibrated(text[weigh], meta[weigh]), np.ones(len(weigh))])
+    views = np.array([*logistic(z[:, :2], y[weigh], 1e-2), 0.0])
+    if (views[:2] < 0).any():  # a view that speaks against itself is left out
+        one = int(np.argmax(views[:2]))
+        views = np.zeros(3)
+        views[one] = 1.0
+    model.views = views
+    return model
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -301,29 +297,41 @@ def _packed(counts: np.ndarray) -> bytes:
 
 
 def _decoded(t: list[bytes], m: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    width = {TEXT_DIM: np.uint8, 2 * TEXT_DIM: np.uint16, 4 * TEXT_DIM: np.uint32}
-    counts = np.array([np.frombuffer(x, width[len(x)]) for x in t], float).reshape(-1, TEXT_DIM)
-    return dampened(counts), np.frombuffer(b"".join(m), "<f4").reshape(-1, META_DIM).astype(float)
+    if all(len(x) == TEXT_DIM for x in t):
+        counts = np.frombuffer(b"".join(t), np.uint8).reshape(-1, TEXT_DIM)
+    else:
+        width = {TEXT_DIM: np.uint8, 2 * TEXT_DIM: np.uint16, 4 * TEXT_DIM: np.uint32}
+        counts = np.stack([np.frombuffer(x, width[len(x)]).astype(np.uint32) for x in t])
+    return dampened(counts), meta_view(m)
+
+
+def _views(batch: pa.RecordBatch) -> tuple[list[bytes], list[bytes]]:
+    """Both views of each row, packed: of _text, and of _lang, _source, _chars."""
+    texts = [_packed(text_counts(t.as_py() or "")) for t in batch["_text"]]
+    return texts, [meta_places(*x) for x in zip(*(batch[c].to_pylist() for c in ("_lang", "_source", "_chars")), strict=True)]
+
+
+def _shown(docs: DataFrame, id_col: str) -> DataFrame:
+    """_id and what the views see. A table without n_chars is one where it is null."""
+    chars = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
+    return docs.select(F.col(id_col).alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), chars.cast("long").alias("_chars"))
 
 
 def _features(rows: DataFrame, carry: str) -> DataFrame:
-    """carry and both views of _text, _lang, _source: _t the packed counts, _m 32-bit floats."""
+    """carry and both views: _t the packed counts, _m the places."""
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(_packed(text_counts(t)), meta_view(t, lang, source).astype("<f4").tobytes()) for t, lang, source in _rows(batch)]
-            yield pa.RecordBatch.from_arrays([batch[carry], *(pa.array([x[i] for x in found], pa.binary()) for i in (0, 1))], names=[carry, "_t", "_m"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                t, m = _views(part)
+                yield pa.RecordBatch.from_arrays([part[carry], pa.array(t, pa.binary()), pa.array(m, pa.binary())], names=[carry, "_t", "_m"])
 
-    return rows.select(carry, "_text", "_lang", "_source").mapInArrow(views, f"{carry} {dict(rows.dtypes)[carry]}, _t binary, _m binary")
-
-
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, str | None, str | None]]:
-    for t, lang, source in zip(batch["_text"], batch["_lang"], batch["_source"], strict=True):
-        yield t.as_py() or "", lang.as_py(), source.as_py()
+    return rows.select(carry, "_text", "_lang", "_source", "_chars").mapInArrow(views, f"{carry} {dict(rows.dtypes)[carry]}, _t binary, _m binary")
 
 
 def unlabelled(docs: DataFrame, labelled: DataFrame, how: CoTraining) -> DataFrame:
-    """_u, _t, _m of every row of docs (_id, _text, _lang, _source) whose id has no label, a null id's too, as a table. Texts are read once and not shuffled, their views are."""
+    """_u, _t, _m of every row of docs (as _shown) whose id has no label, a null id's too, as a table. Texts are read once and not shuffled, their views are."""
     rows = _features(docs, "_id").join(labelled, F.col("_id") == F.col("_label_id"), "left_anti")
     u = F.pmod(F.xxhash64(F.lit(how.seed), "_id", "_t", "_m"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return written(rows.select(u.alias("_u"), "_t", "_m"), "pool")
@@ -335,11 +343,11 @@ def fit(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining(), id_c
     At most max_labelled labelled documents come to the driver, as feature vectors, one row of each id; unlabelled ones all take part and stay
     in tasks. A document with labels of both classes counts for the one that most have; null labels and labels of other documents are passed over.
     """
-    view = docs.select(F.col(id_col).alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang"), F.col("source").alias("_source"))
+    view = _shown(docs, id_col)
     labelled = labels.where("quality is not null").groupBy(F.col("doc_id").alias("_label_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("_y"))
     known = view.select("_id").distinct().join(labelled, F.col("_id") == F.col("_label_id")).select(F.col("_id").alias("_want"), "_y").orderBy(F.xxhash64(F.lit(how.seed), "_want"), "_want").limit(how.max_labelled)
     # bounded by the limit above
-    rows = view.join(F.broadcast(known), F.col("_id") == F.col("_want")).groupBy("_want", "_y").agg(F.min(F.struct("_text", "_lang", "_source")).alias("_r"))
+    rows = view.join(F.broadcast(known), F.col("_id") == F.col("_want")).groupBy("_want", "_y").agg(F.min(F.struct("_text", "_lang", "_source", "_chars")).alias("_r"))
     found = _features(rows.select("_want", "_y", "_r.*").withColumn("_k", F.struct("_want", "_y")), "_k").select("_k.*", "_t", "_m").toArrow()
     found = found.sort_by("_want")  # results do not depend on the order of arrival
     y = found["_y"].to_numpy()
@@ -354,7 +362,7 @@ def score(docs: DataFrame, model: Model | None, how: CoTraining = CoTraining(),
     Without a model all are kept, with null scores. A null or empty text is scored by what else is known; null lang and source
     count as empty. Repeated rows get equal scores; an empty table gives no rows. Other columns of docs are ignored.
     """
-    view = docs.select(F.col(id_col).alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang"), F.col("source").alias("_source"))
+    view = _shown(docs, id_col)
     if model is None:
         none = F.lit(None).cast("double")
         return view.select(F.col("_id").alias(id_col), none.alias("text_score"), none.alias("meta_score"), none.alias("score"), F.lit(True).alias("keep"))
@@ -363,8 +371,7 @@ def score(docs: DataFrame, model: Model | None, how: CoTraining = CoTraining(),
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [(text_view(t), meta_view(t, lang, source)) for t, lang, source in _rows(part)]
-                t, m, s = model.scores(np.stack([x[0] for x in found]), np.stack([x[1] for x in found]))
+                t, m, s = model.scores(*_decoded(*_views(part)))
                 yield pa.RecordBatch.from_arrays([part["_id"], *map(pa.array, (t, m, s, s >= how.keep_from))], names=[id_col, "text_score", "meta_score", "score", "keep"])
 
     kind = dict(docs.dtypes)[id_col]
@@ -375,15 +382,17 @@ def keep_good(docs: DataFrame, model: Model | None, how: CoTraining = CoTraining
     """The rows of docs that the model keeps, with their columns, in one pass."""
     if model is None:
         return docs
-    place = [docs.columns.index(c) for c in ("text", "lang", "source")]
+    place = {f"_{k}": docs.columns.index(c) for k, c in (("text", "text"), ("lang", "lang"), ("source", "source"))}
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            view = pa.RecordBatch.from_arrays([batch.column(p) for p in place], names=["_text", "_lang", "_source"])
             for at in range(0, batch.num_rows, 512):
-                found = [(text_view(t), meta_view(t, lang, source)) for t, lang, source in _rows(view.slice(at, 512))]
-                s = model.scores(np.stack([x[0] for x in found]), np.stack([x[1] for x in found]))[2]
-                yield batch.slice(at, 512).filter(pa.array(s >= how.keep_from))
+                part = batch.slice(at, 512)
+                n = pa.nulls(part.num_rows, pa.int64()) if chars is None else part.column(chars)
+                seen = pa.RecordBatch.from_arrays([*(part.column(p) for p in place.values()), n], names=[*place, "_chars"])
+                s = model.scores(*_decoded(*_views(seen)))[2]
+                yield part.filter(pa.array(s >= how.keep_from))
 
     return docs.mapInArrow(kept, docs.schema)
 
