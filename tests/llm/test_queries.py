@@ -118,7 +118,6 @@ def test_op4(spark, there):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     start, want = 0, []
     for x in table(there):
         ids = t.encode(x["text"] or "", add_special_tokens=False).ids + [2]
