@@ -1,4 +1,8 @@
-"""Mixing sources to target weights: Sainte-Laguë quotas of equal-token blocks. DataFrame functions only."""
+"""Mixing sources to target weights: Sainte-Laguë quotas of equal-token blocks. DataFrame functions only.
+
+A source's documents stand in a seeded order and are cut into blocks of equally many words. Shards take their quotas of a source's
+blocks one after the other, in that order; when all blocks are taken, the next seats go round once more.
+"""
 
 from __future__ import annotations
 
@@ -30,7 +34,7 @@ def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
     """One row per source: _source, _size, _start (words of all sources before it), _target, _words (in a block), _blocks, _all (targets' sum).
 
     Targets are filled like water: sources in the order of cap / weight; those whose cap lies below the
-    level keep the cap, the others get weight times level.
+    level keep the cap, the others get weight times level. Ranks and levels are windows over a row per source, not per document.
     """
     by_source = Window.orderBy(F.col("_source").asc_nulls_last())
     before = by_source.rowsBetween(Window.unboundedPreceding, -1)
@@ -76,32 +80,20 @@ def block_quotas(targets: DataFrame, mix: Mix) -> DataFrame:
     return given.select("_source", "_shard", "_given", (F.col("_given") - F.coalesce(F.lag("_given").over(Window.partitionBy("_source").orderBy("_shard")), F.lit(0))).alias("_quota"))
 
 
-def _chosen_before(block: str) -> Column:
-    """How many copies the blocks before this one have together: quota seats spread evenly over the blocks, from a seeded offset."""
-    return F.expr(f"(_quota div _blocks) * ({block}) + (cast(_quota % _blocks as decimal(19,0)) * cast({block} as decimal(19,0)) + cast(_offset as decimal(19,0))) div cast(_blocks as decimal(19,0))")
-
-
-def _taken_before(words: str) -> Column:
-    """Words the mix takes from the first so many words of a source."""
-    block = f"(({words}) div _words)"
-    here = _chosen_before(block)
-    return here * F.col("_words") + (_chosen_before(f"({block} + 1)") - here) * F.expr(f"({words}) % _words")
-
-
 def source_plan(sizes: DataFrame, mix: Mix) -> DataFrame:
-    """One row per source: targets, blocks, their seats in all shards, and the seeded offset of the selection."""
+    """One row per source: targets, blocks, _seats (in all shards) and _bounds (seats in each shard and all before it, an entry per shard)."""
     targets = source_targets(sizes, mix)
-    quotas = block_quotas(targets, mix).groupBy("_source").agg(F.max("_given").alias("_quota")).withColumnRenamed("_source", "_s")
-    plan = targets.join(quotas, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("_quota", F.coalesce("_quota", F.lit(0)))
-    offset = F.pmod(F.xxhash64(F.lit(mix.seed), F.coalesce("_source", F.lit("")), F.isnull("_source")), F.greatest("_blocks", F.lit(1)))
-    return plan.withColumn("_blocks", F.greatest("_blocks", F.lit(1))).withColumn("_offset", offset)
+    quotas = block_quotas(targets, mix).groupBy("_source").agg(F.array_sort(F.collect_list(F.struct("_shard", "_quota"))).alias("_q"))
+    bounds = F.transform("_q", lambda at: F.aggregate(F.filter("_q", lambda x: x["_shard"] <= at["_shard"]), F.lit(0).cast("long"), lambda total, x: total + x["_quota"]))
+    quotas = quotas.select(F.col("_source").alias("_s"), bounds.alias("_bounds"))
+    plan = targets.join(quotas, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    plan = plan.withColumn("_bounds", F.coalesce("_bounds", F.array_repeat(F.lit(0).cast("long"), mix.n_shards))).withColumn("_blocks", F.greatest("_blocks", F.lit(1)))
+    return plan.withColumn("_seats", F.element_at("_bounds", -1))
 
 
-def placed_documents(docs: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Every document with the words before it in its source's seeded order (_at) and its source's plan."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), size.alias("_size"), *[F.col(c).alias(f"_of_{c}") for c in carry])
-    rows = rows.withColumn("_key", F.xxhash64(F.lit(mix.seed), F.col("_id")))
+def placed_documents(rows: DataFrame, mix: Mix, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every one of rows (_id, _source, _size, and what is carried) with the words before it in its source's seeded order (_at) and its source's plan."""
+    rows = rows.select("_id", "_source", "_size", *carry).withColumn("_key", F.xxhash64(F.lit(mix.seed), F.col("_id")))
     order = [F.col("_source").asc_nulls_last(), F.col("_key").asc(), F.col("_id").asc_nulls_first(), F.col("_size").asc()]
     summed = with_prefix_sums(rows, order, "_size").drop("_total")
     plan = written(source_plan(summed.select("_source", "_size"), mix).withColumnRenamed("_size", "_source_size"), "mix").withColumnRenamed("_source", "_s")
@@ -109,17 +101,33 @@ def placed_documents(docs: DataFrame, mix: Mix, id_col: str, text_col: str, sour
     return joined.withColumn("_at", F.col("_before") - F.col("_start"))
 
 
+#: Of a document in its source: in round t (0, 1, ...) its words stand _at words behind t times the source; seat j begins j * _words words behind.
+_SEAT_PARTS = """filter(flatten(transform(sequence(0L, (_seats + _blocks - 1) div _blocks - 1), t -> transform(_bounds, (upto, k) -> named_struct(
+    'round', t, 'shard', k,
+    'from', greatest(0L, (if(k = 0, 0L, _bounds[k - 1]) - t * _blocks) * _words - _at),
+    'to', least(_size, (upto - t * _blocks) * _words - _at))))), x -> x.to > x.from)"""
+
+
+def _parts() -> Column:
+    """Which words of the document go to which shard: round, shard, from, to."""
+    return F.when((F.col("_seats") > 0) & (F.col("_size") > 0), F.expr(_SEAT_PARTS))
+
+
+def _words_of(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Says for every document how many of its words the mix takes, repeats counted.
+    """Says for every document how many of its words the mix takes, repeats counted, and how many go to each shard (shard_words).
 
-    Each source's documents stand in a seeded order and are cut into blocks of equal word counts. Seats
-    for blocks go to sources by Sainte-Laguë, per shard; a source with more seats than blocks takes each
-    block once or twice. A document takes the words that it has in chosen blocks. Null sources
-    form the last source; null or blank texts have no words and take none; an empty table gives no rows.
-    Repeated rows count as documents of their own.
+    Seats for blocks go to sources by Sainte-Laguë, per shard; a source with more seats than blocks takes each block once or twice. A
+    document takes the words that it has in chosen blocks. Null sources form the last source; null or blank texts have no
+    words and take none; an empty table gives no rows. Repeated rows count as documents of their own; null ids are ids
+    like any other. Other columns of docs are ignored, whatever their names are.
     """
-    d = placed_documents(docs, mix, id_col, text_col, source_col)
-    taken = (_taken_before("_at + _size") - _taken_before("_at")).cast("long")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), _words_of(text_col).alias("_size"))
+    d = placed_documents(rows, mix).withColumn("_parts", _parts())
+    shard_words = F.expr(f"transform(sequence(0, {mix.n_shards - 1}), k -> aggregate(filter(coalesce(_parts, array()), x -> x.shard = k), 0L, (n, x) -> n + x.to - x.from))")
     return d.select(
         F.col("_id").alias(id_col),
         F.col("_source").alias("source"),
@@ -127,33 +135,27 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
         F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"),
         F.col("_words").alias("block_words"),
-        taken.alias("taken"),
+        F.expr("coalesce(aggregate(_parts, 0L, (n, x) -> n + x.to - x.from), 0L)").alias("taken"),
+        shard_words.alias("shard_words"),
     )
 
 
-def mix_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: docs with each text cut down to the words that mix_sources takes of it; what it takes twice is a second row.
+def mix_documents(docs: DataFrame, mix: Mix = Mix(), text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", shard_col: str | None = None) -> DataFrame:
+    """The mix itself: a row for each part of a document that goes to a shard, with the text cut down to it; most documents go whole, or not at all.
 
-    Blocks keep the white space between their words. Documents of which nothing is taken, and so those without words, are gone; all
-    other columns stay as they are. Rows that repeat an id are told apart by a hash of their texts; those alike in both may exchange places.
+    What is taken twice is a second row. Cut texts keep the white space between their words. Documents of which nothing is taken,
+    and so those without words, are gone; all other columns stay as they are, whatever their names are. shard_col adds the shard.
+    Repeated rows and rows that repeat an id count as documents of their own.
     """
-    rows = docs.withColumn("_hash", F.xxhash64(text_col))
-    plan = placed_documents(rows, mix, id_col, text_col, source_col, carry=("_hash",)).withColumnRenamed("_of__hash", "_hash")
-    plan = plan.where((F.col("_quota") > 0) & (F.col("_size") > 0)).select("_id", "_hash", "_at", "_size", "_words", "_quota", "_blocks", "_offset")
-    plan = plan.withColumnsRenamed({"_id": "_plan_id", "_hash": "_plan_hash"})
-    same = F.col("_plan_id").eqNullSafe(F.col(id_col)) & (F.col("_plan_hash") == F.col("_hash")) & (F.col("_plan_row") == F.col("_row"))
-    own = Window.partitionBy(id_col, "_hash").orderBy(F.lit(0))
-    plan = plan.withColumn("_plan_row", F.row_number().over(Window.partitionBy("_plan_id", "_plan_hash").orderBy("_at")))
-    d = rows.withColumn("_row", F.row_number().over(own)).join(plan, same)
+    marked = written(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_mark"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), _words_of(text_col).alias("_size")), "to-mix")
+    plan = placed_documents(marked, mix, carry=("_mark",)).withColumn("_part", F.explode(_parts()))
+    whole = F.col("_row")[text_col]
+    d = marked.select("_mark", "_row", "_size").join(plan.select("_mark", "_part"), "_mark")
     spaced = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
-    d = d.withColumn("_pieces", F.regexp_extract_all(text_col, F.lit(spaced), F.lit(0)))
-    d = d.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("(_quota + _blocks - 1) div _blocks"))))
-    chosen = """filter(sequence(_at div _words, (_at + _size - 1) div _words), b ->
-        (cast(_quota % _blocks as decimal(19,0)) * cast(b as decimal(19,0)) + cast(_offset as decimal(19,0))) % cast(_blocks as decimal(19,0)) >= _blocks - _quota % _blocks)"""
-    part = "slice(_pieces, cast(greatest(b * _words - _at, 0) + 1 as int), cast(least((b + 1) * _words - _at, _size) - greatest(b * _words - _at, 0) as int))"
-    cut = F.expr(f"array_join(transform({chosen}, b -> array_join({part}, '')), '')")
-    d = d.withColumn(text_col, F.when(F.col("_time") <= F.expr("_quota div _blocks"), F.col(text_col)).otherwise(cut))
-    return d.where(F.octet_length(text_col) > 0).select(*docs.columns)
+    cut = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(spaced), F.lit(0)), F.col("_part.from").cast("int") + 1, (F.col("_part.to") - F.col("_part.from")).cast("int")), "")
+    text = F.when(F.col("_part.to") - F.col("_part.from") == F.col("_size"), whole).otherwise(cut)
+    shard = [] if shard_col is None else [F.col("_part.shard").alias(shard_col)]
+    return d.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns], *shard)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
