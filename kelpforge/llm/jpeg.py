@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpforge.llm.common import written
+
 #: Payloads are filled up with bytes 255 to a multiple of this.
 UNIT = 576
 #: Coefficients packed at a time, a multiple of 8; blocks transformed at a time.
@@ -467,20 +469,24 @@ def feature_of(rgb: np.ndarray) -> str:
 def decode_media(stored: DataFrame, id_col: str = "doc_id", tensors: bool = True) -> DataFrame:
     """Adds payload (null of files that encode_jpeg did not make), height, width, feature and, if asked for, rgb (binary: height x width x 3, 8-bit) to id, n_bytes and media. A null medium has nulls."""
 
+    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.string(), pa.binary())[: 5 if tensors else 4]
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256), []
-                for m in part["media"]:
-                    if (data := m.as_py()) is None:
-                        rows.append((None,) * (5 if tensors else 4))
-                        continue
+            at, rows, held = 0, [], 0
+            for k, m in enumerate(batch["media"], 1):
+                if (data := m.as_py()) is None:
+                    rows.append((None,) * len(kinds))
+                else:
                     d = Decoder(data)
                     rgb = d.rgb()
                     rows.append((d.payload(), *rgb.shape[:2], feature_of(rgb), *([rgb.tobytes()] if tensors else [])))
-                kinds = (pa.binary(), pa.int32(), pa.int32(), pa.string(), pa.binary())
-                made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds[: len(rows[0])], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "payload", "height", "width", "feature", *["rgb"] * tensors])
+                    held += rgb.size
+                if held > 1 << 22 or k == batch.num_rows:  # tensors of a few MB at a time
+                    part = batch.slice(at, k - at)
+                    made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "payload", "height", "width", "feature", *["rgb"] * tensors])
+                    at, rows, held = k, [], 0
 
     kind = dict(stored.dtypes)[id_col]
     schema = f"{id_col} {kind}, n_bytes long, media binary, payload binary, height int, width int, feature string" + ", rgb binary" * tensors
@@ -488,8 +494,9 @@ def decode_media(stored: DataFrame, id_col: str = "doc_id", tensors: bool = True
 
 
 def op2_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = decode_media(store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")), tensors=False)
-    return d.select(
+    """The media column is a table in the shared folder; what is read from it gives payloads, features and the tensors (rgb), which the result carries."""
+    stored = written(store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
+    return decode_media(stored).select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
@@ -498,4 +505,7 @@ def op2_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "height",
+        "width",
+        "rgb",
     )
