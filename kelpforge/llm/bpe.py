@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from kelpforge.llm.chunks import Memo, grouped
 
 NONE = np.int32(2**31 - 1)
-#: Longer pieces go through merge_long, one by one; rows of a matrix at a time.
-LONGEST_ROW = 192
+#: Bytes of the widest rows: a row takes as many rounds as it has merges, and each round goes over the row, so that longer pieces (a few KB without a
+#: break) would take time that grows with the square; these go through merge_long, which does the same merges in a linked row. Cells of a matrix at a time.
+LONGEST_ROW = 4096
 CELLS = 1 << 20
 
 
@@ -60,6 +61,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def bucket_of(n: int) -> int:
+    """Width of the matrix for pieces of n bytes."""
+    step = 4 if n <= 32 else 32 if n <= 256 else 256 if n <= 1024 else 1024
+    return -(-n // step) * step
+
+
 class Vocabulary:
     """Ranks of tokens, and of pairs that merge into one."""
 
@@ -85,7 +92,7 @@ class Vocabulary:
             elif len(p) > LONGEST_ROW:
                 out[i] = self.merge_long(p)
             elif p:
-                buckets.setdefault((len(p) + 3) // 4 * 4 if len(p) <= 32 else (len(p) + 31) // 32 * 32, []).append(i)
+                buckets.setdefault(bucket_of(len(p)), []).append(i)
         for width, members in buckets.items():
             step = max(1, CELLS // width)
             for at in range(0, len(members), step):
