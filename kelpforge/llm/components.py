@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from kelpforge.llm.common import written
 
 
+#: Neighbours up to which a node is joined like any other.
+HUB = 256
+
+
 class Forest:
     """Union-find over the links that one task sees: keeps only those that join something new."""
 
@@ -44,6 +48,14 @@ def forest_edges(edges: DataFrame, limit: int = 500_000) -> DataFrame:
     return edges.select("_a", "_b").mapInArrow(thinned, "_a long, _b long")
 
 
+def _with_lowest(edges: DataFrame, lowest: DataFrame, n: int) -> DataFrame:
+    """edges with _m of their _a. lowest: _a, _m, _n (neighbours), n: neighbours of all nodes together. Nodes of more than a 10,000th of them are 10,000 at most: they are broadcast, and their edges stay where they are."""
+    most = max(HUB, n // 10_000)
+    hubs = F.broadcast(lowest.where(F.col("_n") > most).select("_a", F.col("_m").alias("_hub")))
+    found = edges.join(hubs, "_a", "left")
+    return found.where("_hub is not null").select("_a", "_b", F.col("_hub").alias("_m")).unionByName(found.where("_hub is null").join(lowest.where(F.col("_n") <= most), "_a").select("_a", "_b", "_m"))
+
+
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """_node and _root (the smallest node that it reaches) of every node of edges (_a, _b, both long). Edges in either direction, repeated ones and loops are allowed.
 
@@ -53,19 +65,19 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     e = edges.where("_a != _b").select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).distinct()
     e = written(e, "edges")
-    state = None
+    state, n = None, e.count()
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
-        lowest = both.groupBy("_a").agg(F.least(F.min("_b"), F.first("_a")).alias("_m"))
-        large = both.where("_b > _a").join(lowest, "_a").select(F.col("_b").alias("_a"), F.col("_m").alias("_b")).where("_a != _b")
-        lowest = large.groupBy("_a").agg(F.min("_b").alias("_m"))
-        small = large.join(lowest, "_a")
+        lowest = both.groupBy("_a").agg(F.least(F.min("_b"), F.first("_a")).alias("_m"), F.count(F.lit(1)).alias("_n"))
+        large = _with_lowest(both.where("_b > _a"), lowest, 2 * n).select(F.col("_b").alias("_a"), F.col("_m").alias("_b")).where("_a != _b")
+        lowest = large.groupBy("_a").agg(F.min("_b").alias("_m"), F.count(F.lit(1)).alias("_n"))
+        small = _with_lowest(large, lowest, n)
         small = small.select(F.col("_b").alias("_a"), F.col("_m").alias("_b")).where("_a != _b").unionByName(lowest.select("_a", F.col("_m").alias("_b"))).distinct()
         e = written(small, "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_a", "_b").cast("decimal(38,0)"))).first()
         if now == state:
             break
-        state = now
+        state, n = now, now[0]
     else:
         raise RuntimeError(f"components have not settled after {rounds} rounds")
     return e.select(F.col("_a").alias("_node"), F.col("_b").alias("_root")).unionByName(e.select(F.col("_b").alias("_node"), F.col("_b").alias("_root")).distinct())

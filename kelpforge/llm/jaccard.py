@@ -54,8 +54,8 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for at in range(0, batch.num_rows, 500):  # not all texts of a batch at once
-        yield from shingle_sets(batch["_text"].slice(at, 500).cast(pa.binary()).to_pylist())
+    for at in range(0, batch.num_rows, 200):  # not all texts of a batch at once
+        yield from shingle_sets(batch["_text"].slice(at, 200).cast(pa.binary()).to_pylist())
 
 
 def _signature(s: np.ndarray) -> bytes:
@@ -74,7 +74,8 @@ def described(docs: DataFrame, how: Join) -> tuple[DataFrame, np.ndarray]:
 
         def count() -> None:
             if waiting:
-                np.add(counts, np.bincount(np.concatenate(waiting), minlength=1 << bits), out=counts, casting="unsafe")
+                at, n = np.unique(np.concatenate(waiting), return_counts=True)
+                counts[at] += n.astype(np.uint32)
                 waiting.clear()
 
         held = 0
@@ -89,9 +90,9 @@ def described(docs: DataFrame, how: Join) -> tuple[DataFrame, np.ndarray]:
                     if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(c)
-                    waiting.append((s >> np.uint64(64 - bits)).astype(np.int64))
+                    waiting.append((s >> np.uint64(64 - bits)).astype(np.uint32))
                     held += len(s)
-                    if held > 1 << 20:
+                    if held > 1 << 18:
                         count()
                         held = 0
             nothing = pa.nulls(len(ids))
@@ -269,7 +270,8 @@ def undecided(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of shingles whose classes lie in different components, with _root, and for each shingle _size (its rows) and _lead (one of its classes). roots: _class, _root of all classes."""
     s = shared.select("_token", "_class", "_n", "_at").join(roots, "_class")
     mixed_ = s.groupBy("_token").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count(F.lit(1)).alias("_size"), F.min("_class").alias("_lead")).where("_lo != _hi")
-    return written(s.join(mixed_.select("_token", "_size", "_lead"), "_token"), "undecided")
+    mixed_ = written(mixed_.select("_token", "_size", "_lead"), "mixed")  # a table, so that the join can split a shingle that many share
+    return written(s.join(mixed_, "_token"), "undecided")
 
 
 def across(s: DataFrame, how: Join) -> DataFrame:
@@ -289,7 +291,8 @@ def within_families(s: DataFrame, classes: DataFrame, docs: DataFrame, how: Join
     crowded = s.where(F.col("_size") > how.crowd)
     family = connected_components(forest_edges(crowded.select(F.col("_class").alias("_a"), F.col("_lead").alias("_b")))).withColumnRenamed("_root", "_family")
     m = crowded.select("_class", "_n", "_root").distinct().join(family, F.col("_class") == F.col("_node")).drop("_node")
-    sizes = m.groupBy("_family").agg(F.expr(f"(sum(_n) + {how.block} - 1) div {how.block}").alias("_blocks"))
+    m = written(m, "families")
+    sizes = written(m.groupBy("_family").agg(F.expr(f"(sum(_n) + {how.block} - 1) div {how.block}").alias("_blocks")), "sizes")
     m = m.join(sizes, "_family").withColumn("_own", F.pmod(F.xxhash64("_class"), "_blocks"))
     m = m.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     m = m.select("_family", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"), (F.col("_own") > F.col("_other")).cast("int").alias("_side"), "_class", "_root")
@@ -370,8 +373,6 @@ def _spanning(near: np.ndarray, rep: np.ndarray, root: np.ndarray, rep_b: np.nda
     return pa.RecordBatch.from_arrays([pa.array(rep[a[keep]], pa.int64()), pa.array(rep_b[b[keep]], pa.int64())], names=["_a", "_b"])
 
 
-
-
 def jaccard_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id (the smallest id that links reach, its own included) of every document.
 
@@ -387,15 +388,17 @@ def jaccard_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_i
     first = written(_pairs(led, how.percent), "pairs")
     links = written(verified(first, classes, rows, how), "links")
 
-    def rooted(links: DataFrame) -> DataFrame:
-        found = connected_components(links)
-        return classes.select("_class", "_rep").join(found, F.col("_rep") == F.col("_node"), "left").select("_class", F.coalesce("_root", "_rep").alias("_root"))
-
-    open_ = undecided(shared, rooted(links))
+    found = connected_components(links)
+    roots = written(classes.select("_class", "_rep").join(found, F.col("_rep") == F.col("_node"), "left").select("_class", "_rep", F.coalesce("_root", "_rep").alias("_root")), "roots")
+    open_ = undecided(shared, roots.select("_class", "_root"))
     rest = _pairs(across(open_, how), how.percent)
     rest = written(rest.join(first.select("_class", "_class_b"), ["_class", "_class_b"], "left_anti"), "pairs")
-    more = written(verified(rest, classes, rows, how).unionByName(within_families(open_, classes, rows, how)), "links")
-    named = rooted(links.unionByName(more))
+    more = verified(rest, classes, rows, how).unionByName(within_families(open_, classes, rows, how))
+    # what is linked later joins components: only their roots are followed further
+    for end in ("_a", "_b"):
+        more = more.join(roots.select(F.col("_rep").alias(end), F.col("_root").alias(f"{end}_root")), end).drop(end)
+    joined = written(connected_components(more.select(F.col("_a_root").alias("_a"), F.col("_b_root").alias("_b"))).withColumnsRenamed({"_node": "_old", "_root": "_new"}), "joined")
+    named = roots.join(joined, F.col("_root") == F.col("_old"), "left").select("_class", F.coalesce("_new", "_root").alias("_root"))
     return sets.join(named, "_class", "left").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_root", "_id").alias("component_id"))
 
 

@@ -12,7 +12,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 WIDTH = 5
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.Generator(np.random.PCG64(20240601)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -32,13 +32,13 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n of the base and of its inverse, kept per process up to the usual size."""
     if _powers and len(_powers[0]) > n:
         return _powers[0], _powers[1]
-    size = max(n, BYTES_AT_ONCE + (1 << 18)) + 1
+    size = max(n, BYTES_AT_ONCE + (1 << 17)) + 1
     made = []
     for base in (_BASE, _INVERSE):
         p = np.full(size, base)
         p[0] = 1
         made.append(np.multiply.accumulate(p))
-    if size <= BYTES_AT_ONCE + (1 << 18) + 1:
+    if size <= BYTES_AT_ONCE + (1 << 17) + 1:
         _powers[:] = made
     return made[0], made[1]
 
