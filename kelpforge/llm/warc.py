@@ -26,6 +26,8 @@ from kelpforge.llm.common import fresh_dir, open_store, written
 LEAST_SHARED = 100
 BLOCK_LINES = 1000
 ARCHIVE_BYTES = 1 << 30
+#: Bytes of records that a task of the query reads, about.
+READ_BYTES = 64 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -76,13 +78,17 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(url_col), F.lit("")).alias("_url"), payload.alias("_payload")).withColumn("_digest", F.sha2("_payload", 256))
-    shared = rows.where(F.octet_length("_payload") >= LEAST_SHARED).groupBy("_digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest", "_first")
-    rows = rows.join(shared, "_digest", "left").withColumn("_refers", F.when(F.col("_first") != F.col("_id"), F.col("_first")))
+    may_share = F.octet_length("_payload") >= LEAST_SHARED
+    shared = rows.where(may_share).groupBy("_digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest", "_first")
+    shared = written(shared, "shared")  # a table, so that the join can split a payload that many pages have
+    short = rows.where(~may_share).withColumn("_refers", F.lit(None).cast("long"))  # they all may be alike, and need no partner
+    rows = rows.where(may_share).join(shared, "_digest", "left").withColumn("_refers", F.when(F.col("_first") != F.col("_id"), F.col("_first")))
+    rows = rows.select("_id", "_url", "_payload", "_digest", "_refers").unionByName(short.select("_id", "_url", "_payload", "_digest", "_refers"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = path = None
         offset = 0
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             found = []
             for page_id, url, data, digest, refers in zip(*(batch[c].to_pylist() for c in ("_id", "_url", "_payload", "_digest", "_refers")), strict=True):
                 if out is not None and offset >= ARCHIVE_BYTES:
@@ -194,8 +200,9 @@ def read_range(path: str, offset: int, length: int) -> bytes:
     return s.read(length)
 
 
-def read_captures(wanted: DataFrame, parts: DataFrame, id_col: str = "page_id") -> DataFrame:
+def read_captures(wanted: DataFrame, parts: DataFrame, id_col: str = "page_id", tasks: int | None = None) -> DataFrame:
     """Looks every wanted (_key, _id) up in the index, once each, and reads its record from the archive. _key: of reversed_host_key.
+    tasks: among how many ranges of keys the reading is dealt; keys are small, and what they lead to is not.
 
     Returns id, payload_bytes, payload_digest (computed from a response's payload; of a revisit as recorded), record_type, refers_to, payload (null for revisits).
     """
@@ -233,7 +240,8 @@ def read_captures(wanted: DataFrame, parts: DataFrame, id_col: str = "page_id")
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[id_col, "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
     order = [F.col("_key").asc(), F.col("_id").asc()]
-    dealt = wanted.select("_key", "_id").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    tasks = tasks or int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = wanted.select("_key", "_id").distinct().repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     return dealt.mapInArrow(read, f"{id_col} long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
@@ -241,4 +249,6 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_dir(spark, "warc")
     captures = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     parts = write_index(captures, folder)
-    return read_captures(captures, parts).drop("payload")
+    held = captures.agg(F.sum("_length")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), held // READ_BYTES)
+    return read_captures(captures, parts, tasks=tasks).drop("payload")
