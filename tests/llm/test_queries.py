@@ -91,6 +91,10 @@ def test_op2(spark, there):
         whole = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]))
         assert seen.setdefault(raw, (r["media_sha256"], r["feature"])) == (r["media_sha256"], r["feature"])
+        assert len(r["rgb"]) == r["height"] * r["width"] * 3
+        tensor = np.frombuffer(r["rgb"], np.uint8).reshape(r["height"], r["width"], 3)
+        means = ",".join(f"{m:.3f}" for m in tensor.reshape(-1, 3).mean(axis=0))
+        assert r["feature"] == f"{r['height']}x{r['width']}:{means}:{hashlib.sha256(r['rgb']).hexdigest()[:16]}"
 
 
 def components(n, links):
