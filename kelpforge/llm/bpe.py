@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpforge.llm.common import lean
 from kelpforge.llm.chunks import Memo, grouped
 
 NONE = np.int32(2**31 - 1)
@@ -203,8 +204,8 @@ def _vocabulary(path: str, pattern: str) -> tuple[Vocabulary, Memo]:
     return _loaded[path, pattern]
 
 
-def encode_bpe(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ids (binary: little-endian unsigned 32-bit numbers) of every whole text.
+def encode_bpe(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """id and ids (binary: little-endian unsigned 32-bit numbers) of every whole text; with decoded, what decode_bpe adds too, in the same pass.
 
     ranks: a .tiktoken file at the same path on all machines. pattern: finds the pieces that are merged separately; it must give a
     space to the piece behind it, as the public patterns for such files do. A null text is an empty one and has no ids; rows that
@@ -216,11 +217,12 @@ def encode_bpe(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
             k = 0
             for run in grouped(v.as_py() or "" for v in batch["_text"]):
                 got = _vocabulary(ranks, pattern)[1].texts(run)
-                yield pa.RecordBatch.from_arrays([batch["_id"].slice(k, len(got)), pa.array(got, pa.binary())], names=[id_col, "ids"])
+                back = [pa.array([decode_ids(x, ranks) for x in got], pa.binary())] * decoded
+                yield pa.RecordBatch.from_arrays([batch["_id"].slice(k, len(got)), pa.array(got, pa.binary()), *back], names=[id_col, "ids", *["decoded"] * decoded])
                 k += len(got)
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(encode, f"{id_col} {kind}, ids binary")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(lean(encode), f"{id_col} {kind}, ids binary" + ", decoded binary" * decoded)
 
 
 def decode_bpe(encoded: DataFrame, ranks: str, id_col: str = "doc_id") -> DataFrame:
@@ -234,7 +236,7 @@ def decode_bpe(encoded: DataFrame, ranks: str, id_col: str = "doc_id") -> DataFr
                 yield pa.RecordBatch.from_arrays([part[id_col], part["ids"], pa.array(got, pa.binary())], names=[id_col, "ids", "decoded"])
 
     kind = dict(encoded.dtypes)[id_col]
-    return encoded.select(id_col, "ids").mapInArrow(decode, f"{id_col} {kind}, ids binary, decoded binary")
+    return encoded.select(id_col, "ids").mapInArrow(lean(decode), f"{id_col} {kind}, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -243,7 +245,7 @@ def digests(docs: DataFrame, ranks: str | None = None, pattern: str | None = Non
         import public_tokenizers as public
 
         ranks, pattern = ranks or public.path("byte_bpe_multi_50k.tiktoken"), pattern or public.PATTERN
-    d = decode_bpe(encode_bpe(docs, ranks, pattern), ranks)
+    d = encode_bpe(docs, ranks, pattern, decoded=True)
     return d.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

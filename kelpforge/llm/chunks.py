@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 #: Entries that a memo holds before it starts anew, the longest part that it keeps, and the characters encoded at a time.
 MEMO_ENTRIES = 250_000
 MEMO_CHARS = 48
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 2_000_000
 
 _WIDE = re.compile(r" \s")
 _CUT = re.compile(r" (?=\S)")

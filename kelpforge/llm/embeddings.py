@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpforge.llm.common import written
+from kelpforge.llm.common import lean, written
 from kelpforge.llm.components import Forest, connected_components
 
 
@@ -95,7 +95,7 @@ def _prepared(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 out.append(None if x is None or not len(x) or not np.isfinite(x).all() or not x.any() else (x + 0.0).tobytes())
             yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(out, pa.binary())], names=["_id", "_vec"])
 
-    return vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v")).mapInArrow(prepare, "_id long, _vec binary")
+    return vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v")).mapInArrow(lean(prepare), "_id long, _vec binary")
 
 
 def _coded(classes: DataFrame, how: Search, width: int, bands: int) -> DataFrame:
@@ -107,7 +107,7 @@ def _coded(classes: DataFrame, how: Search, width: int, bands: int) -> DataFrame
                 keys = (np.unpackbits(codes, axis=1) @ _band_weights(how.bits, width, bands, how.seed)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.select(["_rep", "_w", "_vec"]).columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factors), pa.array(keys.tolist(), pa.list_(pa.int64()))], names=["_rep", "_w", "_vec", "_code", "_factor", "_keys"])
 
-    return classes.select("_rep", "_w", "_vec").mapInArrow(code, "_rep long, _w long, _vec binary, _code binary, _factor double, _keys array<long>")
+    return classes.select("_rep", "_w", "_vec").mapInArrow(lean(code), "_rep long, _w long, _vec binary, _code binary, _factor double, _keys array<long>")
 
 
 class _Linker:
@@ -190,7 +190,7 @@ def _compared(met: DataFrame, how: Search, width: int, bands: int) -> DataFrame:
             linker.run(held["_band"][0].as_py(), held["_lo"][0] != held["_hi"][0], held)
             yield linker.taken()
 
-    return met.mapInArrow(compare, "_a long, _b long, _n long")
+    return met.mapInArrow(lean(compare), "_a long, _b long, _n long")
 
 
 def near_copies(vectors: DataFrame, how: Search = Search(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

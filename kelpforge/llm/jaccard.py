@@ -17,13 +17,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from kelpforge.llm.common import written
+from kelpforge.llm.common import give_back, lean, written
 from kelpforge.llm.components import Forest, connected_components, forest_edges
 from kelpforge.llm.shingles import class_of, mixed, shingle_sets
 
@@ -106,7 +105,7 @@ def described(docs: DataFrame, how: Join) -> tuple[DataFrame, np.ndarray]:
             yield pa.RecordBatch.from_arrays([nothing.cast(pa.int64()), nothing.cast(pa.int64()), nothing.cast(pa.int64()), nothing.cast(pa.binary()), pa.array(chunks, pa.int32()), pa.array(data, pa.binary())], names=NAMES)
 
     NAMES = ["_id", "_class", "_n", "_signature", "_chunk", "_counts"]
-    both = written(docs.mapInArrow(describe, "_id long, _class long, _n long, _signature binary, _chunk int, _counts binary"), "sets")
+    both = written(docs.mapInArrow(lean(describe), "_id long, _class long, _n long, _signature binary, _chunk int, _counts binary"), "sets")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}  # at most the whole sketch
@@ -116,11 +115,12 @@ def described(docs: DataFrame, how: Join) -> tuple[DataFrame, np.ndarray]:
                 sums[c] = sums[c] + part if c in sums else part
         yield pa.RecordBatch.from_pydict({"_chunk": pa.array(list(sums), pa.int32()), "_counts": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
 
-    total = both.where("_chunk is not null").select("_chunk", "_counts").repartition(CHUNKS, "_chunk").mapInArrow(summed, "_chunk int, _counts binary")
+    total = both.where("_chunk is not null").select("_chunk", "_counts").repartition(CHUNKS, "_chunk").mapInArrow(lean(summed), "_chunk int, _counts binary")
     sketch = np.zeros(1 << bits, np.uint32)
     step = (1 << bits) // CHUNKS
     for c, data in total.toLocalIterator():  # a row per chunk, of a fixed size
         sketch[c * step : (c + 1) * step] = np.frombuffer(data, np.uint32)
+    give_back()
     return both.where("_chunk is null").select("_id", "_class", "_n", "_signature"), sketch
 
 
@@ -160,7 +160,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, how: Join) -> DataFrame:
     def as_batch(parts: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["_token", "_salt", "_class", "_n", "_at"])
 
-    return docs.mapInArrow(send, "_token long, _salt int, _class long, _n int, _at int")
+    return docs.mapInArrow(lean(send), "_token long, _salt int, _class long, _n int, _at int")
 
 
 def runs(sent: DataFrame, how: Join) -> DataFrame:
@@ -212,7 +212,7 @@ def runs(sent: DataFrame, how: Join) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[4]), pa.array(x[2].astype(np.int32)), pa.array(x[3].astype(np.int32)), pa.array(b[4]), pa.array(b[2].astype(np.int32)), pa.array(b[3].astype(np.int32))], names=["_token", "_class", "_n", "_at", "_class_b", "_n_b", "_at_b"])
 
     order = ["_token", "_salt", "_n", "_at", "_class"]
-    return sent.repartition("_token", "_salt").sortWithinPartitions(*order).mapInArrow(lead, "_token long, _class long, _n int, _at int, _class_b long, _n_b int, _at_b int")
+    return sent.repartition("_token", "_salt").sortWithinPartitions(*order).mapInArrow(lean(lead), "_token long, _class long, _n int, _at int, _class_b long, _n_b int, _at_b int")
 
 
 def _may_link(n: str, n_b: str, at: str, at_b: str, percent: int) -> Column:
@@ -229,12 +229,12 @@ def _pairs(candidates: DataFrame, percent: int) -> DataFrame:
     return first.where(f"{100 + percent}L * (1 + least(_n - _at, _n_b - _at_b) - 1) >= {percent} * (cast(_n as bigint) + _n_b)").select("_class", "_class_b", "_n", "_n_b")
 
 
-@F.pandas_udf(LongType())
-def _bound(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(LongType())
+def _bound(a: pa.Array, b: pa.Array) -> pa.Array:
     """Suffix filter: the intersection is at most what both signatures have in each bucket; full buckets may hold any number, which the caller bounds by the sets' sizes."""
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, BUCKETS) for s in (a, b))
+    x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(-1, BUCKETS) for s in (a, b))
     low = np.minimum(x, y).astype(np.int64)
-    return pd.Series(np.where((low == 255).any(axis=1), np.int64(2**62), low.sum(axis=1)))
+    return pa.array(np.where((low == 255).any(axis=1), np.int64(2**62), low.sum(axis=1)))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
@@ -263,7 +263,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, how: Join) -
                     keep.append(both > 0 and 100 * both >= how.percent * (len(x) + len(y) - both) and forest.join(a, b))
                 yield part.select(["_a", "_b"]).filter(pa.array(keep, pa.bool_()))
 
-    return p.mapInArrow(verify, "_a long, _b long")
+    return p.mapInArrow(lean(verify), "_a long, _b long")
 
 
 def undecided(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -310,7 +310,7 @@ def within_families(s: DataFrame, classes: DataFrame, docs: DataFrame, how: Join
                 yield _spanning(near, *(x[np.searchsorted(at, side_)] for side_ in (first, second) for x in (rep, root)))
 
     place = ["_family", "_lo", "_hi"]
-    return m.repartition(*place).sortWithinPartitions(*place).mapInArrow(link, "_a long, _b long")
+    return m.repartition(*place).sortWithinPartitions(*place).mapInArrow(lean(link), "_a long, _b long")
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:

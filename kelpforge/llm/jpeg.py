@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpforge.llm.common import written
+from kelpforge.llm.common import lean, written
 
 #: Payloads are filled up with bytes 255 to a multiple of this.
 UNIT = 576
@@ -457,7 +457,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([batch["_id"].slice(at, 256), pa.array([n for n, _ in made], pa.int64()), media], names=[id_col, "n_bytes", "media"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(encode, f"{id_col} {kind}, n_bytes long, media binary")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(lean(encode), f"{id_col} {kind}, n_bytes long, media binary")
 
 
 def feature_of(rgb: np.ndarray) -> str:
@@ -490,7 +490,7 @@ def decode_media(stored: DataFrame, id_col: str = "doc_id", tensors: bool = True
 
     kind = dict(stored.dtypes)[id_col]
     schema = f"{id_col} {kind}, n_bytes long, media binary, payload binary, height int, width int, feature string" + ", rgb binary" * tensors
-    return stored.select(id_col, "n_bytes", "media").mapInArrow(decode, schema)
+    return stored.select(id_col, "n_bytes", "media").mapInArrow(lean(decode), schema)
 
 
 def op2_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpforge.llm.common import lean
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: What the method adds: addresses behind a scheme, account numbers behind a cue or with valid check digits, keys and passwords behind a cue or of a known form, postal addresses.
 KINDS = (*BASE_KINDS, "url", "account", "secret", "address")
@@ -249,7 +250,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([part["_id"], pa.array(spans, _SPANS)], names=[id_col, "spans"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(find, f"{id_col} {kind}, spans {SPANS}")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(lean(find), f"{id_col} {kind}, spans {SPANS}")
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -276,7 +277,7 @@ def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 new = pa.array([t and redacted(t, find_spans(t, a)) for t in texts], part.schema.field(place).type)
                 yield pa.RecordBatch.from_arrays([new if i == place else c for i, c in enumerate(part.columns)], schema=part.schema)
 
-    return docs.mapInArrow(redact, docs.schema)
+    return docs.mapInArrow(lean(redact), docs.schema)
 
 
 def _listed(spans: Column) -> Column:

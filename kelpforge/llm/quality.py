@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpforge.llm.common import written
+from kelpforge.llm.common import give_back, lean, written
 
 TEXT_DIM = 1024
 SOURCES, LANGS, LENGTHS = 64, 16, 32
@@ -135,9 +135,9 @@ class Pool:
             if out is not None:
                 yield pa.RecordBatch.from_pydict({"_s": pa.array([out.tobytes()], pa.binary())})
 
-        sums = self.rows.mapInArrow(part, "_s binary")
+        sums = self.rows.mapInArrow(lean(part), "_s binary")
         if self.many:  # sums of sums, so that what the driver gets does not grow with the input
-            sums = sums.repartition(32).mapInArrow(added, "_s binary")
+            sums = sums.repartition(32).mapInArrow(lean(added), "_s binary")
         found = [np.frombuffer(r["_s"]) for r in sums.collect()]
         return np.sum(found, axis=0) if found else f(np.zeros((0, TEXT_DIM)), np.zeros((0, META_DIM)), np.zeros(0))
 
@@ -327,7 +327,7 @@ def _features(rows: DataFrame, carry: str) -> DataFrame:
                 t, m = _views(part)
                 yield pa.RecordBatch.from_arrays([part[carry], pa.array(t, pa.binary()), pa.array(m, pa.binary())], names=[carry, "_t", "_m"])
 
-    return rows.select(carry, "_text", "_lang", "_source", "_chars").mapInArrow(views, f"{carry} {dict(rows.dtypes)[carry]}, _t binary, _m binary")
+    return rows.select(carry, "_text", "_lang", "_source", "_chars").mapInArrow(lean(views), f"{carry} {dict(rows.dtypes)[carry]}, _t binary, _m binary")
 
 
 def unlabelled(docs: DataFrame, labelled: DataFrame, how: CoTraining) -> DataFrame:
@@ -353,7 +353,13 @@ def fit(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining(), id_c
     y = found["_y"].to_numpy()
     if len(set(y)) < 2:
         return None
-    return co_train(*_decoded(found["_t"].to_pylist(), found["_m"].to_pylist()), y, Pool(unlabelled(view, labelled, how)), how)
+    pool = Pool(unlabelled(view, labelled, how))
+    views = _decoded(found["_t"].to_pylist(), found["_m"].to_pylist())
+    del found
+    model = co_train(*views, y, pool, how)
+    del views
+    give_back()  # the driver's process goes on with other stages
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, how: CoTraining = CoTraining(), id_col: str = "doc_id") -> DataFrame:
@@ -375,7 +381,7 @@ def score(docs: DataFrame, model: Model | None, how: CoTraining = CoTraining(),
                 yield pa.RecordBatch.from_arrays([part["_id"], *map(pa.array, (t, m, s, s >= how.keep_from))], names=[id_col, "text_score", "meta_score", "score", "keep"])
 
     kind = dict(docs.dtypes)[id_col]
-    return view.mapInArrow(scored, f"{id_col} {kind}, text_score double, meta_score double, score double, keep boolean")
+    return view.mapInArrow(lean(scored), f"{id_col} {kind}, text_score double, meta_score double, score double, keep boolean")
 
 
 def keep_good(docs: DataFrame, model: Model | None, how: CoTraining = CoTraining()) -> DataFrame:
@@ -394,7 +400,7 @@ def keep_good(docs: DataFrame, model: Model | None, how: CoTraining = CoTraining
                 s = model.scores(*_decoded(*_views(seen)))[2]
                 yield part.filter(pa.array(s >= how.keep_from))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(lean(kept), docs.schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

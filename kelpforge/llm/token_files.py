@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpforge.llm.chunks import split_parts
-from kelpforge.llm.common import fresh_dir, open_store, written
+from kelpforge.llm.common import fresh_dir, lean, open_store, written
 
 MARK = b"KFBITS01"
 TAIL = struct.Struct("<5q8s")
@@ -276,7 +276,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 2, i
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     order = [F.col("_id").asc_nulls_first(), F.xxhash64("_text").asc()]
-    files = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, "part long, path string, n_docs long, n_tokens long")
+    files = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(write), "part long, path string, n_docs long, n_tokens long")
     files = written(files, "token-files")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)))
@@ -304,7 +304,7 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=[id_col, "start", "n_tokens", "ids"])
 
     dealt = files.select("path", "start").repartition(max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return dealt.mapInArrow(read, f"{id_col} long, start long, n_tokens long, ids binary")
+    return dealt.mapInArrow(lean(read), f"{id_col} long, start long, n_tokens long, ids binary")
 
 
 def crc_of(ids: bytes) -> int:

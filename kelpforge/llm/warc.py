@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpforge.llm.common import fresh_dir, open_store, written
+from kelpforge.llm.common import fresh_dir, lean, open_store, written
 
 #: Payloads shorter than this are stored whole each time; lines of an index block; bytes of an archive after which the next begins.
 LEAST_SHARED = 100
@@ -108,7 +108,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         if out is not None:
             out.close()
 
-    return written(rows.select("_id", "_url", "_payload", "_digest", "_refers").mapInArrow(write, "_key string, _id long, _path string, _offset long, _length long"), "captures")
+    return written(rows.select("_id", "_url", "_payload", "_digest", "_refers").mapInArrow(lean(write), "_key string, _id long, _path string, _offset long, _length long"), "captures")
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
@@ -145,7 +145,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"_part": [part], "_path": [f"{folder}/{name}"], "_first": [first], "_directory": [at], "_size": [at + len(data)]})
 
     order = [F.col("_key").asc(), F.col("_id").asc(), F.col("_path").asc(), F.col("_offset").asc()]
-    return written(captures.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, "_part long, _path string, _first string, _directory long, _size long"), "index")
+    return written(captures.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(write), "_part long, _path string, _first string, _directory long, _size long"), "index")
 
 
 class Index:
@@ -242,7 +242,7 @@ def read_captures(wanted: DataFrame, parts: DataFrame, id_col: str = "page_id",
     order = [F.col("_key").asc(), F.col("_id").asc()]
     tasks = tasks or int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = wanted.select("_key", "_id").distinct().repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(read, f"{id_col} long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return dealt.mapInArrow(lean(read), f"{id_col} long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
