@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -41,15 +41,15 @@ def uniform(seed: Column, k: Column) -> Column:
     return draw32(seed, k) / 4294967296.0
 
 
-@F.pandas_udf(DoubleType())
-def uniform64(seed: pd.Series, k: pd.Series) -> pd.Series:
+@F.arrow_udf(DoubleType())
+def uniform64(seed: pa.Array, k: pa.Array) -> pa.Array:
     """The k-th number of splitmix64 as a double; SQL has no unsigned 64-bit products."""
     with np.errstate(over="ignore"):
-        z = seed.to_numpy().astype(np.int64).view(np.uint64) + (k.to_numpy().astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        z = seed.cast(pa.int64()).to_numpy().view(np.uint64) + (k.cast(pa.int64()).to_numpy().view(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z = z ^ (z >> np.uint64(31))
-    return pd.Series(z.astype(np.float64) / 2.0**64)
+    return pa.array(z.astype(np.float64) / 2.0**64)
 
 
 def normal_pair(u1: Column, u2: Column) -> tuple[Column, Column]:
@@ -70,19 +70,38 @@ def radical_inverse(i: Column, base: int) -> Column:
         f = s["f"] / float(base)
         return F.struct(F.floor(s["n"] / base).cast("long").alias("n"), f.alias("f"), (s["x"] + F.pmod(s["n"], F.lit(base)) * f).alias("x"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(min(digits, 40))), start, step, lambda s: s["x"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(digits)), start, step, lambda s: s["x"])
 
 
 def halton(i: Column, dims: int) -> list[Column]:
+    if dims > len(PRIMES):
+        raise ValueError(f"points of at most {len(PRIMES)} dimensions")
     return [radical_inverse(i, p) for p in PRIMES[:dims]]
 
 
 # Degree, coefficients and first direction numbers of dimensions 2 to 21, as published by Joe and Kuo (2008).
-JOE_KUO = """
-1 0 1 | 2 1 1 3 | 3 1 1 3 1 | 3 2 1 1 1 | 4 1 1 1 3 3 | 4 4 1 3 5 13 | 5 2 1 1 5 5 17 | 5 4 1 1 5 5 5 | 5 7 1 1 7 11 19 | 5 11 1 1 5 1 1
-| 5 13 1 1 1 3 11 | 5 14 1 3 5 5 31 | 6 1 1 3 3 9 7 49 | 6 13 1 1 1 15 21 21 | 6 16 1 3 1 13 27 49 | 6 19 1 1 1 15 7 5 | 6 22 1 3 1 15 13 25
-| 6 25 1 1 5 5 19 61 | 7 1 1 3 7 11 23 15 103 | 7 4 1 3 7 13 13 15 69
-"""
+JOE_KUO = (
+    (1, 0, 1),
+    (2, 1, 1, 3),
+    (3, 1, 1, 3, 1),
+    (3, 2, 1, 1, 1),
+    (4, 1, 1, 1, 3, 3),
+    (4, 4, 1, 3, 5, 13),
+    (5, 2, 1, 1, 5, 5, 17),
+    (5, 4, 1, 1, 5, 5, 5),
+    (5, 7, 1, 1, 7, 11, 19),
+    (5, 11, 1, 1, 5, 1, 1),
+    (5, 13, 1, 1, 1, 3, 11),
+    (5, 14, 1, 3, 5, 5, 31),
+    (6, 1, 1, 3, 3, 9, 7, 49),
+    (6, 13, 1, 1, 1, 15, 21, 21),
+    (6, 16, 1, 3, 1, 13, 27, 49),
+    (6, 19, 1, 1, 1, 15, 7, 5),
+    (6, 22, 1, 3, 1, 15, 13, 25),
+    (6, 25, 1, 1, 5, 5, 19, 61),
+    (7, 1, 1, 3, 7, 11, 23, 15, 103),
+    (7, 4, 1, 3, 7, 13, 13, 15, 69),
+)
 SOBOL_BITS = 30
 
 
@@ -91,7 +110,9 @@ def directions(dim: int) -> tuple[int, ...]:
     """Direction numbers of a dimension (from 0), scaled to 30 bits."""
     if dim == 0:
         return tuple(1 << (SOBOL_BITS - 1 - b) for b in range(SOBOL_BITS))
-    s, a, *m = map(int, JOE_KUO.split("|")[dim - 1].split())
+    if dim > len(JOE_KUO):
+        raise ValueError(f"points of at most {len(JOE_KUO) + 1} dimensions")
+    s, a, *m = JOE_KUO[dim - 1]
     for k in range(s, SOBOL_BITS):
         new = m[k - s] ^ (m[k - s] << s)
         for j in range(1, s):
@@ -103,6 +124,7 @@ def directions(dim: int) -> tuple[int, ...]:
 def sobol(i: Column, dim: int) -> Column:
     """Coordinate of the i-th Sobol point in Gray-code order, found without the points before it."""
     i = i.cast("long")
+    i = F.when((i < 0) | (i >= 1 << SOBOL_BITS), F.raise_error(F.lit(f"the index of a point must lie in [0, 2 ** {SOBOL_BITS})"))).otherwise(i)
     gray = i.bitwiseXOR(F.shiftrightunsigned(i, 1))
     x = F.lit(0).cast("long")
     for b, v in enumerate(directions(dim)):
@@ -110,13 +132,33 @@ def sobol(i: Column, dim: int) -> Column:
     return x / float(1 << SOBOL_BITS)
 
 
-@F.pandas_udf(DoubleType())
-def normal_quantile(u: pd.Series) -> pd.Series:
-    """Of the standard normal distribution; u is kept 1e-15 away from 0 and 1. SQL has no inverse error function."""
-    from statistics import NormalDist
-
-    inverse = NormalDist().inv_cdf
-    return u.map(lambda x: None if x is None or x != x else inverse(min(max(x, 1e-15), 1 - 1e-15)))
+# The coefficients of Wichura's algorithm AS 241, numerators and denominators by rising power, for the middle, the shoulders and the tails.
+QUANTILE_MIDDLE = (
+    (3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727),
+    (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610),
+)
+QUANTILE_SHOULDERS = (
+    (1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 7.74545014278341407640e-4),
+    (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590, 0.0151986665636164571966, 5.47593808499534494600e-4, 1.05075007164441684324e-9),
+)
+QUANTILE_TAILS = (
+    (6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230, 0.0265321895265761230930, 0.00124266094738807843860, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+    (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15),
+)
+
+
+def _ratio(coefficients: tuple, x: Column) -> Column:
+    above, below = (reduce(lambda total, c: total * x + c, reversed(some[:-1]), F.lit(some[-1])) for some in coefficients)
+    return above / below
+
+
+def normal_quantile(u: Column) -> Column:
+    """Of the standard normal distribution, as a column; u is kept 1e-15 away from 0 and 1."""
+    p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), u))
+    q = p - 0.5
+    r = F.sqrt(-F.log(F.when(q < 0, p).otherwise(1 - p)))
+    outer = F.signum(q) * F.when(r <= 5, _ratio(QUANTILE_SHOULDERS, r - 1.6)).otherwise(_ratio(QUANTILE_TAILS, r - 5))
+    return F.when(u.isNull() | F.isnan(u), u).otherwise(F.when(F.abs(q) <= 0.425, q * _ratio(QUANTILE_MIDDLE, 0.180625 - q * q)).otherwise(outer))
 
 
 class Input:

@@ -23,14 +23,29 @@ def cited(tex: Column) -> Column:
 
 
 def family_first(name: Column) -> Column:
-    """'Given Family' as 'Family, Given'; names with a comma, and single words, stay."""
-    n = F.trim(name)
-    return F.when(n.contains(",") | ~n.contains(" "), n).otherwise(F.concat(F.regexp_extract(n, r"(\S+)$", 1), F.lit(", "), F.regexp_extract(n, r"^(.*)\s+\S+$", 1)))
-
-
-def authors(names: Column) -> Column:
-    """A list of names for a bibliography entry."""
-    return F.array_join(F.transform(names, family_first), " and ")
+    """'G. Family' as 'Family, G.', 'G. Family Jr.' as 'Family, Jr., G.'. A name that does not begin with an initial is an institution's and goes in braces, as do single words."""
+    words = F.filter(F.split(F.trim(name), r"\s+"), lambda w: w != "")
+    suffixed = F.element_at(words, -1).rlike(r"(?i)^(jr\.?|sr\.?|ii|iii|iv)$")
+    own = F.when(suffixed, F.slice(words, 1, F.size(words) - 1)).otherwise(words)
+    given = F.array_join(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))), " ")
+    person = (F.size(words) > 1) & words[0].rlike(r"^[A-Z]\.$")
+    turned = F.concat_ws(", ", F.try_element_at(own, F.lit(-1)), F.when(suffixed, F.element_at(words, -1)), given)
+    return F.when(person, turned).otherwise(F.concat(F.lit("{"), name, F.lit("}")))
+
+
+def authors(shown: Column) -> Column:
+    """Authors as shown (between commas, ampersands, semicolons or 'and'), for a bibliography entry. What is in brackets goes; a last 'et al.' or 'and others' is 'others'."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(shown, r"\s*\([^)]*\)", ""), r"\s+", " "))
+    more = r"(?i)\s*(\bet al\.?|\band others)\s*$"
+    names = F.filter(F.transform(F.split(F.regexp_replace(plain, more, ""), r"(?i)\s*(?:[&;,]|\band\b)\s*"), lambda n: F.trim(n)), lambda n: n != "")
+    rest = F.when(plain.rlike(more), F.array(F.lit("others"))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.transform(names, family_first), rest), " and ")
+
+
+def entry(kind: Column, key: Column, fields: dict[str, Column]) -> Column:
+    """A bibliography entry: fields that are null or empty are left out."""
+    lines = [F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"  {name} = {{"), v, F.lit("}"))) for name, v in fields.items()]
+    return F.concat(F.lit("@"), kind, F.lit("{"), key, F.lit(",\n"), F.concat_ws(",\n", *lines), F.lit("\n}"))
 
 
 def escaped(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpforge.functions import flight, plant, random, sunlight, text
-from kelpforge.operators import bom, folds, graph, growth, neighbours, paired, uncertainty
+from kelpforge.operators import bom, graph, growth, neighbours, paired, uncertainty
 from kelpforge.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,12 +233,27 @@ def mc_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(uncertainty.summary(uncertainty.monte_carlo(spark, INPUTS, finding, 20000, 42)))
 
 
-@query()
+def _sobol_sql(i: str, dim: int) -> str:
+    """The i-th point's coordinate: the direction numbers of the bits that its Gray code has."""
+    x = "0::bigint"
+    for bit, v in enumerate(random.directions(dim)):
+        x = f"xor({x}, (xor({i}, {i} >> 1) >> {bit} & 1) * {v}::bigint)"
+    return f"(({x}) / {2.0**random.SOBOL_BITS!r}::double)"
+
+
+_AT = {"a": "(1 + 2 * {u})", "b": "(0.5 * exp({u} * ln(16)))"}  # INPUTS, c is fixed
+_Y = lambda a, b: f"({a} * {b} + sqrt({a}) * 2)"  # noqa: E731  finding
+
+
+@query(f"""with p as (select i, {", ".join(f"{_sobol_sql('(i + 1)', j)} as p{j}" for j in range(2))} from range(0, 1024) t(i)), d as (select r * 3 + j as k, r, j, 5::bigint as seed from range(0, 16) a(r), range(0, 2) b(j)), {_U32},
+    s as (select r, max(case when j = 0 then draw / 4294967296.0::double end) as s0, max(case when j = 1 then draw / 4294967296.0::double end) as s1 from u group by r),
+    m as (select r, avg({_Y(_AT["a"].format(u="((p0 + s0) % 1)"), _AT["b"].format(u="((p1 + s1) % 1)"))}) as y from p, s group by r), e as (select avg(y) as mean, stddev_pop(y) / sqrt(count(y)) as stderr from m)
+    select round(mean, 6) as mean, round(stderr, 6) as stderr, round(mean - 1.645 * stderr, 6) as lo, round(mean + 1.645 * stderr, 6) as hi, 16384 as evaluations from e""")
 def qmc_mean(spark: SparkSession, d: str) -> DataFrame:
-    return uncertainty.qmc_mean(spark, INPUTS, finding, 1024, 5)
+    return rounded(uncertainty.qmc_mean(spark, INPUTS, finding, 1024, 5))
 
 
-@query()
+@query(f"select i as id, {', '.join(f'{_sobol_sql("i", j)} as x{j}' for j in range(6))} from range(0, 1024) t(i)")
 def sobol_points(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1024).select("id", *[random.sobol(F.col("id"), j).alias(f"x{j}") for j in range(6)])
 
@@ -249,20 +264,37 @@ def halton_points(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(512).select("id", *[F.round(x, 12).alias(f"x{j}") for j, x in enumerate(random.halton(F.col("id"), 3))])
 
 
-@query()
+def _design_sql(n: int) -> str:
+    """The design of _Y over INPUTS with seed 9: row, a, b, ab_i and ba_i; m has mean and variance of a and b together."""
+    u = ", ".join(f"max(case when j = {j} then draw / 4294967296.0::double end) as u{j}" for j in range(6))
+    return f"""d as (select i * 6 + j as k, i, j, 9::bigint as seed from range(0, {n}) r(i), range(0, 6) s(j)), {_U32}, w as (select i, {u} from u group by i),
+    v as (select i, {_AT["a"].format(u="u0")} as aa, {_AT["b"].format(u="u1")} as ab, {_AT["a"].format(u="u3")} as ba, {_AT["b"].format(u="u4")} as bb from w),
+    t as (select i, {_Y("aa", "ab")} as ya, {_Y("ba", "bb")} as yb, {_Y("ba", "ab")} as ab_a, {_Y("aa", "bb")} as ab_b, {_Y("aa", "ab")} as ab_c, {_Y("aa", "bb")} as ba_a, {_Y("ba", "ab")} as ba_b, {_Y("ba", "bb")} as ba_c from v),
+    m as (select avg(y) as mean, var_pop(y) as var from (select ya as y from t union all select yb from t))"""
+
+
+@query(f"""with {_design_sql(8192)}, l as (select unnest(['a', 'b', 'c']) as input, unnest([ab_a, ab_b, ab_c]) as x, ya, yb from t), e as (select input, (yb - mean) * (x - ya) / var as s, (ya - x) * (ya - x) / (2 * var) as t from l, m),
+    g as (select input, avg(s) as first, 1.645 * stddev_pop(s) / sqrt(count(s)) as sh, avg(t) as total, 1.645 * stddev_pop(t) / sqrt(count(t)) as th from e group by input)
+    select input, round(first, 6) as first, round(total, 6) as total, round(first - sh, 6) as first_lo, round(first + sh, 6) as first_hi, round(total - th, 6) as total_lo, round(total + th, 6) as total_hi, row_number() over (order by total desc, input) as rank from g""")
 def sobol_first_total(spark: SparkSession, d: str) -> DataFrame:
-    return uncertainty.sobol_indices(uncertainty.design(spark, INPUTS, finding, 8192, 9), list(INPUTS))
+    return rounded(uncertainty.sobol_indices(uncertainty.design(spark, INPUTS, finding, 8192, 9), list(INPUTS)))
 
 
-@query()
+_FIRST = lambda n: f"(yb - mean) * (ab_{n} - ya)"
+_PAIRS = (("a", "b"), ("a", "c"), ("b", "c"))
+
+
+@query(f"""with {_design_sql(8192)} {" union all ".join(f"select '{i}' as input_a, '{j}' as input_b, round(avg((ba_{i} * ab_{j} - ya * yb - {_FIRST(i)} - {_FIRST(j)}) / var), 6) as interaction from t, m" for i, j in _PAIRS)}""")
 def sobol_second(spark: SparkSession, d: str) -> DataFrame:
-    return uncertainty.second_order_indices(uncertainty.design(spark, INPUTS, finding, 8192, 9, second_order=True), list(INPUTS))
+    return rounded(uncertainty.second_order_indices(uncertainty.design(spark, INPUTS, finding, 8192, 9, second_order=True), list(INPUTS)))
 
 
-@query()
+@query(f"""with {_design_sql(2048)}, q as (with d as (select r * 2048 + k as k, r, 3::bigint as seed from range(0, 300) a(r), range(0, 2048) b(k)), {_U32} select r, draw % 2048 as i from u),
+    z as (select r, ya, yb, ab_a, ab_b, ab_c from q join t using (i)), g as (select r, count(*) as n, sum(ya + yb) / (2 * count(*)) as mean, sum(ya * ya + yb * yb) / (2 * count(*)) as sq, sum((ya - ab_a) ** 2) as ta, sum((ya - ab_b) ** 2) as tb, sum((ya - ab_c) ** 2) as tc from z group by r),
+    l as (select unnest(['a', 'b', 'c']) as input, unnest([ta, tb, tc]) / (2 * n * (sq - mean * mean)) as total from g), o as (select input, list_sort(list(total)) as v from l group by input) select input, round(v[16], 6) as total_lo, round(v[285], 6) as total_hi from o""")
 def sobol_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    n = 1024
-    return uncertainty.bootstrap_indices(uncertainty.design(spark, INPUTS, finding, n, 9), list(INPUTS), 50, 3, n)
+    n = 2048
+    return rounded(uncertainty.bootstrap_indices(uncertainty.design(spark, INPUTS, finding, n, 9), list(INPUTS), 300, 3, n))
 
 
 @query(f"""with g as (select o_orderpriority, list_sort(list(o_totalprice)) as v, count(*) as n from (select o_orderpriority, avg(o_totalprice) as o_totalprice from orders group by o_orderpriority, o_custkey) where o_totalprice is not null group by 1),
@@ -417,26 +449,9 @@ def json_field(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count(k).alias("n"), F.sum(k).alias("total"))
 
 
-def seeded_runs(spark: SparkSession, d: str) -> DataFrame:
-    """A run per supplier; its key is the seed."""
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("run"), F.col("s_suppkey").alias("seed"))
-
-
-@query()
-def mortality(spark: SparkSession, d: str) -> DataFrame:
-    runs = seeded_runs(spark, d).select("run", F.lit(500).alias("population"), F.lit(60).alias("days"), F.lit(0.02).alias("hazard"), "seed")
-    return folds.mortality(runs)
-
-
-@query()
-def fleet(spark: SparkSession, d: str) -> DataFrame:
-    runs = seeded_runs(spark, d).select("run", "seed", F.lit(2000.0).alias("mass"), (0.9 + F.pmod("run", F.lit(10)) / 100).alias("closure"), F.lit(40.0).alias("kwh_per_kg"), F.lit(20.0).alias("rate"), F.lit(1500.0).alias("days"), F.lit(10.0).alias("dt"), F.lit(0.1).alias("jitter"), F.lit(200).alias("most"))
-    return folds.fleet_summary(folds.fleet(runs), runs)
-
-
-@query()
-def front(spark: SparkSession, d: str) -> DataFrame:
-    """A settlement front for each supplier's seed, each way of knowing in turn."""
-    ways = F.array(F.lit("instant"), F.lit("lightspeed"), F.lit("inflight"))
-    runs = seeded_runs(spark, d).select("run", "seed", F.lit(120).alias("n"), F.element_at(ways, F.pmod("run", F.lit(3)).cast("int") + 1).alias("knowledge"))
-    return folds.settlement_summary(folds.settlement(runs), runs)
+@query("""with n as (select string_split_regex(trim(regexp_replace(regexp_replace(c_name, '#', ' ', 'g'), '[ ]+', ' ', 'g')), ' ') as w, c_custkey from customer) select c_custkey, '{' || array_to_string(w, ' ') || '} and ' || case c_custkey % 3 when 0 then 'Freitas, Jr., R. A.' when 1 then 'Nicholson, A.' else 'Freitas, R. A. and {International Astronomical Union}' end || case when c_custkey % 2 = 0 then ' and others' else '' end as authors from n""")
+def bibliography_names(spark: SparkSession, d: str) -> DataFrame:
+    """Display strings of authors, made from customers' names and fixed ones, as a bibliography has them."""
+    some = F.element_at(F.array(F.lit("R. A. Freitas Jr."), F.lit("A. Nicholson (eds.)"), F.lit("R. A. Freitas and International Astronomical Union")), (F.pmod("c_custkey", F.lit(3)) + 1).cast("int"))
+    shown = F.concat(F.trim(F.regexp_replace(F.regexp_replace("c_name", "#", " "), " +", " ")), F.lit(" & "), some, F.when(F.pmod("c_custkey", F.lit(2)) == 0, " et al.").otherwise(""))
+    return table(spark, d, "customer").select("c_custkey", text.authors(shown).alias("authors"))
