@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kelpforge.llm import bpe, embeddings, jaccard, jpeg, mixing, pii, quality, sharding, token_files, warc
+from kelpforge.llm.oracles import ORACLE_SQL
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -17,4 +18,4 @@ QUERIES = {
     "op10_jaccard": jaccard.op10_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
