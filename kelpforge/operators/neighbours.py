@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpforge.functions.random import normal_pair, uniform
+from kelpforge.session import with_checkpoints
 
 # From definitions: m/s of light, s of a Julian year, m of a parsec.
 LIGHT_PC_PER_YEAR = 299792458 * 31557600 / 3.0856775814913673e16
@@ -103,9 +103,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, cell: float | Non
         return _ranked(queries.join(_placed(points), F.lit(True)), k, None)
     both = queries.select("x", "y", "z").unionByName(points.select("x", "y", "z"))
     span = both.where(~(F.isnan("x") | F.isnan("y") | F.isnan("z"))).agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
-    spark = queries.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())  # only where the cluster names none
+    with_checkpoints(queries.sparkSession)
     across = 1.001 * math.sqrt(sum((v or 0.0) ** 2 for v in span))
     out, open_ = None, queries
     while True:

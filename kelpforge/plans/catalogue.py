@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kelpforge.functions import flight, plant, random, sunlight, text
 from kelpforge.operators import bom, graph, growth, neighbours, paired, uncertainty
-from kelpforge.session import table
+from kelpforge.session import table, with_checkpoints
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -364,7 +364,7 @@ def lookers(spark: SparkSession, d: str) -> DataFrame:
     p as (select q.star as query, s.star, (q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y) + (q.z - s.z) * (q.z - s.z) as d2, q.star % 2 = 0 as instant, s.settled from s q, s where q.star != s.star),
     v as (select * from p where d2 <= 0.09 * 0.09 and not (settled is not null and settled <= 30 and (instant or settled + sqrt(d2) / (299792458.0 * 31557600 / 3.0856775814913673e16) <= 30))),
     r as (select *, row_number() over (partition by query order by d2, star) as rank from v) select query, star, round(d2, 9) as d2, rank from r where rank <= 3""")
-def knn_visible(spark: SparkSession, d: str) -> DataFrame:
+def knn_visible_near(spark: SparkSession, d: str) -> DataFrame:
     """The three nearest within a cell's size that one does not believe settled, by an equi-join on cells."""
     found = neighbours.nearest_within(lookers(spark, d), stars(spark, d), 3, 0.09)
     return found.select("query", "star", F.round("d2", 9).alias("d2"), F.col("rank").cast("long").alias("rank"))
@@ -374,7 +374,7 @@ def knn_visible(spark: SparkSession, d: str) -> DataFrame:
     p as (select q.star as query, s.star, (q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y) + (q.z - s.z) * (q.z - s.z) as d2, q.star % 2 = 0 as instant, s.settled from s q, s where q.star != s.star),
     v as (select * from p where not (settled is not null and settled <= 30 and (instant or settled + sqrt(d2) / (299792458.0 * 31557600 / 3.0856775814913673e16) <= 30))),
     r as (select *, row_number() over (partition by query order by d2, star) as rank from v) select query, star, round(d2, 9) as d2, rank from r where rank <= 3""")
-def knn_visible_anywhere(spark: SparkSession, d: str) -> DataFrame:
+def knn_visible(spark: SparkSession, d: str) -> DataFrame:
     """The three nearest that one does not believe settled, however far, by equi-joins on growing cells."""
     found = neighbours.nearest(lookers(spark, d), stars(spark, d), 3, cell=0.09)
     return found.select("query", "star", F.round("d2", 9).alias("d2"), F.col("rank").cast("long").alias("rank"))
@@ -413,10 +413,7 @@ def band_lookup(spark: SparkSession, d: str) -> DataFrame:
 def reach(spark: SparkSession, d: str) -> DataFrame:
     """Nations that reach nation 3 along edges made of suppliers."""
     s = table(spark, d, "supplier").select(F.pmod(F.col("s_nationkey").cast("long"), F.lit(25)).alias("src"), F.pmod(F.col("s_suppkey") * 7 + 3, F.lit(25)).alias("dst"))
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())  # only where the cluster names none
+    with_checkpoints(spark)
     return graph.reaching(s, spark.createDataFrame([(3,)], "node long"))
 
 

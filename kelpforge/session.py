@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that results depend on, or that suit any cluster; sizes stay with the cluster.
@@ -20,5 +23,14 @@ def local_session(app: str = "kelpforge", cores: int | str = "*", partitions: in
     return b.config(map=SETTINGS | {"spark.sql.shuffle.partitions": str(partitions)}).getOrCreate()
 
 
+def with_checkpoints(spark: SparkSession) -> None:
+    """Where no folder for checkpoints is named, a temporary one is, if the session runs on one machine (tests)."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kelpforge-"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
