@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kelpforge.llm import bpe, collocations, embeddings, jaccard, jpeg, mixing, pii, quality, sharding, token_files, vector_codes, warc
+from kelpforge.llm import bpe, collocations, embeddings, jaccard, jpeg, mixing, packing, pii, quality, sharding, token_files, vector_codes, warc
 from kelpforge.llm.oracles import ORACLE_SQL
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_jaccard": jaccard.op10_jaccard,
     "op11_collocations": collocations.op11_collocations,
+    "op12_packing": packing.op12_packing,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
