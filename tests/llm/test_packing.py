@@ -132,7 +132,7 @@ def test_plan():
         of, start, tokens, seq, offset = made.deal(order, rank)
         assert np.bincount(of, tokens, n).tolist() == order.tolist()
         per = np.bincount(seq, tokens).astype(int)
-        assert (per > 0).all() and (per <= 1024).all() and padding(per.tolist()) <= 0.005 * order.sum()
+        assert (per > 0).all() and (per <= 1024).all() and padding(per.tolist()) <= 0.01 * order.sum()
         by = np.lexsort((offset, seq))
         ends = offset[by] + tokens[by]
         first = np.append(True, seq[by][1:] != seq[by][:-1]) if n else np.empty(0, bool)
