@@ -83,4 +83,62 @@ with recursive split as (
 select id as doc_id, (select count(*) from kept where kept.id = roots.id) as n_shingles, component_id from roots
 """
 
-ORACLE_SQL = {"op1_sharding": SHARDING, "op3_embedding_copies": EMBEDDING_COPIES, "op6_warc": WARC, "op10_jaccard": JACCARD}
+COLLOCATIONS = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), words as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), totals as (
+  select lang, sum(len(w))::bigint as n from words group by lang
+), phrases as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from words, range(1, 5) t(k) where len(w) >= k
+), f as (
+  select lang, k, phrase, count(*) as a from phrases group by lang, k, phrase
+), candidates as (
+  select *, string_split(phrase, ' ') as w from f where k > 1 and a >= 30
+), within as (
+  select lang, array_to_string(w[i + 1:i + m], ' ') as phrase, max(a) as over from candidates, range(2, 4) s(m), range(0, 3) t(i) where m < k and i + m <= k group by all
+), kept as (
+  select c.* from candidates c left join within w on w.lang = c.lang and w.phrase = c.phrase where w.over is null or 100 * w.over < 80 * c.a
+), cuts as (
+  select c.lang, c.phrase, c.a, j, p.a as l, q.a as r, (2000000::hugeint * c.a // (p.a + q.a))::bigint as score
+  from kept c, range(1, 4) t(j), f p, f q
+  where j < c.k and p.lang = c.lang and p.phrase = array_to_string(c.w[1:j], ' ') and q.lang = c.lang and q.phrase = array_to_string(c.w[j + 1:c.k], ' ')
+), lowest as (
+  select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, phrase, a, l, r, n, score
+from lowest join totals using (lang) qualify rank <= 2000
+"""
+
+#: Six rounds of moving the codebooks' entries, written out.
+_SOUND = """
+with sound as materialized (
+  select vec_id, label, embedding::double[] as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), parts as materialized (
+  select vec_id, (i - 1) // (len(v) // 8) as p, (i - 1) % (len(v) // 8) as i, floor(4096 * v[i])::bigint as x from (select vec_id, v, unnest(range(1, len(v) + 1)) as i from sound)
+), book0 as materialized (
+  select p, e, i, x from parts join (select vec_id, row_number() over (order by vec_id) - 1 as e from sound qualify e < 16) using (vec_id)
+)"""
+
+_ASSIGN = """, apart{k} as materialized (
+  select vec_id, p, e, sum((parts.x - book{k}.x) * (parts.x - book{k}.x))::bigint as d from parts join book{k} using (p, i) group by vec_id, p, e
+), assigned{k} as materialized (
+  select * from apart{k} qualify row_number() over (partition by vec_id, p order by d, e) = 1
+)"""
+
+_MOVE = """, sums{k} as (
+  select p, e, i, sum(x) as s, count(*) as n from assigned{k} join parts using (vec_id, p) group by p, e, i
+), book{l} as materialized (
+  select p, e, i, coalesce(((s - (s % n + n) % n) // n)::bigint, x) as x from book{k} left join sums{k} using (p, e, i)
+)"""
+
+_CODES = """
+select vec_id, string_agg(printf('%02x', e), '' order by p) as code, sum(d)::bigint as error, sum(sum(d)) over (partition by label)::bigint as label_error,
+  (select sha256(string_agg(x::varchar, ',' order by p, e, i)) from book6) as codebooks_sha256
+from assigned6 join sound using (vec_id) group by vec_id, label
+"""
+
+VECTOR_CODES = _SOUND + "".join(_ASSIGN.format(k=k) + _MOVE.format(k=k, l=k + 1) for k in range(6)) + _ASSIGN.format(k=6) + _CODES
+
+ORACLE_SQL = {"op1_sharding": SHARDING, "op3_embedding_copies": EMBEDDING_COPIES, "op6_warc": WARC, "op10_jaccard": JACCARD, "op11_collocations": COLLOCATIONS, "op13_vector_codes": VECTOR_CODES}
