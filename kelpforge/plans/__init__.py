@@ -1,3 +1,3 @@
 """See the modules of this package."""
 
-from kelpforge.plans import catalogue, scalars  # noqa: F401  both register their queries
+from kelpforge.plans import catalogue, scalars, studies  # noqa: F401  all register their queries
