@@ -451,4 +451,4 @@ def bibliography_names(spark: SparkSession, d: str) -> DataFrame:
     """Display strings of authors, made from customers' names and fixed ones, as a bibliography has them."""
     some = F.element_at(F.array(F.lit("R. A. Freitas Jr."), F.lit("A. Nicholson (eds.)"), F.lit("R. A. Freitas and International Astronomical Union")), (F.pmod("c_custkey", F.lit(3)) + 1).cast("int"))
     shown = F.concat(F.trim(F.regexp_replace(F.regexp_replace("c_name", "#", " "), " +", " ")), F.lit(" & "), some, F.when(F.pmod("c_custkey", F.lit(2)) == 0, " et al.").otherwise(""))
-    return table(spark, d, "customer").select("c_custkey", text.authors(shown).alias("authors"))
+    return table(spark, d, "customer").select("c_custkey", text.bibliography_names(shown).alias("authors"))

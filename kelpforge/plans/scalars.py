@@ -128,21 +128,38 @@ def settlement_grid(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(r"""with n as (select p_partkey, p_name, p_brand, p_type, '\cite[p. 3]{' || p_type || ', a' || p_size || '} and \citep{b,' || p_type || '}' as tex, p_size / 7e0 as days,
-    case p_partkey % 5 when 0 then 'arXiv preprint' when 1 then 'Proceedings of it' when 2 then 'PhD thesis' when 3 then 'Technical report' else 'Journal' end as venue from part)
-    select p_partkey, list_sort(list_distinct(['b', 'a' || split_part(split_part(tex, ', a', 2), '}', 1), p_type])) as cited, replace(p_brand, '#', '\#') as escaped,
-    case p_partkey % 5 when 0 then 'misc' when 1 then 'inproceedings' when 2 then 'phdthesis' when 3 then 'techreport' else 'article' end as kind, upper(p_name) = p_name as shouts, lower(p_name) || ' x' as plain,
-    '@misc{k' || p_partkey || ',' || chr(10) || '  title = {' || p_name || '}' || chr(10) || '}' as entry,
-    case when p_partkey % 4 = 0 then 'never' else printf('%.0f d (%.2f y)', days, days / 365.25) end as shown, case when p_partkey % 3 = 0 then 'unbounded' else printf('%.1f', days) end as rate from n""")
+#: Venues of many kinds, and the rules by which SQL tells their kinds.
+VENUE_TEXTS = ("A textbook of it", "NASA report 7", "RFC 9171", "Journal of Things", "Proc. 12 (3)", "a web page", "ISBN 0-1, a review", "Signature notes", "Acta 7")
+_VENUES = "['" + "', '".join(VENUE_TEXTS) + "']"
+_KIND = r"""case when regexp_matches(lower(venue), 'textbook|isbn') then 'book' when regexp_matches(lower(venue), 'nasa|ntrs|report|technical') then 'techreport' when regexp_matches(lower(venue), '\brfc\b|\biau\b|astm|codata|standard') then 'misc'
+    when regexp_matches(lower(venue), 'journal|transactions|trans\.|review|letters|\bnature\b|pnas|geophys|acta|astronom|env\.|environmental|\bj\.\b|doi|\d+\s*\(\d+\)|\d+:\d+') then 'article' else 'misc' end"""
+
+
+@query(rf"""with n as (select p_partkey, p_name, p_brand, p_type, '\cite[p. 3]{{' || p_type || ', a' || p_size || '}} and \citep*{{b,' || p_type || '}}, \citeauthor{{no}}' as tex, p_size / 7e0 as days, {_VENUES}[1 + p_partkey % {len(VENUE_TEXTS)}] as venue from part), k as (select *, {_KIND} as kind from n)
+    select p_partkey, list_sort(list_distinct(['b', 'a' || regexp_extract(tex, ', a(\d+)', 1), p_type])) as cited, replace(p_brand, '#', '\#') as escaped, kind, upper(p_name) = p_name as shouts,
+    '@' || kind || '{{k' || p_partkey || ',' || chr(10) || '  title = {{{{' || p_name || '}}}},' || chr(10) || '  author = {{Maker, Jr., A. ' || chr(65 + (p_partkey % 26)::int) || '. and {{' || replace(p_brand, '#', '\#') || '}} and others}},' || chr(10) || '  year = {{' || (1950 + p_partkey % 70) || '}},' || chr(10) ||
+    '  ' || case kind when 'article' then 'journal' when 'book' then 'publisher' when 'techreport' then 'institution' else 'howpublished' end || ' = {{' || venue || '}},' || chr(10) ||
+    case when p_partkey % 2 = 0 then '  url = {{http://x.example/' || p_partkey || '}},' else '  note = {{Cited by reference; no online link.}},' end || chr(10) || '}}' as entry,
+    case when p_partkey % 4 = 0 then 'never' else printf('%.0f d (%.2f y)', days, days / 365.25) end as shown, case when p_partkey % 3 = 0 then 'unbounded' else printf('%.1f', days) end as rate from k""")
 def reference_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Keys that TeX cites, escaped text, kinds of entries and entries of a bibliography, spans of time as shown."""
-    p = table(spark, d, "part")
-    tex = F.concat(F.lit("\\cite[p. 3]{"), "p_type", F.lit(", a"), F.col("p_size").cast("string"), F.lit("} and \\citep{b,"), "p_type", F.lit("}"))
-    venue = F.element_at(F.array(*map(F.lit, ("arXiv preprint", "Proceedings of it", "PhD thesis", "Technical report", "Journal"))), (F.pmod("p_partkey", F.lit(5)) + 1).cast("int"))
-    days = F.col("p_size") / 7
-    entry = text.entry(F.lit("misc"), F.concat(F.lit("k"), F.col("p_partkey").cast("string")), {"title": F.col("p_name"), "note": F.lit("")})
+    """Keys that TeX cites, escaped text, kinds of venues, entries of a bibliography, spans of time as shown."""
+    p, key = table(spark, d, "part"), F.col("p_partkey")
+    tex = F.concat(F.lit("\\cite[p. 3]{"), "p_type", F.lit(", a"), F.col("p_size").cast("string"), F.lit("} and \\citep*{b,"), "p_type", F.lit("}, \\citeauthor{no}"))
+    venue = F.element_at(F.array(*map(F.lit, VENUE_TEXTS)), (F.pmod(key, F.lit(len(VENUE_TEXTS))) + 1).cast("int"))
+    shown = F.concat(F.lit("A. "), F.char(65 + F.pmod(key, F.lit(26))), F.lit(". Maker Jr. & "), "p_brand", F.lit(" (ed.) et al."))
+    url = F.when(F.pmod(key, F.lit(2)) == 0, F.concat(F.lit("http://x.example/"), key.cast("string")))
+    entry, days = text.source_entry(F.concat(F.lit("k"), key.cast("string")), F.col("p_name"), shown, 1950 + F.pmod(key, F.lit(70)), venue, url), F.col("p_size") / 7
     return p.select(
-        "p_partkey", text.cited(tex).alias("cited"), text.escaped(F.col("p_brand")).alias("escaped"), text.entry_type(venue).alias("kind"), (F.upper("p_name") == F.col("p_name")).alias("shouts"),
-        text.normalised(F.concat(F.lit("  "), "p_name", F.lit(" \n\t X "))).alias("plain"), entry.alias("entry"), text.days_or_never(F.when(F.pmod("p_partkey", F.lit(4)) != 0, days)).alias("shown"),
-        text.rate_or_unbounded(F.when(F.pmod("p_partkey", F.lit(3)) == 0, float("inf")).otherwise(days)).alias("rate"),
+        "p_partkey", text.cited(tex).alias("cited"), text.escaped(F.col("p_brand")).alias("escaped"), text.entry_type(venue).alias("kind"), (F.upper("p_name") == F.col("p_name")).alias("shouts"), entry.alias("entry"),
+        text.days_or_never(F.when(F.pmod("p_partkey", F.lit(4)) != 0, days)).alias("shown"), text.rate_or_unbounded(F.when(F.pmod("p_partkey", F.lit(3)) == 0, float("inf")).otherwise(days)).alias("rate"),
     )
+
+
+@query(r"""with t as (select doc_id, '\emph{' || translate(substr(text, 1, 40), '{}\~$%', '      ') || '}~at 20{,}000 Per Cent,  5\% of $x$ ' || chr(10) || text as tex from documents),
+    n as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(tex, '\%', '%'), '$', ''), '~', ' '), '\\(?:emph|textbf|textit|texttt|mbox)\{([^}]*)\}', '\1', 'g'), '(\d)\{,\}(\d)', '\1,\2', 'g'), '\bper\s?cent\b', '%', 'gi'), '\s*%', '%', 'g') as x from t)
+    select doc_id, md5(lower(trim(regexp_replace(x, '\s+', ' ', 'g')))) as digest from n""")
+def abstract_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of documents as one compares abstracts, with TeX put before them."""
+    start = F.translate(F.substring("text", 1, 40), "{}\\~$%", "      ")
+    tex = F.concat(F.lit("\\emph{"), start, F.lit("}~at 20{,}000 Per Cent,  5\\% of $x$ \n"), "text")
+    return table(spark, d, "documents").select("doc_id", F.md5(text.normalised(tex)).alias("digest"))
