@@ -36,6 +36,15 @@ def draw32(seed: Column, k: Column) -> Column:
     return step(t, lambda t: t.bitwiseXOR(F.shiftrightunsigned(t, 14)))
 
 
+def draws32(seed: int, k: np.ndarray) -> np.ndarray:
+    """The same for an array of k, as unsigned 32-bit numbers."""
+    with np.errstate(over="ignore"):
+        a = np.uint32(seed & MASK) + (k.astype(np.uint32) + np.uint32(1)) * np.uint32(0x6D2B79F5)
+        t = (a ^ (a >> np.uint32(15))) * (a | np.uint32(1))
+        t = t ^ (t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61)))
+        return t ^ (t >> np.uint32(14))
+
+
 def uniform(seed: Column, k: Column) -> Column:
     """In [0, 1)."""
     return draw32(seed, k) / 4294967296.0

@@ -1,15 +1,12 @@
-"""Statistics of paired experiments: differences, sign tests, bootstraps of medians, slopes, plateaus, sweeps and shards."""
+"""Statistics of paired experiments: differences, sign tests, slopes, plateaus, sweeps and shards."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpforge.functions.random import draw32
-
 
 def percent_change(treated: Column, base: Column) -> Column:
     """Null where either is null or the base is 0."""
@@ -44,40 +41,12 @@ def summarised(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return d.select(*by, "n", "median", at(F.floor(n / 4)).alias("q1"), at(F.least(n - 1, F.floor(3 * n / 4))).alias("q3"), "mean", "positive", "nonzero", sign_p(F.col("positive"), F.col("nonzero")).alias("p"))
 
 
-def bootstrap_median(rows: DataFrame, by: Sequence[str], value: str, resamples: int, seed: int) -> DataFrame:
-    """median, lo, hi: 2.5 % and 97.5 % (by index, rounded down) of medians of resamples. Draw r n + k of the seed picks the k-th value of resample r out of the sorted values.
-
-    Values are numbered within their group and draws find them by a join, so no group is held in memory. Null values and null groups are left out.
-    """
-    d = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    d = d.withColumn("_i", (F.row_number().over(Window.partitionBy(*by).orderBy("_v")) - 1).cast("long"))
-    n = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.median("_v").alias("median"))
-    draws = d.join(n, [*by]).select(*by, "_n", "_i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("_r"))
-    draws = draws.select(*by, "_r", F.pmod(draw32(F.lit(seed), F.col("_r") * F.col("_n") + F.col("_i")), F.col("_n")).alias("_i"))
-    medians = draws.join(d, [*by, "_i"]).groupBy(*by, "_r").agg(F.median("_v").alias("_m"))
-    out = medians.groupBy(*by).agg(F.sort_array(F.collect_list("_m")).alias("_ms")).join(n, [*by])  # a median per resample
-    return out.select(*by, "median", F.element_at("_ms", F.lit(int(0.025 * resamples) + 1)).alias("lo"), F.element_at("_ms", F.lit(min(resamples - 1, int(0.975 * resamples)) + 1)).alias("hi"))
-
-
 def slope(rows: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
     """Least-squares slope, 0 where x does not vary; and the slope through the origin, null where all x are 0."""
     x_, y_ = F.col(x), F.col(y)
     return rows.groupBy(*by).agg(F.coalesce(F.regr_slope(y_, x_), F.lit(0.0)).alias("slope"), F.try_divide(F.sum(x_ * y_), F.sum(x_ * x_)).alias("through_origin"))
 
 
-def loglog_slope(rows: DataFrame, x: str, value: str, resamples: int, seed: int) -> DataFrame:
-    """slope, lo, hi: through log medians of groups against log x; each resample draws inside each group."""
-    per = rows.where(F.col(value).isNotNull()).groupBy(x).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_v"))
-    per = per.withColumn("_g", F.row_number().over(Window.orderBy(x)) - 1).withColumn("_n", F.size("_v"))
-    real = per.select(F.ln(F.col(x)).alias("_x"), F.explode("_v").alias("_y")).groupBy("_x").agg(F.median("_y").alias("_y")).agg(F.regr_slope(F.ln("_y"), F.col("_x")).alias("slope"))
-    d = per.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    draw = draw32(F.lit(seed) + F.col("_g"), F.col("_r").cast("long") * F.col("_n") + F.col("_k"))
-    d = d.groupBy("_r", x).agg(F.median(F.element_at("_v", (F.pmod(draw, F.col("_n").cast("long")) + 1).cast("int"))).alias("_m"))
-    slopes = d.groupBy("_r").agg(F.regr_slope(F.ln("_m"), F.ln(F.col(x))).alias("_s")).agg(F.sort_array(F.collect_list("_s")).alias("_s"))
-    ends = slopes.select(F.element_at("_s", F.lit(int(0.025 * resamples) + 1)).alias("lo"), F.element_at("_s", F.lit(min(resamples - 1, int(0.975 * resamples)) + 1)).alias("hi"))
-    return real.join(F.broadcast(ends))  # a row each
-
-
 def plateau(ladder: DataFrame, by: Sequence[str], k: str, value: str, threshold: float) -> DataFrame:
     """The smallest k whose value at 2 k grows by less than the threshold (relative), and null where none does."""
     b = ladder.select(*by, (F.col(k) / 2).alias(k), F.col(value).alias("_next"))
@@ -128,13 +97,3 @@ def at_coverage(rows: DataFrame, by: Sequence[str], coverage: str, order: str, v
 
 def power_of_two(n: Column) -> Column:
     return (n > 0) & (n.bitwiseAND(n - 1) == 0)
-
-
-def normal_interval() -> float:
-    """1.645, within which 90 % of a normal distribution lie on both sides."""
-    return 1.645
-
-
-def log2_levels(lo: int, hi: int) -> list[int]:
-    """Powers of two from lo to hi."""
-    return [1 << i for i in range(math.ceil(math.log2(lo)), int(math.log2(hi)) + 1)]

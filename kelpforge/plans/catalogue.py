@@ -297,15 +297,6 @@ def sobol_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(uncertainty.bootstrap_indices(uncertainty.design(spark, INPUTS, finding, n, 9), list(INPUTS), 300, 3, n))
 
 
-@query(f"""with g as (select o_orderpriority, list_sort(list(o_totalprice)) as v, count(*) as n from (select o_orderpriority, avg(o_totalprice) as o_totalprice from orders group by o_orderpriority, o_custkey) where o_totalprice is not null group by 1),
-    d as (select o_orderpriority, v, n, r, r * n + i as k, 7::bigint as seed from g, range(0, 20) a(r), lateral (select unnest(range(0, n)) as i)), {_U32}, m as (select o_orderpriority, r, median(v[draw % n + 1]) as m from u group by 1, 2), e as (select o_orderpriority, list_sort(list(m)) as ms from m group by 1)
-    select o_orderpriority, round(list_median(v), 4) as median, round(ms[1], 4) as lo, round(ms[20], 4) as hi from e join g using (o_orderpriority)""".replace("list_median(v)", "list_aggregate(v, 'median')"))
-def bootstrap_median(spark: SparkSession, d: str) -> DataFrame:
-    """Medians of customers' average orders, by priority."""
-    o = table(spark, d, "orders").groupBy("o_orderpriority", "o_custkey").agg(F.avg("o_totalprice").alias("v"))
-    return rounded(paired.bootstrap_median(o, ["o_orderpriority"], "v", 20, 7), 4)
-
-
 def two_modes(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.sum("value").alias("v"), F.count(F.lit(1)).alias("n"))
     return paired.paired(e, ["user_id"], "event_type", "click", "view", ["v", "n"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpforge.functions import random
-from kelpforge.operators import surrogates
+from kelpforge.operators import resampling, surrogates
 from kelpforge.plans.catalogue import _U32, query, rounded
 from kelpforge.session import table
 
@@ -83,3 +83,24 @@ def price_control_variate(spark: SparkSession, d: str) -> DataFrame:
     lines = priced_lines(spark, d)
     found = surrogates.control_variate(lines.where("u >= 0.1"), surrogates.fit(lines.where("u < 0.1"), BASES, DEGREE, "paid"), "paid")
     return rounded(found).withColumns({c: F.round(c, 4) for c in ("mean", "lo", "hi")})
+
+
+RESAMPLES = 2000
+
+
+@query(f"""with g as (select o_orderpriority, list_sort(list(o_totalprice)) as v, count(*) as n from (select o_orderpriority, avg(o_totalprice) as o_totalprice from orders group by o_orderpriority, o_custkey) where o_totalprice is not null group by 1),
+    d as (select o_orderpriority, v, n, r, r * n + i as k, 7::bigint as seed from g, range(0, {RESAMPLES}) a(r), lateral (select unnest(range(0, n)) as i)), {_U32}, m as (select o_orderpriority, r, median(v[draw % n + 1]) as m from u group by 1, 2), e as (select o_orderpriority, list_sort(list(m)) as ms from m group by 1)
+    select o_orderpriority, round(list_aggregate(v, 'median'), 4) as median, round(ms[{int(0.025 * RESAMPLES) + 1}], 4) as lo, round(ms[{int(0.975 * RESAMPLES) + 1}], 4) as hi from e join g using (o_orderpriority)""")
+def bootstrap_median(spark: SparkSession, d: str) -> DataFrame:
+    """Medians of customers' average orders, by priority."""
+    o = table(spark, d, "orders").groupBy("o_orderpriority", "o_custkey").agg(F.avg("o_totalprice").alias("v"))
+    return rounded(resampling.bootstrap_median(o, ["o_orderpriority"], "v", RESAMPLES, 7), 4)
+
+
+@query(f"""with g as (select floor(log2(p_size)) * log10(2e0) as x, list_sort(list(p_retailprice * (1 + p_size / 1e3))) as v, count(*) as n, row_number() over (order by x) - 1 as g from part group by 1),
+    d as (select x, v, n, r, r * n + i as k, 11 + g as seed from g, range(0, {RESAMPLES}) a(r), lateral (select unnest(range(0, n)) as i)), {_U32}, m as (select x, r, median(v[draw % n + 1]) as m from u group by 1, 2),
+    s as (select list_sort(list(s)) as s from (select regr_slope(m, x) as s from m group by r)), o as (select regr_slope(list_aggregate(v, 'median'), x) as slope from g) select round(slope, 6) as slope, round(s[{int(0.025 * RESAMPLES) + 1}], 6) as lo, round(s[{int(0.975 * RESAMPLES) + 1}], 6) as hi from s, o""")
+def loglog_slope(spark: SparkSession, d: str) -> DataFrame:
+    """How median prices grow with the order of magnitude of a part's size, with an interval from resampled prices of each."""
+    p = table(spark, d, "part").select((F.floor(F.log2("p_size")) * F.log10(F.lit(2.0))).alias("x"), (F.col("p_retailprice") * (1 + F.col("p_size") / 1e3)).alias("v"))
+    return rounded(resampling.slope_of_medians(p, "x", "v", RESAMPLES, 11))
