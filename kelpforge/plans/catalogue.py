@@ -37,7 +37,7 @@ def rounded(d: DataFrame, digits: int = 6) -> DataFrame:
 
 def parts_of_nations(spark: SparkSession, d: str) -> DataFrame:
     """Line items as parts: the customer's nation builds, what a supplier of the same nation sends is local, the quantity is the mass."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice")
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     suppliers = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")

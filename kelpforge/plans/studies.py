@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpforge.functions import random
-from kelpforge.operators import resampling, surrogates
-from kelpforge.plans.catalogue import _U32, query, rounded
-from kelpforge.session import table
+from kelpforge.operators import bom, resampling, surrogates
+from kelpforge.plans.catalogue import _U32, PARTS, parts_of_nations, query, rounded
+from kelpforge.session import fresh_folder, table
+from kelpforge.sources.files import scenario_files
+from kelpforge.sources.scenarios import blocks, parts, read_block, write_block, write_companion
 
 #: What the price of a line item is fitted on.
 BASES = {"l_quantity": surrogates.Basis("uniform", 1, 50), "l_discount": surrogates.Basis("uniform", 0, 0.1), "p_size": surrogates.Basis("uniform", 1, 50)}
@@ -104,3 +106,28 @@ def loglog_slope(spark: SparkSession, d: str) -> DataFrame:
     """How median prices grow with the order of magnitude of a part's size, with an interval from resampled prices of each."""
     p = table(spark, d, "part").select((F.floor(F.log2("p_size")) * F.log10(F.lit(2.0))).alias("x"), (F.col("p_retailprice") * (1 + F.col("p_size") / 1e3)).alias("v"))
     return rounded(resampling.slope_of_medians(p, "x", "v", RESAMPLES, 11))
+
+
+@query(f"""select 'nation ' || c_nationkey as scenario, round(sum(l_quantity), 4) as total, round(sum(case when local then l_quantity else 0 end) / sum(l_quantity), 6) as closure, count(distinct l_returnflag || local) as parts from {PARTS} group by c_nationkey""")
+def scenario_closure(spark: SparkSession, d: str) -> DataFrame:
+    """Nations written as scenario files in YAML, a file each, and read again through the data source."""
+    p = parts_of_nations(spark, d).groupBy("c_nationkey", "l_returnflag", "local").agg(F.sum("l_quantity").alias("mass"))
+    line = F.format_string("  - {name: '%s', mass_kg: %s, producible_locally: %s, processes: [a, b]}", "l_returnflag", F.col("mass").cast("string"), F.col("local").cast("string"))
+    text = F.concat(F.format_string("# made from orders\nname: nation %s\nsubsystems:\n", F.col("c_nationkey").cast("string")), F.array_join(F.array_sort(F.collect_list(line)), "\n"))  # a line per flag and side
+    path = fresh_folder(spark, "scenarios")
+    p.groupBy("c_nationkey").agg(text.alias("value")).write.partitionBy("c_nationkey").text(path)
+    found = parts(scenario_files(spark, path, **{"as": "yaml"})).withColumnRenamed("producible_locally", "local")
+    n = found.groupBy("scenario").agg(F.count(F.lit(1)).alias("parts"))
+    return bom.closure(found, ["scenario"], "mass_kg").join(n, "scenario").select("scenario", F.round("total", 4).alias("total"), F.round("closure", 6).alias("closure"), "parts")
+
+
+@query("""select 'main' as block, o_orderpriority, count(*) as n from orders group by all union all select 'recent', o_orderpriority, count(*) from orders where o_orderkey % 3 = 0 group by all""")
+def result_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """A document of results with a companion block, which is written twice: the second time replaces the first and nothing else."""
+    o, path = table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), fresh_folder(spark, "results")
+    counted = lambda rows: rows.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    write_block(counted(o), path, "main", "result_blocks", {"of": "all"})
+    for k in (2, 3):
+        write_companion(counted(o.where(F.pmod("o_orderkey", F.lit(k)) == 0)), path, "recent", "result_blocks", {"every": k})
+    found = [read_block(spark, path, b, "o_orderpriority:string, n:long").select(F.lit(b).alias("block"), "o_orderpriority", "n") for b in blocks(spark, path)]
+    return found[0].unionByName(found[1])
