@@ -41,9 +41,9 @@ class Mining:
     entries: int = 4_000_000
     run_bytes: int = BYTES_AT_ONCE
     row_ids: int = 2048
-    words_held: int = 500_000
-    pairs_at_once: int = 1 << 21
-    pairs_held: int = 1 << 22
+    words_held: int = 150_000
+    pairs_at_once: int = 1 << 20
+    pairs_held: int = 1 << 21
     tile: int = 128
     direct: int = 1024
 
