@@ -65,23 +65,31 @@ def news_has_come(settled_year: Column, distance: Column, year: Column, instant:
     return settled_year.isNotNull() & (settled_year <= year) & (instant | (settled_year + distance / LIGHT_PC_PER_YEAR <= year))
 
 
-def nearest_within(queries: DataFrame, points: DataFrame, k: int, radius: float) -> DataFrame:
-    """As nearest, but only of points within the radius, by an equi-join on cells of its size."""
-    grid = lambda c: F.floor(F.col(c) / radius)
-    around = F.sequence(F.lit(-1), F.lit(1))
-    q = queries.withColumn("_x", F.explode(around)).withColumn("_y", F.explode(around)).withColumn("_z", F.explode(around))
-    q = q.withColumns({f"_c{c}": grid(c) + F.col(f"_{c}") for c in "xyz"}).drop("_x", "_y", "_z")
+def nearest_within(queries: DataFrame, points: DataFrame, k: int, radius: float, side: float | None = None) -> DataFrame:
+    """As nearest, but only of points within the radius, by an equi-join on cells of its size. With a side, the box of that side repeats in all directions: cells are numbered modulo
+    the box, and one that is reached on both ways round is met once."""
+    if side is None:
+        size, cells, around = radius, None, [-1, 0, 1]
+    else:
+        cells = max(1, int(side / radius))
+        size, around = side / cells, [-1, 0, 1][: cells] if cells < 3 else [-1, 0, 1]
+    inside = lambda c: F.col(c) if side is None else F.pmod(F.col(c), F.lit(side))
+    grid = lambda c: F.floor(inside(c) / size) if cells is None else F.least(F.floor(inside(c) / size), F.lit(cells - 1))
+    wrapped = lambda c: c if cells is None else F.pmod(c, F.lit(cells))
+    steps = F.array(*map(F.lit, around))
+    q = queries.withColumn("_x", F.explode(steps)).withColumn("_y", F.explode(steps)).withColumn("_z", F.explode(steps))
+    q = q.withColumns({f"_c{c}": wrapped(grid(c) + F.col(f"_{c}")) for c in "xyz"}).drop("_x", "_y", "_z")
     p = _placed(points)
     d = q.join(p.withColumns({f"_c{c}": grid(f"p{c}") for c in "xyz"}), ["_cx", "_cy", "_cz"])
-    return _ranked(d, k, radius)
+    return _ranked(d, k, radius, side)
 
 
 def _placed(points: DataFrame) -> DataFrame:
     return points.select("star", *[F.col(c).alias(f"p{c}") for c in "xyz"], "settled_year")
 
 
-def _ranked(d: DataFrame, k: int, radius: float | None) -> DataFrame:
-    d = d.withColumn("d2", squared_distance([F.col(c) for c in "xyz"], [F.col(f"p{c}") for c in "xyz"]))
+def _ranked(d: DataFrame, k: int, radius: float | None, side: float | None = None) -> DataFrame:
+    d = d.withColumn("d2", squared_distance([F.col(c) for c in "xyz"], [F.col(f"p{c}") for c in "xyz"], side))
     if radius is not None:
         d = d.where(F.col("d2") <= radius * radius)
     d = d.where(~news_has_come(F.col("settled_year"), F.sqrt("d2"), F.col("year"), F.col("instant")) & ~F.array_contains("excluded", F.col("star")))
@@ -92,32 +100,51 @@ def _ranked(d: DataFrame, k: int, radius: float | None) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "star", "d2", "rank")
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int = 1, cell: float | None = None) -> DataFrame:
+def _everywhere(queries: DataFrame, points: DataFrame, k: int, side: float | None, block: int) -> DataFrame:
+    """Every point is tried for every query. Queries are broadcast in blocks of about that many; each task keeps its own k best before they meet."""
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+        found = _ranked(_placed(points).join(F.broadcast(some)), k, None, side)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def spacing(n: int, spans: Sequence[float], k: int) -> float:
+    """Size of a cell of which 27 hold about 2 k of n points that are spread over the spans."""
+    wide = [v for v in spans if v > 0]
+    return math.prod(wide) ** (1 / len(wide)) * (2 * k / (27 * max(1, n))) ** (1 / len(wide)) if wide else 1.0
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int = 1, cell: float | None = None, side: float | None = None, block: int = 2000) -> DataFrame:
     """query, star, d2, rank: the k nearest points (ties: the lower star) that a query, in its year, does not believe settled and does not exclude.
 
-    queries: query (one row each), x, y, z, year, instant, excluded (array). points: star, x, y, z, settled_year. With a cell size, all queries are
-    searched for within it; those that found fewer than k go on with twice the size, until each has k or the whole field is covered. Runs a job per round.
-    Without one, every point is tried, for queries that are few.
+    queries: query (one row each), x, y, z, year, instant, excluded (array). points: star, x, y, z, settled_year. With a side, distances go the shortest way round a box that repeats.
+    All queries are searched for within a cell's size (by default, of a size that k and the points' density give); those that found fewer than k go on with twice the size, a job
+    each round. Queries that have not found k when a cell spans the field are tried against every point, in blocks.
     """
-    if cell is None:
-        return _ranked(queries.join(_placed(points), F.lit(True)), k, None)
     both = queries.select("x", "y", "z").unionByName(points.select("x", "y", "z"))
-    span = both.where(~(F.isnan("x") | F.isnan("y") | F.isnan("z"))).agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
+    if side is None:
+        span = both.where(~(F.isnan("x") | F.isnan("y") | F.isnan("z"))).agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
+        spans = [v or 0.0 for v in span]
+    else:
+        spans = [side] * 3
+    cell = spacing(points.count(), spans, k) if cell is None else cell
     with_checkpoints(queries.sparkSession)
-    across = 1.001 * math.sqrt(sum((v or 0.0) ** 2 for v in span))
+    across = 1.001 * math.sqrt(sum(v**2 for v in spans)) if side is None else side / 3
     out, open_ = None, queries
-    while True:
-        found = nearest_within(open_, points, k, cell).checkpoint()
+    while cell < across:
+        found = nearest_within(open_, points, k, cell, side).checkpoint()
         full = found.where(F.col("rank") == k).select("query")
-        last = cell >= across
-        found = found if last else found.join(full, "query", "left_semi")  # the others are searched for again
-        out = found if out is None else out.unionByName(found)
-        if last:
-            return out
+        done = found.join(full, "query", "left_semi")  # the others are searched for again
+        out = done if out is None else out.unionByName(done)
         open_ = open_.join(full, "query", "left_anti").checkpoint()
         if open_.isEmpty():
             return out
         cell *= 2
+    rest = _everywhere(open_, points, k, side, block)
+    return rest if out is None else out.unionByName(rest)
 
 
 def fastest_of(found: DataFrame, speeds: DataFrame) -> DataFrame:
@@ -137,11 +164,11 @@ def news_meets(settled_year: Column, arrival: Column, speed: Column) -> Column:
     return (settled_year + b * arrival) / (1 + b)
 
 
-def clustering_index(points: DataFrame, side: float, cell: float) -> DataFrame:
-    """Mean distance to the nearest other point over what a random field would have; below 1 is clustered."""
+def clustering_index(points: DataFrame, side: float, cell: float | None = None, periodic: bool = False) -> DataFrame:
+    """n, index: mean distance to the nearest other point over what a random field in a box of the side would have; below 1 is clustered. Fields of fewer than two points have none."""
     q = points.select(F.col("star").alias("query"), "x", "y", "z", F.lit(0.0).alias("year"), F.lit(True).alias("instant"), F.array("star").alias("excluded"))
     p = points.withColumn("settled_year", F.lit(None).cast("double"))
-    d = nearest(q, p, 1, cell).select("query", "d2")
+    d = nearest(q, p, 1, cell, side if periodic else None).select("query", "d2")
     expected = 0.55396 * F.pow(F.count("d2") / (side**3), F.lit(-1 / 3))
     return d.agg(F.count("d2").alias("n"), (F.avg(F.sqrt("d2")) / expected).alias("index"))
 
@@ -151,11 +178,6 @@ def edge_bin(value: Column, edges: Sequence[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= value))
 
 
-def log_edges(lo: float, hi: float, n: int) -> list[float]:
-    """n + 1 edges at equal ratios."""
-    return [lo * (hi / lo) ** (i / n) for i in range(n + 1)]
-
-
 def wall_bin(point: Sequence[Column], side: float, spacing: float, edges: Sequence[float]) -> Column:
     """Bin of the distance to the nearest wall, in units of the spacing."""
     gaps = [g for c in point for g in (c, side - c)]
@@ -181,7 +203,3 @@ def light_years(distance_pc: Column) -> tuple[Column, Column]:
     """Years that light takes one way and both ways."""
     one = distance_pc / LIGHT_PC_PER_YEAR
     return one, 2 * one
-
-
-def mean_spacing(n: int, side: float) -> float:
-    return side / n ** (1 / 3) if n else math.inf

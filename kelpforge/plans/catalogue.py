@@ -343,6 +343,7 @@ def shard_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stars(spark: SparkSession, d: str) -> DataFrame:
+    """A projection of the embeddings: their first three components as places."""
     e = table(spark, d, "embeddings")
     return e.select(F.col("vec_id").alias("star"), *[F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate("xyz")], F.when(F.pmod("label", F.lit(3)) == 0, F.col("label") * 10.0).alias("settled_year"))
 
@@ -367,18 +368,10 @@ def knn_visible_near(spark: SparkSession, d: str) -> DataFrame:
     r as (select *, row_number() over (partition by query order by d2, star) as rank from v) select query, star, round(d2, 9) as d2, rank from r where rank <= 3""")
 def knn_visible(spark: SparkSession, d: str) -> DataFrame:
     """The three nearest that one does not believe settled, however far, by equi-joins on growing cells."""
-    found = neighbours.nearest(lookers(spark, d), stars(spark, d), 3, cell=0.09)
+    found = neighbours.nearest(lookers(spark, d), stars(spark, d), 3)
     return found.select("query", "star", F.round("d2", 9).alias("d2"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
-def clustering_index(spark: SparkSession, d: str) -> DataFrame:
-    side = (2000 / 1.0) ** (1 / 3)
-    a = neighbours.clustering_index(neighbours.field(spark, 2000, 1.0, 11), side, 3.0).withColumn("field", F.lit("uniform"))
-    b = neighbours.clustering_index(neighbours.clustered_field(spark, 2000, 1.0, 11, 20, 0.05), side, 3.0).withColumn("field", F.lit("clustered"))
-    return a.unionByName(b)
-
-
 @query("""select len(list_filter([1000.0, 5000.0, 10000.0, 20000.0, 40000.0, 80000.0], lambda e: e <= l_extendedprice)) as bin, count(*) as n from lineitem group by 1""")
 def fixed_bins(spark: SparkSession, d: str) -> DataFrame:
     edges = [1000.0, 5000.0, 10000.0, 20000.0, 40000.0, 80000.0]

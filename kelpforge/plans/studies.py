@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpforge.functions import random
-from kelpforge.operators import bom, resampling, surrogates
-from kelpforge.plans.catalogue import _U32, PARTS, parts_of_nations, query, rounded
+from kelpforge.operators import bom, neighbours, resampling, surrogates
+from kelpforge.plans.catalogue import _U32, PARTS, lookers, parts_of_nations, query, rounded, stars
 from kelpforge.session import fresh_folder, table
 from kelpforge.sources.files import scenario_files
 from kelpforge.sources.scenarios import blocks, parts, read_block, write_block, write_companion
@@ -131,3 +131,31 @@ def result_blocks(spark: SparkSession, d: str) -> DataFrame:
         write_companion(counted(o.where(F.pmod("o_orderkey", F.lit(k)) == 0)), path, "recent", "result_blocks", {"every": k})
     found = [read_block(spark, path, b, "o_orderpriority:string, n:long").select(F.lit(b).alias("block"), "o_orderpriority", "n") for b in blocks(spark, path)]
     return found[0].unionByName(found[1])
+
+
+_PLACES = "s as (select vec_id as star, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z, case when label % 3 = 0 then label * 10.0 end as settled from embeddings)"
+_ROUND = " + ".join(f"(q.{c} - s.{c} - round_even((q.{c} - s.{c}) / 0.5, 0) * 0.5) * (q.{c} - s.{c} - round_even((q.{c} - s.{c}) / 0.5, 0) * 0.5)" for c in "xyz")
+
+
+@query(f"""with {_PLACES}, p as (select q.star as query, s.star, {_ROUND} as d2, q.star % 2 = 0 as instant, s.settled from s q, s where q.star != s.star),
+    v as (select * from p where not (settled is not null and settled <= 30 and (instant or settled + sqrt(d2) / (299792458.0 * 31557600 / 3.0856775814913673e16) <= 30))),
+    r as (select *, row_number() over (partition by query order by d2, star) as rank from v) select query, star, round(d2, 9) as d2, rank from r where rank <= 3""")
+def knn_periodic(spark: SparkSession, d: str) -> DataFrame:
+    """The three nearest that one does not believe settled, the shortest way round a box of half a unit that repeats."""
+    found = neighbours.nearest(lookers(spark, d), stars(spark, d), 3, side=0.5)
+    return found.select("query", "star", F.round("d2", 9).alias("d2"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""with {_PLACES}, p as (select q.star, min((q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y) + (q.z - s.z) * (q.z - s.z)) as d2 from s q, s where q.star != s.star group by 1)
+    select count(*) as n, round(avg(sqrt(d2)) / (0.55396 * pow(count(*) / 1e0, -1 / 3e0)), 9) as index from p""")
+def clustering_index(spark: SparkSession, d: str) -> DataFrame:
+    """How clustered the places are, as if spread over a unit box."""
+    return neighbours.clustering_index(stars(spark, d), 1.0).select("n", F.round("index", 9).alias("index"))
+
+
+@query(f"""with {_PLACES}, g as (select least({", ".join(f"pmod_{c}, 0.5 - pmod_{c}" for c in "xyz")}) / 0.05 as gap from (select {", ".join(f"({c} - floor({c} / 0.5) * 0.5) as pmod_{c}" for c in "xyz")} from s))
+    select len(list_filter([0.0, 0.5, 1.0, 2.0], lambda e: e <= gap)) as bin, count(*) as n from g group by 1""")
+def wall_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Places by how far they lie from the walls of their box, in mean spacings."""
+    p = [F.pmod(F.col(c), F.lit(0.5)) for c in "xyz"]
+    return stars(spark, d).groupBy(neighbours.wall_bin(p, 0.5, 0.05, [0.0, 0.5, 1.0, 2.0]).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
