@@ -13,23 +13,47 @@ def clean_edges(edges: DataFrame) -> DataFrame:
     return edges.where("src is not null and dst is not null and src != dst").select("src", "dst").distinct()
 
 
-def reaching(edges: DataFrame, changed: DataFrame, rounds: int = 1000) -> DataFrame:
+def reaching(edges: DataFrame, changed: DataFrame, rounds: int = 1000, growth: int = 4) -> DataFrame:
     """node: the changed nodes (column node) and all that reach them along edges src -> dst.
 
-    Each round joins the nodes found last with the edges and keeps those not seen before; it ends when there are none. What is found is
-    checkpointed, so that the plan does not grow with the rounds.
+    By doubling: each round adds what reaches the nodes found so far over the paths at hand, and then joins these paths with themselves, so that they are twice as long and the
+    rounds are as many as the logarithm of the longest distance. Where joining them would give more than growth times as many as there are edges (which is counted beforehand),
+    paths stay as long as they are. A round that finds nothing ends it. Tables are checkpointed, so that plans do not grow with the rounds.
     """
-    e = clean_edges(edges)
-    seen = changed.select("node").distinct()
-    new = seen
+    paths = clean_edges(edges).checkpoint()
+    most = growth * paths.count()
+    seen = changed.select("node").where("node is not null").distinct().checkpoint()
+    n = seen.count()
     for _ in range(rounds):
-        new = e.join(new, e["dst"] == new["node"]).select(F.col("src").alias("node")).distinct().join(seen, "node", "left_anti").checkpoint()
-        if new.isEmpty():
+        found = paths.join(seen, paths["dst"] == seen["node"], "left_semi").select(F.col("src").alias("node"))
+        seen = seen.unionByName(found).distinct().checkpoint()
+        if (now := seen.count()) == n:
             return seen
-        seen = seen.unionByName(new).checkpoint()
+        n = now
+        into, out = paths.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_i")), paths.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_o"))
+        if (into.join(out, "node").agg(F.sum(F.col("_i") * F.col("_o"))).first()[0] or 0) <= most:
+            second = paths.select(F.col("src").alias("_mid"), F.col("dst").alias("_end"))
+            paths = paths.join(second, F.col("dst") == F.col("_mid")).select("src", F.col("_end").alias("dst")).distinct().checkpoint()
     raise RuntimeError("the graph is deeper than the rounds allow")
 
 
+def first_part(tokens: DataFrame, token: str, nodes: DataFrame, node: str, separator: str = "/") -> DataFrame:
+    """token, resolved: of each token that is a path, the first part that is a node."""
+    parts = tokens.select(F.col(token), F.posexplode(F.split(F.col(token), separator)).alias("_at", "_part"))
+    known = parts.join(nodes.select(F.col(node).alias("_part")).distinct(), "_part", "left_semi")
+    return known.groupBy(token).agg(F.min_by("_part", "_at").alias("resolved"))
+
+
+def impact(edges: DataFrame, tokens: DataFrame, token: str, nodes: DataFrame, node: str, packages: DataFrame) -> DataFrame:
+    """node: what a change touches, and all that reach it. Tokens are names of nodes, of packages (columns package, node), or paths with a node's name among their parts; blanks around
+    them are cut off, and those that name nothing are left out."""
+    named = tokens.select(F.trim(F.col(token)).alias("_token")).where("_token != ''").distinct()
+    own = nodes.select(F.col(node).alias("_key"), F.col(node).alias("_value")).distinct()
+    paths = first_part(named, "_token", nodes, node)
+    found = resolved(named, "_token", [(own, "_key", "_value"), (packages, "package", "node"), (paths, "_token", "resolved")])
+    return reaching(edges, found.where("resolved is not null").select(F.col("resolved").alias("node")))
+
+
 def resolved(tokens: DataFrame, token: str, rules: Sequence[tuple[DataFrame, str, str]]) -> DataFrame:
     """Each token with the value that the first rule (table, key, value) knows it by; null if none does."""
     d, found = tokens, []
@@ -51,11 +75,6 @@ def two_way_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return one.join(other, key, "left_anti").withColumn("side", F.lit("left")).unionByName(other.join(one, key, "left_anti").withColumn("side", F.lit("right")))
 
 
-def fan_in(edges: DataFrame) -> DataFrame:
-    """node, n: how many point to it, most first."""
-    return clean_edges(edges).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "node")
-
-
 def neighbours_of(edges: DataFrame) -> DataFrame:
     """src with the sorted set of its targets."""
     return clean_edges(edges).groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("targets"))
@@ -63,12 +82,12 @@ def neighbours_of(edges: DataFrame) -> DataFrame:
 
 def depth_reached(edges: DataFrame, start: Column, depth: int) -> DataFrame:
     """node, depth by a recursive query with a bound on its depth; nodes found on several ways have their least depth."""
-    spark = edges.sparkSession
-    clean_edges(edges).createOrReplaceTempView("_edges")
-    edges.select(start.alias("node")).distinct().createOrReplaceTempView("_start")
-    return spark.sql(f"""
-        with recursive r(node, depth) as (
-            select node, 0 from _start
+    return edges.sparkSession.sql(
+        f"""with recursive r(node, depth) as (
+            select node, 0 from {{start}}
             union all
-            select e.src, r.depth + 1 from r join _edges e on e.dst = r.node where r.depth < {int(depth)}
-        ) select node, min(depth) as depth from r group by node""")
+            select e.src, r.depth + 1 from r join {{edges}} e on e.dst = r.node where r.depth < {int(depth)}
+        ) select node, min(depth) as depth from r group by node""",
+        edges=clean_edges(edges),
+        start=edges.select(start.alias("node")).distinct(),
+    )

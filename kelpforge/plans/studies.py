@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kelpforge.functions import random
-from kelpforge.operators import bom, neighbours, resampling, surrogates
+from kelpforge.functions import documents, random
+from kelpforge.operators import bom, graph, neighbours, resampling, surrogates
 from kelpforge.plans.catalogue import _U32, PARTS, lookers, parts_of_nations, query, rounded, stars
-from kelpforge.session import fresh_folder, table
+from kelpforge.session import fresh_folder, table, with_checkpoints
 from kelpforge.sources.files import scenario_files
 from kelpforge.sources.scenarios import blocks, parts, read_block, write_block, write_companion
 
@@ -159,3 +159,45 @@ def wall_bins(spark: SparkSession, d: str) -> DataFrame:
     """Places by how far they lie from the walls of their box, in mean spacings."""
     p = [F.pmod(F.col(c), F.lit(0.5)) for c in "xyz"]
     return stars(spark, d).groupBy(neighbours.wall_bin(p, 0.5, 0.05, [0.0, 0.5, 1.0, 2.0]).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_MARKED = "case when value > 60 then '\"__inf__\"' when value < 0.5 then '\"__-inf__\"' when event_id % 17 = 0 then '\"__nan__\"' when event_id % 11 = 0 then 'null' when event_id % 13 = 0 then '\"late\"' else value::varchar end"
+
+
+@query(f"""with j as (select event_type, '{{"run": {{"props": ' || props || ', "steps": [0, {{"v": ' || {_MARKED} || '}}]}}}}' as doc from events), x as (select event_type, json_extract_string(doc, '$.run.steps[1].v') as v, json_extract(doc, '$.run.props.k')::bigint as k from j)
+    select event_type, count(*) filter (v = '__inf__') as inf, count(*) filter (v = '__-inf__') as minus_inf, count(*) filter (v = '__nan__') as nan, count(try_cast(v as double)) as finite, round(sum(try_cast(v as double)), 4) as total, count(*) filter (v = 'late') as late, sum(k)::bigint as k from x group by 1""")
+def marked_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Events as nested documents with marks for what is not finite, read as VARIANT."""
+    value, i = F.col("value"), F.col("event_id")
+    v = F.when(value > 60, float("inf")).when(value < 0.5, float("-inf")).when(F.pmod(i, F.lit(17)) == 0, float("nan")).when(F.pmod(i, F.lit(11)) != 0, value)
+    late = (value <= 60) & (value >= 0.5) & (F.pmod(i, F.lit(17)) != 0) & (F.pmod(i, F.lit(11)) != 0) & (F.pmod(i, F.lit(13)) == 0)
+    text = F.concat(F.lit('{"run": {"props": '), "props", F.lit(', "steps": [0, {"v": '), F.when(late, '"late"').otherwise(documents.marked(v)), F.lit("}]}}"))
+    x = table(spark, d, "events").select("event_type", F.parse_json(text).alias("doc"))
+    x = x.select("event_type", documents.number_at(F.col("doc"), "$.run.steps[1].v").alias("v"), documents.text_at(F.col("doc"), "$.run.steps[1].v").alias("t"), documents.number_at(F.col("doc"), "$.run.props.k").cast("long").alias("k"))
+    finite = F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf"))
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return x.groupBy("event_type").agg(n(F.col("v") == float("inf")).alias("inf"), n(F.col("v") == float("-inf")).alias("minus_inf"), n(F.isnan("v")).alias("nan"), n(finite).alias("finite"), F.round(F.sum(F.when(finite, F.col("v"))), 4).alias("total"), n(F.col("t") == "late").alias("late"), F.sum("k").alias("k"))
+
+
+@query("""with recursive o as (select 'd' || doc_id as node, source, doc_id, lag('d' || doc_id) over (partition by source order by doc_id) as prev from documents), e as (select node as src, prev as dst from o where prev is not null),
+    t as (select unnest(['d5', ' d17 ', 'x/y/d40/z', 'nothing', '', 'x/none', (select source from documents where doc_id = 60)]) as t), first as (select source, arg_min(node, doc_id) as node from o group by source),
+    s as (select distinct coalesce(o.node, f.node, (select p.node from o p where p.node in (select unnest(string_split(trim(t), '/'))) limit 1)) as node from t left join o on o.node = trim(t) left join first f on f.source = trim(t)),
+    r(node) as (select node from s where node is not null union select e.src from r join e on e.dst = r.node) select node from r""")
+def change_impact(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that build upon changed ones, each upon the one before it of its source. Changes are named by document, by source (its first document) or by path."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("node"), "source", "doc_id")
+    before = Window.partitionBy("source").orderBy("doc_id")
+    edges = docs.select(F.col("node").alias("src"), F.lag("node").over(before).alias("dst"))
+    packages = docs.where("source is not null").groupBy(F.col("source").alias("package")).agg(F.min_by("node", "doc_id").alias("node"))
+    tokens = spark.createDataFrame([(t,) for t in ("d5", " d17 ", "x/y/d40/z", "nothing", "", "x/none")], "token string").unionByName(docs.where("doc_id = 60").select(F.col("source").alias("token")))
+    with_checkpoints(spark)
+    return graph.impact(edges, tokens, "token", docs, "node", packages)
+
+
+@query("""select p_brand as src, list_sort(list(distinct c_mktsegment)) as targets from part join lineitem on l_partkey = p_partkey join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey where p_size > 48 group by 1""")
+def shared_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Brands and the segments of customers that have a part of theirs in common."""
+    p = table(spark, d, "part").where("p_size > 48").select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("key"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("key")).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    c = lines.join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("name")), "o_custkey").select("name", "key").distinct()
+    return graph.neighbours_of(graph.linked_through(p, c, "key"))
