@@ -14,13 +14,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kelpforge.llm.common import lean, with_prefix_sums, written
+from kelpforge.llm.common import lean, written
 from kelpforge.llm.token_files import _encoder, _runs
 
 
+#: Numbers of tasks and lengths (24 bytes each) that are broadcast; more are joined by a shuffle.
+MOST_STARTS = 500_000
+
+
 @dataclass(frozen=True)
 class Packing:
     """width: tokens of a sequence; one whose tokens are a power of two is not padded. gap: of the linear program's cost over its bound, at which it ends. pivots: at most.
@@ -184,35 +188,40 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, how: Packing) ->
 @dataclass
 class Plan:
     """Where pieces go, by length and by rank within the length. A row of `rows` deals count ranks from first on to patterns that take `each` of them a sequence, from a
-    sequence and an offset on. Ranks from `stream_first` on stand one behind the other in a stream, which is cut where sequences begin (`stream_starts`)."""
+    sequence and an offset on. Ranks from `stream_first` on stand one behind the other in a stream of stream_total tokens, which is cut into whole sequences; the last ones begin at `stream_tail`."""
 
     rows: np.ndarray  # length, first, count, each, sequence, offset
     stream_first: np.ndarray
     stream_at: np.ndarray
-    stream_starts: np.ndarray
+    stream_total: int
+    stream_tail: list[int]
     stream_sequence: int
 
-    def deal(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
-        """piece (index), from, tokens, sequence, offset: of every piece, or of what it is cut into."""
-        which = np.arange(len(length))
-        streams = rank >= self.stream_first[length]
-        by = which[~streams]
-        key = lambda size, k: size.astype(np.int64) << 44 | k
-        r = self.rows[np.searchsorted(key(self.rows[:, 0], self.rows[:, 1]), key(length[by], rank[by]), "right") - 1] if len(by) else np.empty((0, 6), np.int64)
-        k = rank[by] - r[:, 1]
-        out = [(by, np.zeros(len(by), np.int64), length[by], r[:, 4] + k // np.maximum(1, r[:, 3]), r[:, 5] + k % np.maximum(1, r[:, 3]) * length[by])]
-        cut = which[streams]
-        if len(cut):
-            at = self.stream_at[length[cut]] + (rank[cut] - self.stream_first[length[cut]]) * length[cut]
-            one = np.searchsorted(self.stream_starts, at, "right") - 1
-            many = np.searchsorted(self.stream_starts, at + length[cut] - 1, "right") - one
-            of = np.repeat(np.arange(len(cut)), many)
-            seq = np.repeat(one - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            ends = np.append(self.stream_starts[1:], np.iinfo(np.int64).max)
-            lo = np.maximum(at[of], self.stream_starts[seq])
-            hi = np.minimum(at[of] + length[cut][of], ends[seq])
-            out.append((cut[of], lo - at[of], hi - lo, self.stream_sequence + seq, lo - self.stream_starts[seq]))
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    def dealt(self, pieces: DataFrame, width: int) -> DataFrame:
+        """pieces (_length, _rank) with _from, length, sequence_id, offset: of every piece, or of what it is cut into. The plan, which is no larger than a few rows for each length, is broadcast."""
+        spark = pieces.sparkSession
+        rows = spark.createDataFrame(self.rows.tolist(), "_l long, _first long, _count long, _each long, _sequence long, _offset long")
+        cut = [(k, int(f), int(self.stream_at[k])) for k, f in enumerate(self.stream_first.tolist()) if f < np.iinfo(np.int64).max]
+        stream = spark.createDataFrame(cut, "_cut_length long, _cut_first long, _cut_at long")
+        d = pieces.join(F.broadcast(rows), (F.col("_length") == F.col("_l")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_count")), "left")
+        d = d.join(F.broadcast(stream), F.col("_length") == F.col("_cut_length"), "left")
+        kind = "_from: bigint, length: bigint, sequence_id: bigint, offset: bigint"
+        k = F.col("_rank") - F.col("_first")
+        whole = F.array(F.struct(F.lit(0).cast("long"), F.col("_length"), F.col("_sequence") + F.floor(k / F.col("_each")), F.col("_offset") + k % F.col("_each") * F.col("_length")))
+        at, last = F.col("_at"), F.col("_at") + F.col("_length")
+        full = self.stream_total // width
+        tail = F.array(*map(F.lit, [*self.stream_tail, self.stream_total])).cast("array<bigint>")
+        index = lambda p: F.when(p < full * width, F.floor(p / width)).otherwise(full + F.size(F.filter(tail, lambda t: t <= p)) - 1)
+        begin = lambda i: F.when(i < full, i * width).otherwise(F.try_element_at(tail, (i - full + 1).cast("int")))
+
+        def part(i: Column) -> Column:
+            low = F.greatest(at, begin(i))
+            return F.struct(low - at, F.least(last, begin(i + 1)) - low, F.lit(self.stream_sequence) + i, low - begin(i))
+
+        parts = F.transform(F.sequence(index(at), index(last - 1)), part)
+        d = d.withColumn("_at", F.col("_cut_at") + (F.col("_rank") - F.col("_cut_first")) * F.col("_length"))
+        found = F.when(F.col("_first").isNotNull(), whole.cast(f"array<struct<{kind}>>")).otherwise(parts.cast(f"array<struct<{kind}>>"))
+        return d.select(*pieces.columns, F.inline(found))
 
 
 def plan(counts: dict[int, int], how: Packing = Packing()) -> Plan:
@@ -267,20 +276,19 @@ def plan(counts: dict[int, int], how: Packing = Packing()) -> Plan:
     for j in sorted(stream, reverse=True):
         first[sizes[j]], at[sizes[j]] = next_rank[j], total
         total += stream[j] * sizes[j]
-    starts = list(range(0, total - total % width, width))
-    here = total - total % width
+    tail, here = [], total - total % width
     while here < total:  # the last ones are powers of two
-        starts.append(here)
+        tail.append(here)
         here += 1 << ((total - here).bit_length() - 1)
-    return Plan(np.array(sorted(rows), np.int64).reshape(-1, 6), first, at, np.array(starts, np.int64), sequence)
+    return Plan(np.array(sorted(rows), np.int64).reshape(-1, 6), first, at, total, tail, sequence)
 
 
 def _pieces(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, text_col: str, width: int, specials_as_text: bool) -> DataFrame:
-    """_piece (a number of its own), _id, _begin, _length, _tokens (of the document), ids: documents in pieces of at most a sequence."""
+    """_part, _k (number within the part and the length), _id, _begin, _length, _tokens (of the document), ids: documents in pieces of at most a sequence."""
     kind = dict(docs.dtypes)[id_col]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 40
+        part, seen = TaskContext.get().partitionId(), np.zeros(width + 1, np.int64)
         for batch in batches:
             for run in _runs(batch):
                 ids, counts = _encoder(tokenizer, specials_as_text).texts(pc.fill_null(run["_text"], ""), [] if end_id is None else [end_id])
@@ -288,13 +296,17 @@ def _pieces(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, te
                 of = np.repeat(np.arange(len(counts)), many)
                 start = (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * width
                 length = np.minimum(width, counts[of] - start)
+                order = np.argsort(length, kind="stable")
+                k = np.empty(len(of), np.int64)
+                k[order] = np.arange(len(of)) - np.searchsorted(length[order], length[order])
+                k += seen[length]
+                seen += np.bincount(length, minlength=width + 1)
                 ends = np.concatenate([[0], np.cumsum(length) * 4]).astype(np.int32)
                 data = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(ids, "<u4").tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(number + np.arange(len(of))), run["_id"].take(pa.array(of)), pa.array(start), pa.array(length), pa.array(counts[of]), data], names=["_piece", "_id", "_begin", "_length", "_tokens", "ids"])
-                number += len(of)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), part)), pa.array(k), run["_id"].take(pa.array(of)), pa.array(start), pa.array(length), pa.array(counts[of]), data], names=["_part", "_k", "_id", "_begin", "_length", "_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(lean(cut), f"_piece long, _id {kind}, _begin long, _length long, _tokens long, ids binary")
+    return rows.mapInArrow(lean(cut), f"_part long, _k long, _id {kind}, _begin long, _length long, _tokens long, ids binary")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, how: Packing = Packing(), id_col: str = "doc_id", text_col: str = "text", specials_as_text: bool = False) -> DataFrame:
@@ -304,25 +316,19 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, how:
     whole, but for some that fill the last sequences: those that no pattern takes, the fewer for each sequence the larger the table is. Sequences are numbered from 0 without gaps. A null text is an empty one, of which end_id
     is all (without one it has no pieces); null ids and rows that repeat are documents of their own; an empty table gives no rows. Other columns are ignored.
 
-    The driver gets one number for each length, width of them at most; ranks within lengths come from prefix sums over ranges.
+    Pieces of a length are ranked by their place in the table: by task, and within a task. The driver gets one number for each length, width of them at most. Ids are written once, and
+    are not shuffled unless there are more tasks and lengths than are broadcast.
     """
     pieces = written(_pieces(docs, tokenizer, end_id, id_col, text_col, how.width, specials_as_text), "pieces")
-    counts = {r["_length"]: r["count"] for r in pieces.groupBy("_length").count().collect()}  # a row per length
-    made = plan(counts, how)
-    before = np.zeros(how.width + 2, np.int64)
-    for k in range(1, how.width + 1):
-        before[k + 1] = before[k] + counts.get(k, 0)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, index = batch["_length"].to_numpy(), batch["_index"].to_numpy()
-            of, *found = made.deal(length, index - before[length])
-            yield pa.RecordBatch.from_arrays([batch["_piece"].take(pa.array(of)), *map(pa.array, found)], names=["_piece", "_from", "length", "sequence_id", "offset"])
-
-    narrow = pieces.select("_piece", "_length", "_id", "_begin", F.lit(1).cast("long").alias("_one"))
-    ranked = with_prefix_sums(narrow, [F.col("_length").asc(), F.col("_id").asc_nulls_first(), F.col("_begin").asc()], "_one")
-    dealt = ranked.select("_piece", "_length", "_index").mapInArrow(lean(deal), "_piece long, _from long, length long, sequence_id long, offset long")
-    d = pieces.join(dealt, "_piece")
+    per_part = written(pieces.groupBy("_part", "_length").agg(F.count(F.lit(1)).alias("_n")), "lengths")
+    found = per_part.groupBy("_length").agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_parts")).collect()  # a row per length
+    made = plan({r["_length"]: r["_n"] for r in found}, how)
+    earlier = Window.partitionBy("_length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_part.select("_part", "_length", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    if sum(r["_parts"] for r in found) <= MOST_STARTS:
+        starts = F.broadcast(starts)
+    d = pieces.join(starts, ["_part", "_length"]).withColumn("_rank", F.col("_before") + F.col("_k"))
+    d = made.dealt(d, how.width)
     ids = F.when(F.col("length") == F.col("_length"), F.col("ids")).otherwise(F.expr("substring(ids, cast(4 * _from + 1 as int), cast(4 * length as int))"))
     return d.select(F.col("_id").alias(id_col), (F.col("_begin") + F.col("_from")).alias("start"), "length", ids.alias("ids"), F.col("_tokens").alias("doc_tokens"), "sequence_id", "offset")
 

@@ -121,19 +121,29 @@ def test_column_generation():
     assert sum(x for _, x in found) == pytest.approx(4.5)
 
 
-def test_plan():
+def test_plan(spark):
     rng = np.random.default_rng(7)
-    for n in (0, 1, 2, 9, 3000, 60_000):
+    for n in (0, 1, 2, 9, 3000):
         lengths = np.clip(rng.lognormal(5.5, 1.3, n), 1, 1024).astype(int)
         counts = dict(Counter(lengths.tolist()))
         made = plan(counts)
         order = np.sort(lengths)
         rank = np.arange(n) - np.searchsorted(order, order)
-        of, start, tokens, seq, offset = made.deal(order, rank)
-        assert np.bincount(of, tokens, n).tolist() == order.tolist()
+        pieces = spark.createDataFrame([(i, int(k), int(r)) for i, (k, r) in enumerate(zip(order, rank, strict=True))], "_i long, _length long, _rank long")
+        got = made.dealt(pieces, 1024).select("_i", "_from", "length", "sequence_id", "offset").collect()
+        of, start, tokens, seq, offset = (np.array([r[k] for r in got], np.int64) for k in range(5))
         per = np.bincount(seq, tokens).astype(int)
         assert (per > 0).all() and (per <= 1024).all() and padding(per.tolist()) <= 0.01 * order.sum()
         by = np.lexsort((offset, seq))
         ends = offset[by] + tokens[by]
         first = np.append(True, seq[by][1:] != seq[by][:-1]) if n else np.empty(0, bool)
         assert (offset[by] == np.where(first, 0, np.append(0, ends[:-1])[: len(first)])).all()
+
+
+def test_starts_that_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("kelpforge.llm.packing.MOST_STARTS", 3)
+    docs = [(i, "some words " * (i % 37)) for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    from pyspark.sql import functions as F
+
+    hold([r.asDict() for r in pack_documents(frame, PATH).withColumn("ids_crc32", F.crc32("ids")).collect()], docs, 0.003)
