@@ -13,9 +13,9 @@ from kelpforge.functions.random import Input, draw32, draws, halton, sobol, unif
 Finding = Callable[[dict[str, Column]], Column]
 
 
-def monte_carlo(spark: SparkSession, inputs: dict[str, Input], finding: Finding, n: int, seed: int) -> DataFrame:
-    """n rows: draw, every input, y."""
-    d = spark.range(n).withColumnRenamed("id", "draw")
+def monte_carlo(spark: SparkSession, inputs: dict[str, Input], finding: Finding, n: int, seed: int, rows: DataFrame | None = None) -> DataFrame:
+    """n rows: draw, every input, y. With rows (a column draw, which numbers them), each of them has a draw of its own, and the finding may use its columns too."""
+    d = spark.range(n).withColumnRenamed("id", "draw") if rows is None else rows
     d = d.withColumns(draws(inputs, F.col("draw"), F.lit(seed)))
     return d.withColumn("y", finding({name: F.col(name) for name in inputs}))
 
@@ -29,30 +29,31 @@ def summary(rows: DataFrame, value: str = "y", by: tuple[str, ...] = ()) -> Data
     return d.select(*by, "n", "mean", "sd", *q, F.try_divide(F.col("sd"), F.sqrt("n")).alias("stderr"))
 
 
-def qmc_mean(spark: SparkSession, inputs: dict[str, Input], finding: Finding, n: int, seed: int, replicates: int = 16, sequence: str = "sobol") -> DataFrame:
-    """One row: mean over replicates of a point set that is shifted at random modulo 1, standard error and 90 % interval from their spread."""
+def qmc_mean(spark: SparkSession, inputs: dict[str, Input], finding: Finding, n: int, seed: int, replicates: int = 16, sequence: str = "sobol", rows: DataFrame | None = None) -> DataFrame:
+    """One row: mean over replicates of a point set that is shifted at random modulo 1, standard error and 90 % interval from their spread. With rows (a column id), each is a point."""
     names = list(inputs)
-    d = spark.range(n).withColumn("_i", F.col("id") + 1)
+    d = (spark.range(n) if rows is None else rows).withColumn("_i", F.col("id") + 1)
     points = [sobol(F.col("_i"), j) for j in range(len(names))] if sequence == "sobol" else halton(F.col("_i"), len(names))
-    d = d.select(*[p.alias(f"_p{j}") for j, p in enumerate(points)], F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    d = d.select(*([] if rows is None else rows.columns), *[p.alias(f"_p{j}") for j, p in enumerate(points)], F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     shift = lambda j: uniform(F.lit(seed), F.col("replicate") * len(names) + j)
     d = d.withColumns({name: inputs[name].at(F.pmod(F.col(f"_p{j}") + shift(j), F.lit(1.0))) for j, name in enumerate(names)})
-    means = d.withColumn("y", finding({name: F.col(name) for name in names})).groupBy("replicate").agg(F.avg("y").alias("y"))
-    one = means.agg(F.avg("y").alias("mean"), (F.stddev_pop("y") / F.sqrt(F.count("y"))).alias("stderr"))
-    return one.select("mean", "stderr", (F.col("mean") - 1.645 * F.col("stderr")).alias("lo"), (F.col("mean") + 1.645 * F.col("stderr")).alias("hi"), F.lit(n * replicates).alias("evaluations"))
+    means = d.withColumn("y", finding({name: F.col(name) for name in names})).groupBy("replicate").agg(F.avg("y").alias("y"), F.count("y").alias("n"))
+    one = means.agg(F.avg("y").alias("mean"), (F.stddev_pop("y") / F.sqrt(F.count("y"))).alias("stderr"), F.sum("n").alias("evaluations"))
+    return one.select("mean", "stderr", (F.col("mean") - 1.645 * F.col("stderr")).alias("lo"), (F.col("mean") + 1.645 * F.col("stderr")).alias("hi"), "evaluations")
 
 
-def design(spark: SparkSession, inputs: dict[str, Input], finding: Finding, n: int, seed: int, sampler: str = "random", second_order: bool = False) -> DataFrame:
-    """The evaluated design: row, a, b, and per input i ab_i (A with column i of B) and, for pairs, ba_i (B with column i of A). All columns of one row, so no join."""
+def design(spark: SparkSession, inputs: dict[str, Input], finding: Finding, n: int, seed: int, sampler: str = "random", second_order: bool = False, rows: DataFrame | None = None) -> DataFrame:
+    """The evaluated design: row, a, b, and per input i ab_i (A with column i of B) and, for pairs, ba_i (B with column i of A). All columns of one row, so no join.
+    With rows (a column row, which numbers them), each of them is a row of the design, and the finding may use its columns too."""
     names, k = list(inputs), len(inputs)
-    d = spark.range(n).withColumnRenamed("id", "row")
+    d = spark.range(n).withColumnRenamed("id", "row") if rows is None else rows
     if sampler == "random":
         u = [uniform(F.lit(seed), F.col("row") * (2 * k) + j) for j in range(2 * k)]
     else:
         u = [sobol(F.col("row") + 1, j) for j in range(2 * k)]
     a = {name: inputs[name].at(u[j]) for j, name in enumerate(names)}
     b = {name: inputs[name].at(u[k + j]) for j, name in enumerate(names)}
-    d = d.select("row", *[c.alias(f"_a_{n}") for n, c in a.items()], *[c.alias(f"_b_{n}") for n, c in b.items()])
+    d = d.select(*d.columns, *[c.alias(f"_a_{n}") for n, c in a.items()], *[c.alias(f"_b_{n}") for n, c in b.items()])
     a, b = {n: F.col(f"_a_{n}") for n in names}, {n: F.col(f"_b_{n}") for n in names}
     out = [finding(a).alias("a"), finding(b).alias("b"), *[finding(a | {n: b[n]}).alias(f"ab_{n}") for n in names]]
     if second_order:

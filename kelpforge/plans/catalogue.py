@@ -133,16 +133,15 @@ def range_bisection(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", found.alias("f")).select("p_partkey", F.round("f.reach", 6).alias("reach"), "f.saturated")
 
 
-@query("""with b(body, r) as (values ('earth', 1.0::double), ('mars', 1.5237::double), ('ceres', 2.77::double), ('jupiter', 5.2034::double)), p as (select a.body as from_body, b.body as to_body, a.r * 149597870700 as r1, b.r * 149597870700 as r2 from b a, b where a.body != b.body),
+@query("""with p as (select p_partkey, (0.5 + p_size / 25e0) * 149597870700 as r1, (0.45 + p_partkey % 97 / 10e0) * 149597870700 as r2 from part),
     x as (select *, sqrt(1.32712440018e20 / r1) * (sqrt(2 * r2 / (r1 + r2)) - 1) as dv1, sqrt(1.32712440018e20 / r2) * (1 - sqrt(2 * r1 / (r1 + r2))) as dv2 from p)
-    select from_body, to_body, round(dv1, 4) as dv1, round(dv2, 4) as dv2, round(abs(dv1) + abs(dv2), 4) as dv, round(pi() * sqrt(pow(r1 + r2, 3) / (8 * 1.32712440018e20)) / 86400, 4) as days,
+    select p_partkey, round(dv1, 4) as dv1, round(dv2, 4) as dv2, round(abs(dv1) + abs(dv2), 4) as dv, round(pi() * sqrt(pow(r1 + r2, 3) / (8 * 1.32712440018e20)) / 86400, 4) as days,
     round(sqrt(1.32712440018e20 / r1 - 2 * sqrt(1.32712440018e20 / r1) * sqrt(1.32712440018e20 / r2) + 1.32712440018e20 / r2), 4) as spiral from x""")
 def transfer_pairs(spark: SparkSession, d: str) -> DataFrame:
-    bodies = spark.createDataFrame(list(flight.AXES_AU.items()), "body string, r double")
-    a, b = bodies.select(F.col("body").alias("from_body"), F.col("r").alias("r1")), bodies.select(F.col("body").alias("to_body"), F.col("r").alias("r2"))
-    x = a.join(F.broadcast(b), F.col("from_body") != F.col("to_body"))  # four bodies
-    x = x.withColumn("t", flight.two_burn_transfer(F.col("r1"), F.col("r2"))).withColumn("spiral", flight.spiral_delta_v(F.col("r1"), F.col("r2")))
-    return x.select("from_body", "to_body", *[F.round(f"t.{c}", 4).alias(c) for c in ("dv1", "dv2", "dv", "days")], F.round("spiral", 4).alias("spiral"))
+    """Transfers between orbits that parts' sizes and keys give."""
+    r1, r2 = 0.5 + F.col("p_size") / 25, 0.45 + F.pmod("p_partkey", F.lit(97)) / 10
+    x = table(spark, d, "part").select("p_partkey", flight.two_burn_transfer(r1, r2).alias("t"), flight.spiral_delta_v(r1, r2).alias("spiral"))
+    return x.select("p_partkey", *[F.round(f"t.{c}", 4).alias(c) for c in ("dv1", "dv2", "dv", "days")], F.round("spiral", 4).alias("spiral"))
 
 
 def growth_parameters(spark: SparkSession, d: str) -> DataFrame:
@@ -227,10 +226,12 @@ def finding(x: dict[str, Column]) -> Column:
     return x["a"] * x["b"] + F.sqrt(x["a"]) * x["c"]
 
 
-@query(f"""with d as (select i * 3 + j as k, i, j, 42::bigint as seed from range(0, 20000) r(i), range(0, 2) s(j)), {_U32}, w as (select i, max(case when j = 0 then 1 + 2 * (draw / 4294967296.0::double) end) as a, max(case when j = 1 then 0.5 * exp(draw / 4294967296.0::double * ln(16)) end) as b from u group by i),
-    y as (select a * b + sqrt(a) * 2 as y from w) select count(*) as n, round(avg(y), 6) as mean, round(stddev_pop(y), 6) as sd, round(quantile_cont(y, 0.05), 6) as q05, round(quantile_cont(y, 0.5), 6) as q50, round(quantile_cont(y, 0.95), 6) as q95, round(stddev_pop(y) / sqrt(count(*)), 6) as stderr from y""")
+@query(f"""with d as (select i * 3 + j as k, i, j, 42::bigint as seed from (select o_orderkey as i from orders) r, range(0, 2) s(j)), {_U32}, w as (select i, max(case when j = 0 then 1 + 2 * (draw / 4294967296.0::double) end) as a, max(case when j = 1 then 0.5 * exp(draw / 4294967296.0::double * ln(16)) end) as b from u group by i),
+    y as (select (a * b + sqrt(a) * 2) * o_totalprice / 1e5 as y from w join orders on o_orderkey = i) select count(*) as n, round(avg(y), 6) as mean, round(stddev_pop(y), 6) as sd, round(quantile_cont(y, 0.05), 6) as q05, round(quantile_cont(y, 0.5), 6) as q50, round(quantile_cont(y, 0.95), 6) as q95, round(stddev_pop(y) / sqrt(count(*)), 6) as stderr from y""")
 def mc_summary(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(uncertainty.summary(uncertainty.monte_carlo(spark, INPUTS, finding, 20000, 42)))
+    """What orders come to, each under a draw of its own of what is uncertain."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("draw"), "o_totalprice")
+    return rounded(uncertainty.summary(uncertainty.monte_carlo(spark, INPUTS, lambda x: finding(x) * F.col("o_totalprice") / 1e5, 0, 42, orders)))
 
 
 def _sobol_sql(i: str, dim: int) -> str:
@@ -245,56 +246,69 @@ _AT = {"a": "(1 + 2 * {u})", "b": "(0.5 * exp({u} * ln(16)))"}  # INPUTS, c is f
 _Y = lambda a, b: f"({a} * {b} + sqrt({a}) * 2)"  # noqa: E731  finding
 
 
-@query(f"""with p as (select i, {", ".join(f"{_sobol_sql('(i + 1)', j)} as p{j}" for j in range(2))} from range(0, 1024) t(i)), d as (select r * 3 + j as k, r, j, 5::bigint as seed from range(0, 16) a(r), range(0, 2) b(j)), {_U32},
+@query(f"""with p as (select p_size, {", ".join(f"{_sobol_sql('(p_partkey + 1)', j)} as p{j}" for j in range(2))} from part), d as (select r * 3 + j as k, r, j, 5::bigint as seed from range(0, 16) a(r), range(0, 2) b(j)), {_U32},
     s as (select r, max(case when j = 0 then draw / 4294967296.0::double end) as s0, max(case when j = 1 then draw / 4294967296.0::double end) as s1 from u group by r),
-    m as (select r, avg({_Y(_AT["a"].format(u="((p0 + s0) % 1)"), _AT["b"].format(u="((p1 + s1) % 1)"))}) as y from p, s group by r), e as (select avg(y) as mean, stddev_pop(y) / sqrt(count(y)) as stderr from m)
-    select round(mean, 6) as mean, round(stderr, 6) as stderr, round(mean - 1.645 * stderr, 6) as lo, round(mean + 1.645 * stderr, 6) as hi, 16384 as evaluations from e""")
+    m as (select r, avg(p_size * {_Y(_AT["a"].format(u="((p0 + s0) % 1)"), _AT["b"].format(u="((p1 + s1) % 1)"))}) as y from p, s group by r), e as (select avg(y) as mean, stddev_pop(y) / sqrt(count(y)) as stderr from m)
+    select round(mean, 6) as mean, round(stderr, 6) as stderr, round(mean - 1.645 * stderr, 6) as lo, round(mean + 1.645 * stderr, 6) as hi, (select 16 * count(*) from part) as evaluations from e""")
 def qmc_mean(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(uncertainty.qmc_mean(spark, INPUTS, finding, 1024, 5))
+    """The mean over parts, each of which is a point of the set."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    return rounded(uncertainty.qmc_mean(spark, INPUTS, lambda x: F.col("p_size") * finding(x), 0, 5, rows=parts))
 
 
-@query(f"select i as id, {', '.join(f'{_sobol_sql("i", j)} as x{j}' for j in range(6))} from range(0, 1024) t(i)")
+@query(f"select i as id, {', '.join(f'{_sobol_sql("i", j)} as x{j}' for j in range(6))} from (select o_orderkey as i from orders)")
 def sobol_points(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1024).select("id", *[random.sobol(F.col("id"), j).alias(f"x{j}") for j in range(6)])
+    """A point for each order."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).select("id", *[random.sobol(F.col("id"), j).alias(f"x{j}") for j in range(6)])
 
 
-@query("""with recursive r(id, base, n, f, x) as (select i, b, i, 1.0::double, 0.0::double from range(0, 512) t(i), (values (2), (3), (5)) v(b) union all select id, base, n // base, f / base, x + (n % base) * (f / base) from r where n > 0)
+@query("""with recursive r(id, base, n, f, x) as (select i, b, i, 1.0::double, 0.0::double from (select p_partkey as i from part), (values (2), (3), (5)) v(b) union all select id, base, n // base, f / base, x + (n % base) * (f / base) from r where n > 0)
     select id, round(max(case when base = 2 then x end), 12) as x0, round(max(case when base = 3 then x end), 12) as x1, round(max(case when base = 5 then x end), 12) as x2 from r group by id""")
 def halton_points(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(512).select("id", *[F.round(x, 12).alias(f"x{j}") for j, x in enumerate(random.halton(F.col("id"), 3))])
+    """A point for each part."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id")).select("id", *[F.round(x, 12).alias(f"x{j}") for j, x in enumerate(random.halton(F.col("id"), 3))])
 
 
-def _design_sql(n: int) -> str:
-    """The design of _Y over INPUTS with seed 9: row, a, b, ab_i and ba_i; m has mean and variance of a and b together."""
+_ORDERS, _SUPPLIERS = "select o_orderkey as i from orders", "select s_suppkey as i from supplier"
+
+
+def _design_sql(rows: str) -> str:
+    """The design of _Y over INPUTS with seed 9, for the numbers i that rows has: row, a, b, ab_i and ba_i; m has mean and variance of a and b together."""
     u = ", ".join(f"max(case when j = {j} then draw / 4294967296.0::double end) as u{j}" for j in range(6))
-    return f"""d as (select i * 6 + j as k, i, j, 9::bigint as seed from range(0, {n}) r(i), range(0, 6) s(j)), {_U32}, w as (select i, {u} from u group by i),
+    return f"""d as (select i * 6 + j as k, i, j, 9::bigint as seed from ({rows}) r, range(0, 6) s(j)), {_U32}, w as (select i, {u} from u group by i),
     v as (select i, {_AT["a"].format(u="u0")} as aa, {_AT["b"].format(u="u1")} as ab, {_AT["a"].format(u="u3")} as ba, {_AT["b"].format(u="u4")} as bb from w),
     t as (select i, {_Y("aa", "ab")} as ya, {_Y("ba", "bb")} as yb, {_Y("ba", "ab")} as ab_a, {_Y("aa", "bb")} as ab_b, {_Y("aa", "ab")} as ab_c, {_Y("aa", "bb")} as ba_a, {_Y("ba", "ab")} as ba_b, {_Y("ba", "bb")} as ba_c from v),
     m as (select avg(y) as mean, var_pop(y) as var from (select ya as y from t union all select yb from t))"""
 
 
-@query(f"""with {_design_sql(8192)}, l as (select unnest(['a', 'b', 'c']) as input, unnest([ab_a, ab_b, ab_c]) as x, ya, yb from t), e as (select input, (yb - mean) * (x - ya) / var as s, (ya - x) * (ya - x) / (2 * var) as t from l, m),
+def numbered(spark: SparkSession, d: str, name: str, key: str) -> DataFrame:
+    """Keys of a table, which number its rows from 0, as rows of a design."""
+    return table(spark, d, name).select(F.col(key).alias("row"))
+
+
+@query(f"""with {_design_sql(_ORDERS)}, l as (select unnest(['a', 'b', 'c']) as input, unnest([ab_a, ab_b, ab_c]) as x, ya, yb from t), e as (select input, (yb - mean) * (x - ya) / var as s, (ya - x) * (ya - x) / (2 * var) as t from l, m),
     g as (select input, avg(s) as first, 1.645 * stddev_pop(s) / sqrt(count(s)) as sh, avg(t) as total, 1.645 * stddev_pop(t) / sqrt(count(t)) as th from e group by input)
     select input, round(first, 6) as first, round(total, 6) as total, round(first - sh, 6) as first_lo, round(first + sh, 6) as first_hi, round(total - th, 6) as total_lo, round(total + th, 6) as total_hi, row_number() over (order by total desc, input) as rank from g""")
 def sobol_first_total(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(uncertainty.sobol_indices(uncertainty.design(spark, INPUTS, finding, 8192, 9), list(INPUTS)))
+    return rounded(uncertainty.sobol_indices(uncertainty.design(spark, INPUTS, finding, 0, 9, rows=numbered(spark, d, "orders", "o_orderkey")), list(INPUTS)))
 
 
 _FIRST = lambda n: f"(yb - mean) * (ab_{n} - ya)"
 _PAIRS = (("a", "b"), ("a", "c"), ("b", "c"))
 
 
-@query(f"""with {_design_sql(8192)} {" union all ".join(f"select '{i}' as input_a, '{j}' as input_b, round(avg((ba_{i} * ab_{j} - ya * yb - {_FIRST(i)} - {_FIRST(j)}) / var), 6) as interaction from t, m" for i, j in _PAIRS)}""")
+@query(f"""with {_design_sql(_ORDERS)} {" union all ".join(f"select '{i}' as input_a, '{j}' as input_b, round(avg((ba_{i} * ab_{j} - ya * yb - {_FIRST(i)} - {_FIRST(j)}) / var), 6) as interaction from t, m" for i, j in _PAIRS)}""")
 def sobol_second(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(uncertainty.second_order_indices(uncertainty.design(spark, INPUTS, finding, 8192, 9, second_order=True), list(INPUTS)))
+    return rounded(uncertainty.second_order_indices(uncertainty.design(spark, INPUTS, finding, 0, 9, second_order=True, rows=numbered(spark, d, "orders", "o_orderkey")), list(INPUTS)))
 
 
-@query(f"""with {_design_sql(2048)}, q as (with d as (select r * 2048 + k as k, r, 3::bigint as seed from range(0, 300) a(r), range(0, 2048) b(k)), {_U32} select r, draw % 2048 as i from u),
+@query(f"""with {_design_sql(_SUPPLIERS)}, q as (with s as (select count(*) as many from supplier), d as (select r * many + k as k, r, many, 3::bigint as seed from s, range(0, 300) a(r), (select s_suppkey as k from supplier) b), {_U32} select r, draw % many as i from u),
     z as (select r, ya, yb, ab_a, ab_b, ab_c from q join t using (i)), g as (select r, count(*) as n, sum(ya + yb) / (2 * count(*)) as mean, sum(ya * ya + yb * yb) / (2 * count(*)) as sq, sum((ya - ab_a) ** 2) as ta, sum((ya - ab_b) ** 2) as tb, sum((ya - ab_c) ** 2) as tc from z group by r),
     l as (select unnest(['a', 'b', 'c']) as input, unnest([ta, tb, tc]) / (2 * n * (sq - mean * mean)) as total from g), o as (select input, list_sort(list(total)) as v from l group by input) select input, round(v[16], 6) as total_lo, round(v[285], 6) as total_hi from o""")
 def sobol_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    n = 2048
-    return rounded(uncertainty.bootstrap_indices(uncertainty.design(spark, INPUTS, finding, n, 9), list(INPUTS), 300, 3, n))
+    """Intervals of totals where each supplier is a row of the design."""
+    rows = numbered(spark, d, "supplier", "s_suppkey")
+    return rounded(uncertainty.bootstrap_indices(uncertainty.design(spark, INPUTS, finding, 0, 9, rows=rows), list(INPUTS), 300, 3, rows.count()))
 
 
 def two_modes(spark: SparkSession, d: str) -> DataFrame:
