@@ -203,12 +203,6 @@ class Input:
         return self.p1 * float(np.exp(np.log(self.p2) ** 2 / 2)) if self.family == "lognormal" else self.p1
 
 
-def in_unit(u: Column) -> Column:
-    from kelpforge.functions.checks import within
-
-    return within((u >= 0) & (u < 1), "a quantile's place must lie in [0, 1)", u)
-
-
 def draws(inputs: dict[str, Input], row: Column, seed: Number) -> dict[str, Column]:
     """Quantiles at independent uniform draws, row by row in the order of the inputs."""
     active: Sequence[str] = list(inputs)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpforge.operators.resampling import positioned
+
 
 def percent_change(treated: Column, base: Column) -> Column:
     """Null where either is null or the base is 0."""
@@ -34,11 +36,18 @@ def sign_p(positive: Column, nonzero: Column) -> Column:
 
 
 def summarised(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """n, median, quartiles by index (n / 4 and 3 n / 4, rounded down), mean, signs and p of the values that are not null."""
-    d = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.sort_array(F.collect_list(value)).alias("_v"), F.avg(value).alias("mean"), F.count_if(F.col(value) > 0).alias("positive"), F.count_if(F.col(value) != 0).alias("nonzero"))
-    at = lambda i: F.element_at("_v", (i + 1).cast("int"))
-    n = F.col("n")
-    return d.select(*by, "n", "median", at(F.floor(n / 4)).alias("q1"), at(F.least(n - 1, F.floor(3 * n / 4))).alias("q3"), "mean", "positive", "nonzero", sign_p(F.col("positive"), F.col("nonzero")).alias("p"))
+    """n, median, quartiles by index (n / 4 and 3 n / 4, rounded down), mean, signs and p of the values that are not null.
+
+    Distinct values with counts and places are all that is looked at: no group is held.
+    """
+    v, first, c, n = (F.col(x) for x in ("_v", "_first", "_c", "_n"))
+    d = positioned(rows.select(*by, F.col(value).alias("_v")), by, "_v")
+    at = lambda i: F.max(F.when((first <= i) & (i < first + c), v))
+    d = d.groupBy(*by).agg(
+        F.max(n).alias("n"), at(F.expr("(_n - 1) div 2")).alias("_low"), at(F.expr("_n div 2")).alias("_high"), at(F.expr("_n div 4")).alias("q1"), at(F.expr("3 * _n div 4")).alias("q3"), F.sum(v * c).alias("_sum"),
+        F.coalesce(F.sum(F.when(v > 0, c)), F.lit(0)).alias("positive"), F.coalesce(F.sum(F.when(v != 0, c)), F.lit(0)).alias("nonzero"),
+    )
+    return d.select(*by, "n", ((F.col("_low") + F.col("_high")) / 2).alias("median"), "q1", "q3", (F.col("_sum") / F.col("n")).alias("mean"), "positive", "nonzero", sign_p(F.col("positive"), F.col("nonzero")).alias("p"))
 
 
 def slope(rows: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
@@ -55,9 +64,27 @@ def plateau(ladder: DataFrame, by: Sequence[str], k: str, value: str, threshold:
     return found.groupBy(*by).agg(F.min(F.when(grows < threshold, F.col(k))).alias("plateau"))
 
 
-def ladder_steps(ladder: DataFrame, by: Sequence[str], k: str, value: str) -> DataFrame:
-    """Each rung with its difference from the rung before."""
-    return ladder.withColumn("step", F.col(value) - F.lag(value).over(Window.partitionBy(*by).orderBy(k)))
+def plateau_report(ladder: DataFrame, by: Sequence[str], k: str, value: str, threshold: float) -> DataFrame:
+    """Each rung with its difference from the rung before (null at the first), and the plateau of its ladder (null where there is none)."""
+    steps = ladder.withColumn("delta", F.col(value) - F.lag(value).over(Window.partitionBy(*by).orderBy(k)))
+    return steps.join(plateau(ladder, by, k, value, threshold), list(by))
+
+
+def record(rows: DataFrame, by: Sequence[str], order: Sequence[str], at: str, counts: dict[str, Column], shares: Sequence[int] = (25, 50, 75, 90, 99, 100)) -> DataFrame:
+    """A row per run: n, how often each condition holds, and t25, t50, ...: where the run has had that share (in percent) of its rows, in their order."""
+    d = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    reached = [F.min_by(F.when(F.col("_k") * 100 >= F.col("_n") * p, F.col(at)), F.when(F.col("_k") * 100 >= F.col("_n") * p, F.col("_k"))).alias(f"t{p}") for p in shares]
+    return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in counts.items()], *reached)
+
+
+def bounce_depth(wasted: Column, n: Column) -> Column:
+    """Arrivals in vain for each place; no places are an error."""
+    return F.when(n > 0, wasted / n).when(n.isNotNull(), F.raise_error(F.lit("the number of places must be positive")).cast("double"))
+
+
+def median_bounce_depth(records: DataFrame, by: Sequence[str], wasted: str, n: str) -> DataFrame:
+    d = records.select(*by, bounce_depth(F.col(wasted), F.col(n)).alias("_b"))
+    return d.groupBy(*by).agg(F.median("_b").alias("bounce_depth"))
 
 
 def unpivoted(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -69,14 +96,16 @@ def shard_rows(rows: DataFrame, index: str, shards: int, shard: int) -> DataFram
     return rows.where(F.pmod(F.col(index), F.lit(shards)) == shard)
 
 
-def merged(shards: Sequence[DataFrame], shard: str, n: int) -> DataFrame:
-    """All shards as one table; an error unless each of the n shards, and no other, is there."""
-    out = shards[0]
-    for s in shards[1:]:
-        out = out.unionByName(s)
-    seen = out.agg(F.collect_set(shard).alias("_seen"))  # as many as there are shards
-    whole = seen.select(F.when(F.sort_array("_seen") == F.array(*[F.lit(i).cast(out.schema[shard].dataType) for i in range(n)]), F.lit(True)).otherwise(F.raise_error(F.lit("shards are missing"))).alias("_whole"))
-    return out.join(F.broadcast(whole)).where("_whole").drop("_whole")
+def merged(rows: DataFrame, shard: str, n: int, index: str | None = None) -> DataFrame:
+    """All shards as one table (rows, with the number of each row's shard); an error unless each of the n shards, and no other, is there. With an index, shards have been dealt
+    out by index modulo n, and it is an error too if a row is in another's shard, or if of the indexes from 0 to the largest one is missing or there twice."""
+    checks = [F.sort_array(F.collect_set(shard)).alias("_seen")]  # as many as there are shards
+    whole = F.col("_seen") == F.array(*[F.lit(i).cast(rows.schema[shard].dataType) for i in range(n)])
+    if index is not None:
+        checks += [F.count_if(F.pmod(F.col(index), F.lit(n)) != F.col(shard)).alias("_strays"), F.count(F.lit(1)).alias("_n"), F.count_distinct(index).alias("_distinct"), F.min(index).alias("_lo"), F.max(index).alias("_hi")]
+        whole &= (F.col("_strays") == 0) & (F.col("_distinct") == F.col("_n")) & (F.col("_lo") == 0) & (F.col("_hi") == F.col("_n") - 1)
+    seen = rows.agg(*checks).select(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("shards are missing or mixed up"))).alias("_whole"))
+    return rows.join(F.broadcast(seen)).where("_whole").drop("_whole")  # one row
 
 
 def tail_sum(bins: Column, start: int) -> Column:

@@ -187,10 +187,20 @@ def growth_spans(spark: SparkSession, d: str) -> DataFrame:
     return growth.spans(growth.grid(growth_parameters(spark, d)), ["run"], ["step"], "regime", "day").withColumn("span", F.col("span").cast("long"))
 
 
-@query("""select 0::bigint as faults""")
+_FAULTS = """count(*) filter (abs(output - least(installed, cap)) > 1e-9 * greatest(1, abs(output)) or abs(installed - alpha * mass) > 1e-9 * greatest(1, abs(installed)) or mass < seed - 1e-9 * greatest(1, seed)
+    or coalesce(mass < before - 1e-9 * greatest(1, before), false))::bigint"""
+
+
+@query(f"""with {_GRID}, a as (select run, s, seed, alpha, cap, mass, alpha * mass as installed, output from h), bad as (select run, s, seed, alpha, cap, case when run % 50 = 3 and s = 75 then mass / 2 else mass end as mass,
+    case when run % 50 = 4 and s = 20 then installed + 1 else installed end as installed, case when run % 50 = 5 and s >= 149 then output * 1.5 else output end as output from a)
+    select 'as computed' as side, {_FAULTS} as faults from (select *, lag(mass) over (partition by run order by s) as before from a) union all select 'with faults', {_FAULTS} from (select *, lag(mass) over (partition by run order by s) as before from bad)""")
 def invariants(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the growth grid that break what must hold."""
-    return growth.trace_faults(growth.grid(growth_parameters(spark, d))).agg(F.count(F.lit(1)).alias("faults"))
+    """Rows of the growth grid that break what must hold: as computed, and where some masses, capacities and outputs have been changed."""
+    g = growth.grid(growth_parameters(spark, d))
+    at = lambda k, s: (F.pmod("run", F.lit(50)) == k) & s
+    broken = g.withColumns({"mass": F.when(at(3, F.col("step") == 75), F.col("mass") / 2).otherwise(F.col("mass")), "installed": F.when(at(4, F.col("step") == 20), F.col("installed") + 1).otherwise(F.col("installed")), "output": F.when(at(5, F.col("step") >= 149), F.col("output") * 1.5).otherwise(F.col("output"))})
+    faults = lambda rows, side: growth.trace_faults(rows).agg(F.lit(side).alias("side"), F.count(F.lit(1)).alias("faults"))
+    return faults(g, "as computed").unionByName(faults(broken, "with faults"))
 
 
 @query("""with n as (select *, case when lag(event_type) over w is distinct from event_type and row_number() over w > 1 then 1 else 0 end as new from events window w as (partition by user_id order by ts, event_id)),
@@ -350,9 +360,8 @@ def plateau(spark: SparkSession, d: str) -> DataFrame:
 @query("""select l_linestatus, count(*) as n, round(sum(l_quantity), 4) as quantity from lineitem group by 1""")
 def shard_merge(spark: SparkSession, d: str) -> DataFrame:
     """Four shards put together again, with a check that none is missing."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linestatus", "l_quantity").withColumn("shard", F.pmod("l_orderkey", F.lit(4)).cast("int"))
-    shards = [paired.shard_rows(lines, "l_orderkey", 4, i) for i in range(4)]
-    whole = paired.merged(shards, "shard", 4)
+    lines = table(spark, d, "lineitem").select("l_linestatus", "l_quantity", F.pmod("l_orderkey", F.lit(4)).cast("int").alias("shard"))
+    whole = paired.merged(lines, "shard", 4)
     return whole.groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 4).alias("quantity"))
 
 

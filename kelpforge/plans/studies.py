@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kelpforge.functions import documents, random
-from kelpforge.operators import bom, graph, neighbours, resampling, surrogates
+from kelpforge.functions import documents, flight, random
+from kelpforge.operators import bom, graph, growth, neighbours, paired, resampling, surrogates, uncertainty
 from kelpforge.plans.catalogue import _U32, PARTS, lookers, parts_of_nations, query, rounded, stars
 from kelpforge.session import fresh_folder, table, with_checkpoints
 from kelpforge.sources.files import scenario_files
@@ -201,3 +201,76 @@ def shared_edges(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("key")).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     c = lines.join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("name")), "o_custkey").select("name", "key").distinct()
     return graph.neighbours_of(graph.linked_through(p, c, "key"))
+
+
+_RUNS = "k as (select user_id, ts, value, event_type, row_number() over (partition by user_id order by ts, event_id) as k, count(*) over (partition by user_id) as n from events)"
+_SHARES = (25, 50, 75, 90, 99, 100)
+
+
+@query(f"""with {_RUNS} select user_id, count(*) as n, count(*) filter (event_type = 'click') as launched, count(*) filter (event_type = 'view') as arrived, count(*) filter (event_type = 'error') as wasted,
+    {", ".join(f"arg_min(ts, k) filter (k * 100 >= n * {p}) as t{p}" for p in _SHARES)} from k group by user_id""")
+def run_records(spark: SparkSession, d: str) -> DataFrame:
+    """Users as runs: how many events of each kind, and when each share of them has passed."""
+    return paired.record(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "ts", _kinds(), _SHARES)
+
+
+def _kinds() -> dict:
+    return {name: F.col("event_type") == kind for name, kind in (("launched", "click"), ("arrived", "view"), ("wasted", "error"))}
+
+
+@query(f"""with r as (select user_id, count(*) as n, count(*) filter (event_type = 'error') as wasted from events group by 1), l as (select pow(2, floor(log2(1 + user_id)))::bigint as cap, median(wasted / n) as b from r group by 1),
+    p as (select min(case when (m.b - l.b) / l.b < 0.05 then l.cap end) as plateau from l left join l m on m.cap = 2 * l.cap) select cap, round(b, 9) as bounce_depth, round(b - lag(b) over (order by cap), 9) as delta, plateau from l, p""")
+def bounce_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """How many of a run's events are in vain (the median over runs), by the order of magnitude of the user; differences from rung to rung, and where it stops to grow."""
+    r = paired.record(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "ts", _kinds(), ()).withColumn("cap", F.pow(F.lit(2.0), F.floor(F.log2(1 + F.col("user_id")))))
+    ladder = paired.median_bounce_depth(r, ["cap"], "wasted", "n").withColumn("all", F.lit("all"))
+    found = paired.plateau_report(ladder, ["all"], "cap", "bounce_depth", 0.05)
+    return found.select(F.col("cap").cast("long").alias("cap"), F.round("bounce_depth", 9).alias("bounce_depth"), F.round("delta", 9).alias("delta"), F.col("plateau").cast("long").alias("plateau"))
+
+
+@query("""with e as (select user_id, ts, event_id, value / 100 as x, sqrt(value) as y, event_id % 7 / 1e0 as z from events), f as (select *, count(*) over w as settled, max(sqrt((x - 0.5) * (x - 0.5) + (y - 1) * (y - 1) + (z - 2) * (z - 2))) over w as front from e window w as (partition by user_id order by ts, event_id rows unbounded preceding))
+    select event_id, settled, round(front, 9) as front from f""")
+def front_radius(spark: SparkSession, d: str) -> DataFrame:
+    """Events as places that a run settles one after the other: how many so far, and the farthest from where it began."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("ts").alias("year"), F.col("event_id").alias("star"), (F.col("value") / 100).alias("x"), F.sqrt("value").alias("y"), (F.pmod("event_id", F.lit(7)) / 1).alias("z"))
+    return neighbours.settled_front(e, (0.5, 1.0, 2.0)).select(F.col("star").alias("event_id"), "settled", F.round("front", 9).alias("front"))
+
+
+@query(f"""with {_PLACES}, p as (select q.star as query, s.star, (q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y) + (q.z - s.z) * (q.z - s.z) as d2 from s q, s where q.star != s.star),
+    r as (select *, row_number() over (partition by query order by d2, star) as rank from p qualify rank <= 4), v as (select query, r.star, rank, s.star % 5 as speed from r join s on s.star = r.star) select query, star from v qualify row_number() over (partition by query order by speed desc, rank) = 1""")
+def fastest_target(spark: SparkSession, d: str) -> DataFrame:
+    """Of the four nearest places, the one that moves fastest."""
+    queries = lookers(spark, d).withColumn("year", F.lit(-1.0))
+    speeds = stars(spark, d).select("star", F.pmod("star", F.lit(5)).cast("double").alias("speed"))
+    return neighbours.fastest_of(neighbours.nearest(queries, stars(spark, d), 4), speeds)
+
+
+@query("""with h as (select user_id, list_transform(range(0, 8), lambda b: len(list_filter(v, lambda x: least(7, x // 10) = b))) as bins from (select user_id, list(value::bigint) as v from events group by 1)),
+    b as (select user_id % 4 as side, unnest(range(0, 8)) as bin, unnest(bins) as n from h), t as (select user_id % 4 as side, sum(list_sum(bins[4:])) as tail, count(*) filter (len(bins) > 0 and list_sum(bins) in (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024)) as even from h group by 1)
+    select side, bin, sum(n)::bigint as n, min(tail)::bigint as tail, min(even)::bigint as even from b join t using (side) group by side, bin""")
+def binned_tails(spark: SparkSession, d: str) -> DataFrame:
+    """Histograms of users' values, added up by side bin by bin; what lies from the fourth bin on, and how many users' counts are powers of two."""
+    v = F.least(F.lit(7).cast("long"), F.floor(F.round("value").cast("long") / 10))
+    e = table(spark, d, "events").groupBy("user_id").agg(F.array(*[F.count_if(v == b) for b in range(8)]).alias("bins")).withColumn("side", F.pmod("user_id", F.lit(4)))
+    n = F.aggregate("bins", F.lit(0).cast("long"), lambda a, x: a + x)
+    tails = e.groupBy("side").agg(F.sum(paired.tail_sum(F.col("bins"), 3)).alias("tail"), F.count_if(paired.power_of_two(n)).alias("even"))
+    return paired.summed_bins(e, ["side"], "bins").join(tails, "side").select("side", F.col("bin").cast("long").alias("bin"), "n", "tail", "even")
+
+
+@query("""select o_orderpriority, metric, round(value, 4) as value from (select o_orderpriority, count(*)::double as n, avg(o_totalprice) as mean, max(o_totalprice) as most from orders group by 1) unpivot (value for metric in (n, mean, most))""")
+def long_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of orders by priority, a row for each."""
+    o = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("o_totalprice").alias("mean"), F.max("o_totalprice").alias("most"))
+    return rounded(paired.unpivoted(o, ["o_orderpriority"], ["n", "mean", "most"]), 4)
+
+
+@query(f"""with c as (select c_nationkey, sum(case when local then l_quantity else 0 end) / sum(l_quantity) as closure, sum(case when local then l_quantity else 0 end) as loc, sum(case when local then l_quantity * l_extendedprice / 1e4 else 0 end) as energy from {PARTS} group by 1),
+    p as (select *, 20e0 / 1000 as alpha, 50e0 / 30 as resupply, case when loc > 0 then energy / loc else 'inf'::double end as kwh from c)
+    select c_nationkey, round(alpha, 6) as alpha, round(resupply, 6) as resupply, round(case when kwh > 0 then 400e0 * 24 / kwh else 'inf'::double end, 6) as energy_cap, round(case when closure >= 1 then 'inf'::double else resupply / (1 - closure) end, 6) as resupply_ceiling,
+    round(case when closure > 0 and alpha > 0 then ln(2) * closure / alpha end, 6) as doubling_days from p""")
+def prepared_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Nations' closures as parameters of growth."""
+    lines = parts_of_nations(spark, d).withColumn("kwh", F.col("l_extendedprice") / 1e4)
+    c = bom.closure(lines, ["c_nationkey"], "l_quantity", energy="kwh")
+    c = c.select("c_nationkey", "closure", "local", "local_energy", *[F.lit(v).alias(k) for k, v in {"seed": 1000.0, "rate": 20.0, "power_kw": 400.0, "resupply_mass": 50.0, "cadence": 30.0}.items()])
+    return rounded(growth.prepared(c).select("c_nationkey", "alpha", "resupply", "energy_cap", "resupply_ceiling", "doubling_days"))
