@@ -45,6 +45,7 @@ class Join:
     hot: int = 20_000
     crowd: int = 64
     block: int = 400_000
+    sets: int = 3000
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -305,9 +306,11 @@ def within_families(s: DataFrame, classes: DataFrame, docs: DataFrame, how: Join
             at = np.flatnonzero(ok)
             rep, root, side = (rows[c].to_numpy()[at] for c in ("_rep", "_root", "_side"))
             first, second = (at[side == 0], at[side == 1]) if rows["_lo"][0] != rows["_hi"][0] else (at, at)
-            if len(first) and len(second):
-                near = _linked([sets[i] for i in first], [sets[i] for i in second], how.percent)
-                yield _spanning(near, *(x[np.searchsorted(at, side_)] for side_ in (first, second) for x in (rep, root)))
+            for i in range(0, len(first), how.sets):
+                for j in range(i if first is second else 0, len(second), how.sets):  # so that matrices stay small, however short the texts are
+                    a, b = first[i : i + how.sets], second[j : j + how.sets]
+                    near = _linked([sets[k] for k in a], [sets[k] for k in b], how.percent)
+                    yield _spanning(near, *(x[np.searchsorted(at, some)] for some in (a, b) for x in (rep, root)))
 
     place = ["_family", "_lo", "_hi"]
     return m.repartition(*place).sortWithinPartitions(*place).mapInArrow(lean(link), "_a long, _b long")
@@ -340,8 +343,8 @@ def _linked(one: list[np.ndarray], other: list[np.ndarray], percent: int) -> np.
     flat, counts = np.unique(np.concatenate([*one, *other]), return_counts=True)
     often = flat[counts > 32]
     both = np.zeros((len(one), len(other)), np.float32)
-    for at in range(0, len(often), 4096):
-        some = often[at : at + 4096]
+    for at in range(0, len(often), 2048):
+        some = often[at : at + 2048]
         left, right = (np.stack([np.isin(some, s, assume_unique=True) for s in part]).astype(np.float32) for part in (one, other))
         both += left @ right.T
     few = flat[(counts <= 32) & (counts > 1)]
