@@ -87,13 +87,37 @@ def _url(text: str, at: int, floor: int) -> tuple[int, int, bool] | None:
     return at, end, "." in text[at:end]
 
 
+def routing(digits: str) -> bool:
+    """Check digit of a bank's routing number in the United States."""
+    return len(digits) == 9 and sum(int(d) * w for d, w in zip(digits, (3, 7, 1) * 3, strict=True)) % 10 == 0
+
+
+def social_security(digits: str) -> bool:
+    """Numbers that are given out in the United States: nine digits, no part all 0, and areas below 900 but 666."""
+    return len(digits) == 9 and digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+
+
+def nir(digits: str) -> bool:
+    """A French social security number, with its key or without."""
+    return len(digits) == 13 or len(digits) == 15 and 97 - int(digits[:13]) % 97 == int(digits[13:])
+
+
+#: What the digits behind some cues must fulfil; those behind other cues have no check digits, or several kinds of them.
+CHECKS: dict[str, Callable[[str], bool]] = {"iban": lambda digits: False, "routing number": routing, "ssn": social_security, "social security number": social_security, "numéro de sécurité sociale": nir}
+_LONGEST_CUE = max(map(len, CHECKS))
+
+
 def _account(text: str, at: int, floor: int) -> tuple[int, int, bool] | None:
     """at: just behind a cue."""
     start = _GAP.match(text, at).end()
     if (m := _IBAN.match(text, start)) and iban(m[0]):
         return start, m.end(), True
     m = _ACCOUNT.match(text, start)
-    return (start, m.end(), True) if m else None
+    if not m:
+        return None
+    cue = text[max(0, at - _LONGEST_CUE) : at].lower()
+    check = next((f for c, f in CHECKS.items() if cue.endswith(c)), None)
+    return start, m.end(), check is None or check("".join(filter(str.isdigit, m[0])))
 
 
 def _secret(text: str, at: int, floor: int) -> tuple[int, int, bool] | None:
