@@ -25,8 +25,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders made within each open scratch block, innermost last.
+_made: list[list[str]] = []
+
+
 def fresh_dir(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that operators write within the block are removed at its end, also where it fails. Results are read from them, so they must have been written elsewhere by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        paths = spark._jvm.org.apache.hadoop.fs.Path
+        for path in _made.pop():
+            p = paths(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
