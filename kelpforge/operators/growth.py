@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 INF = float("inf")
+# Names of regimes, as results have them.
 MATERIAL, ENERGY, RESUPPLY = "material-limited", "energy-limited", "resupply-limited"
 
 

@@ -163,3 +163,9 @@ def abstract_texts(spark: SparkSession, d: str) -> DataFrame:
     start = F.translate(F.substring("text", 1, 40), "{}\\~$%", "      ")
     tex = F.concat(F.lit("\\emph{"), start, F.lit("}~at 20{,}000 Per Cent,  5\\% of $x$ \n"), "text")
     return table(spark, d, "documents").select("doc_id", F.md5(text.normalised(tex)).alias("digest"))
+
+
+@query(f"""with {ARGUMENTS} select p_partkey, round(size * 7e9 / 1e9, 6) as ceiling, round(price * size / 7e9 * 1e6, 6) as years, round(size * {flight.electrolysis_kwh_per_kg_water()!r}::double, 6) as kwh from p""")
+def market_grid(spark: SparkSession, d: str) -> DataFrame:
+    """What a market takes over years, and the energy that splits water."""
+    return grid(spark, d, ceiling=flight.value_ceiling(F.col("size"), 7e9) / 1e9, years=flight.years_to_absorb(F.col("price") * F.col("size"), 7e9) * 1e6, kwh=F.col("size") * flight.electrolysis_kwh_per_kg_water())

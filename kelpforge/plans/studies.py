@@ -274,3 +274,15 @@ def prepared_runs(spark: SparkSession, d: str) -> DataFrame:
     c = bom.closure(lines, ["c_nationkey"], "l_quantity", energy="kwh")
     c = c.select("c_nationkey", "closure", "local", "local_energy", *[F.lit(v).alias(k) for k, v in {"seed": 1000.0, "rate": 20.0, "power_kw": 400.0, "resupply_mass": 50.0, "cadence": 30.0}.items()])
     return rounded(growth.prepared(c).select("c_nationkey", "alpha", "resupply", "energy_cap", "resupply_ceiling", "doubling_days"))
+
+
+@query(f"""with {_fit_sql("true")}, {_NAMED}, q as (select quantile_cont(paid, 0.5) as q50, quantile_cont(paid, 0.05) as q05, quantile_cont(paid, 0.95) as q95 from t),
+    i as (select unnest(['l_quantity', 'l_discount', 'p_size']) as input, unnest([1, 2, 3]) as n), h as (select input, sum(case when [k0, k1, k2][n] > 0 then c * c end) / (select sum(c * c) from coef where i > 1) as total from coef join named using (i), i group by input),
+    r as (select list(input order by total desc, input) as names, list(total order by total desc, input) as totals from h)
+    select printf('paid: %.3g USD (90 %% between %.3g and %.3g), driven by %s', q50, q05, q95, case when totals[1] - totals[2] < 0.1 then names[1] || ' and ' || names[2] else names[1] end) as sentence from q, r""")
+def paid_in_one_line(spark: SparkSession, d: str) -> DataFrame:
+    """What is paid, and the input that drives its spread, as a sentence."""
+    lines = priced_lines(spark, d)
+    found = surrogates.indices(surrogates.fit(lines, BASES, DEGREE, "paid").table(spark), list(BASES))
+    ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(F.col("total").desc(), "input")))  # a row per input
+    return uncertainty.in_one_line("paid", "USD", uncertainty.summary(lines, "paid"), ranked)
