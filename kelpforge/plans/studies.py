@@ -112,7 +112,8 @@ def loglog_slope(spark: SparkSession, d: str) -> DataFrame:
 def scenario_closure(spark: SparkSession, d: str) -> DataFrame:
     """Nations written as scenario files in YAML, a file each, and read again through the data source."""
     p = parts_of_nations(spark, d).groupBy("c_nationkey", "l_returnflag", "local").agg(F.sum("l_quantity").alias("mass"))
-    line = F.format_string("  - {name: '%s', mass_kg: %s, producible_locally: %s, processes: [a, b]}", "l_returnflag", F.col("mass").cast("string"), F.col("local").cast("string"))
+    mass = F.regexp_replace(F.col("mass").cast("string"), "E([0-9])", "E+$1")  # from 1e7 on; without a sign, YAML 1.1 takes it as text
+    line = F.format_string("  - {name: '%s', mass_kg: %s, producible_locally: %s, processes: [a, b]}", "l_returnflag", mass, F.col("local").cast("string"))
     text = F.concat(F.format_string("# made from orders\nname: nation %s\nsubsystems:\n", F.col("c_nationkey").cast("string")), F.array_join(F.array_sort(F.collect_list(line)), "\n"))  # a line per flag and side
     path = fresh_folder(spark, "scenarios")
     p.groupBy("c_nationkey").agg(text.alias("value")).write.partitionBy("c_nationkey").text(path)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +40,19 @@ def parsed(text: str, format: str) -> Any:
         return json.loads(text)
     import yaml  # needed for files of that format only
 
-    return yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+    return yaml.load(text, Loader=_loader())
+
+
+@lru_cache(None)
+def _loader() -> type:
+    """Safe, and numbers with an exponent are numbers as in JSON and YAML 1.2 (1E7, 1.5e7), which YAML 1.1 takes as text unless they have a point and a sign."""
+    import yaml
+
+    class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
+        pass
+
+    Loader.add_implicit_resolver("tag:yaml.org,2002:float", re.compile(r"^[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)[eE][-+]?[0-9]+$"), list("-+.0123456789"))
+    return Loader
 
 
 def _store(path: str):
