@@ -7,6 +7,8 @@ and then within the one or two buckets where the middle lies. Only the positions
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -20,23 +22,49 @@ from kelpforge.session import with_checkpoints
 CHUNK = 1 << 16
 
 
-def positioned(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """by, value, _c, _first, _n: each distinct value of a group, how often it occurs, how many smaller ones there are, and how many values. Nulls are left out.
-
-    Distinct values are dealt out by ranges and summed up within and over these, so that a group of any size takes many tasks.
-    """
+def _ranges(rows: DataFrame, by: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """by, value, _c, _part: distinct values and the range that each is in. And by, _part, _t, _start, _n: how many values a range has, how many the ranges before it, and how many all."""
     keys = [F.col(c) for c in by]
     counts = rows.where(F.col(value).isNotNull()).dropna(subset=list(by)).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     with_checkpoints(rows.sparkSession)
     placed = counts.repartitionByRange(*keys, F.col(value)).withColumn("_part", F.spark_partition_id()).checkpoint()
-    own = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*by, "_part").agg(F.sum("_c").alias("_t"))  # a row for each range that a group has a part in
-    starts = totals.select(*by, "_part", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_start"), F.sum("_t").over(Window.partitionBy(*by)).alias("_n"))
-    d = placed.withColumn("_first", F.coalesce(F.sum("_c").over(own), F.lit(0))).join(starts, [*by, "_part"])
+    return placed, totals.select(*by, "_part", "_t", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_start"), F.sum("_t").over(Window.partitionBy(*by)).alias("_n"))
+
+
+def positioned(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """by, value, _c, _first, _n: each distinct value of a group, how often it occurs, how many smaller ones there are, and how many values. Nulls are left out.
+
+    Distinct values are dealt out by ranges and summed up within and over these, so that a group of any size takes many tasks.
+    """
+    placed, starts = _ranges(rows, by, value)
+    own = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    d = placed.withColumn("_first", F.coalesce(F.sum("_c").over(own), F.lit(0))).join(starts.drop("_t"), [*by, "_part"])
     return d.select(*by, value, "_c", (F.col("_first") + F.col("_start")).alias("_first"), "_n")
 
 
+def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by and a column for each name: the values at these shares of n - 1, interpolated. Null values and groups are left out.
+
+    Distinct values are dealt out by ranges, of which only those where these places lie are put in order: no task holds all of a group's values.
+    """
+    placed, starts = _ranges(rows.select(*by, F.col(value).cast("double").alias("_v")), by, "_v")
+    places = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in shares.items()}
+    ends = {f"_{end}_{name}": f(place) for name, place in places.items() for end, f in (("low", F.floor), ("high", F.ceil))}
+    wanted = starts.where(reduce(or_, [_held(i, F.col("_start"), F.col("_t")) for i in ends.values()])).drop("_t").checkpoint()
+    own = Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    d = placed.join(F.broadcast(wanted) if wanted.count() <= 10_000 else wanted, [*by, "_part"])
+    d = d.withColumn("_first", F.col("_start") + F.coalesce(F.sum("_c").over(own), F.lit(0)))
+    d = d.groupBy(*by).agg(F.max("_n").alias("_n"), *[F.max(F.when(_held(i, F.col("_first"), F.col("_c")), F.col("_v"))).alias(name) for name, i in ends.items()])
+
+    def between(name: str) -> Column:
+        place, low, high = places[name], F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        return F.when(F.floor(place) == F.ceil(place), low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return d.select(*by, *[between(name).alias(name) for name in shares])
+
+
 def _chunks(groups: DataFrame, resamples: int) -> DataFrame:
     """_g, _n, _seed, _r, _k: a row for each chunk of draws."""
     d = groups.withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))

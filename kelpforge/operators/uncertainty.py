@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpforge.functions.random import Input, draw32, draws, halton, sobol, uniform
+from kelpforge.operators.resampling import quantiles
 
 Finding = Callable[[dict[str, Column]], Column]
 
@@ -21,12 +22,17 @@ def monte_carlo(spark: SparkSession, inputs: dict[str, Input], finding: Finding,
 
 
 def summary(rows: DataFrame, value: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
-    """n, mean, population sd, 5 %, 50 % and 95 % quantiles (interpolated), standard error; values that are not finite are an error."""
+    """n, mean, population sd, 5 %, 50 % and 95 % quantiles (interpolated), standard error; values that are not finite are an error.
+
+    Quantiles come from distinct values dealt out by ranges, so no task holds all values."""
     v = F.col(value)
     v = F.when(F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), F.raise_error(F.lit("a value is not finite"))).otherwise(v)
-    d = rows.withColumn("_v", v).groupBy(*by).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("sd"), F.percentile("_v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("_q"))
-    q = [F.col("_q")[i].alias(name) for i, name in enumerate(("q05", "q50", "q95"))]
-    return d.select(*by, "n", "mean", "sd", *q, F.try_divide(F.col("sd"), F.sqrt("n")).alias("stderr"))
+    d = rows.select(F.struct(*by).alias("_by") if by else F.lit(0).alias("_by"), v.alias("_v"))  # groups by null keys are groups too
+    found = (d.groupBy("_by") if by else d).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("sd"))
+    found = found if by else found.withColumn("_by", F.lit(0))  # a row even where there are no values
+    q = quantiles(d, ["_by"], "_v", {"q05": 0.05, "q50": 0.5, "q95": 0.95})
+    d = found.join(q, "_by", "left")
+    return d.select(*[F.col("_by")[c].alias(c) for c in by], "n", "mean", "sd", "q05", "q50", "q95", F.try_divide(F.col("sd"), F.sqrt("n")).alias("stderr"))
 
 
 def qmc_mean(spark: SparkSession, inputs: dict[str, Input], finding: Finding, n: int, seed: int, replicates: int = 16, sequence: str = "sobol", rows: DataFrame | None = None) -> DataFrame:
