@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from kelpforge.functions.random import Input
 from kelpforge.operators.uncertainty import Finding, monte_carlo
@@ -118,11 +119,17 @@ class Surrogate:
 
     def predicted(self, rows: DataFrame, name: str = "predicted") -> DataFrame:
         """rows with the surrogate's value; null where an input is."""
-        psi = {f"_psi{i}": basis.values(F.col(c).cast("double"), self.degree) for i, (c, basis) in enumerate(self.bases.items())}
-        terms = F.array(*[F.struct(F.lit(c).alias("c"), *[F.lit(k + 1).alias(f"a{i}") for i, k in enumerate(a)]) for a, c in zip(self.terms, self.coefficients, strict=True)])
-        term = lambda t: reduce(lambda v, i: v * F.element_at(f"_psi{i}", t[f"a{i}"]), range(len(self.bases)), t["c"])
-        value = F.aggregate(terms, F.lit(0.0), lambda total, t: total + term(t))
-        return rows.withColumns(psi).withColumn(name, value).drop(*psi)
+        terms, coefficients, degree, bases = self.terms, self.coefficients, self.degree, list(self.bases.values())
+
+        @F.arrow_udf(DoubleType())
+        def value(*x: pa.Array) -> pa.Array:
+            psi = [b.table(c.to_numpy(zero_copy_only=False), degree) for b, c in zip(bases, x, strict=True)]
+            total = np.zeros(len(x[0]))
+            for a, c in zip(terms, coefficients, strict=True):
+                total += reduce(lambda v, p: v * p[0][p[1]], zip(psi, a, strict=True), c)
+            return pa.array(total, mask=np.logical_or.reduce([c.is_null().to_numpy(zero_copy_only=False) for c in x]))
+
+        return rows.withColumn(name, value(*[F.col(c).cast("double") for c in self.bases]))
 
 
 def _triangle(rows: np.ndarray) -> np.ndarray:
