@@ -71,15 +71,21 @@ PRIMES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67
 
 
 def radical_inverse(i: Column, base: int) -> Column:
-    """Digits of i in the base, mirrored at the point."""
-    digits = int(np.ceil(63 * np.log(2) / np.log(base)))
-    start = F.struct(i.cast("long").alias("n"), F.lit(1.0).alias("f"), F.lit(0.0).alias("x"))
-
-    def step(s: Column, _: Column) -> Column:
-        f = s["f"] / float(base)
-        return F.struct(F.floor(s["n"] / base).cast("long").alias("n"), f.alias("f"), (s["x"] + F.pmod(s["n"], F.lit(base)) * f).alias("x"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(digits)), start, step, lambda s: s["x"])
+    """Digits of i in the base, mirrored at the point. As long as any index of a batch has digits left; at most as many as 63 bits have."""
+    most = int(np.ceil(63 * np.log(2) / np.log(base)))
+
+    @F.arrow_udf(DoubleType())
+    def mirrored(i: pa.Array) -> pa.Array:
+        n, f, x = i.fill_null(0).to_numpy(zero_copy_only=False), 1.0, np.zeros(len(i))
+        for _ in range(most):
+            if not n.any():
+                break
+            f /= base
+            n, digit = np.divmod(n, base)
+            x += digit * f
+        return pa.array(x, mask=i.is_null().to_numpy(zero_copy_only=False))
+
+    return mirrored(i.cast("long"))
 
 
 def halton(i: Column, dims: int) -> list[Column]:
