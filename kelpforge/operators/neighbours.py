@@ -66,8 +66,13 @@ def news_has_come(settled_year: Column, distance: Column, year: Column, instant:
 
 
 def nearest_within(queries: DataFrame, points: DataFrame, k: int, radius: float, side: float | None = None) -> DataFrame:
-    """As nearest, but only of points within the radius, by an equi-join on cells of its size. With a side, the box of that side repeats in all directions: cells are numbered modulo
-    the box, and one that is reached on both ways round is met once."""
+    """As nearest, but only of points within the radius. Where many lie within it, k are found in smaller cells, so that the work does not grow with their number."""
+    return nearest(queries, points, k, side=side, radius=radius)
+
+
+def _in_cells(queries: DataFrame, points: DataFrame, k: int, radius: float, side: float | None = None) -> DataFrame:
+    """The k nearest within the radius, by an equi-join on cells of its size. With a side, the box of that side repeats in all directions: cells are numbered modulo the box, and one
+    that is reached on both ways round is met once."""
     if side is None:
         size, cells, around = radius, None, [-1, 0, 1]
     else:
@@ -117,25 +122,34 @@ def spacing(n: int, spans: Sequence[float], k: int) -> float:
     return math.prod(wide) ** (1 / len(wide)) * (2 * k / (27 * max(1, n))) ** (1 / len(wide)) if wide else 1.0
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int = 1, cell: float | None = None, side: float | None = None, block: int = 2000) -> DataFrame:
+def _that_may_count(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """Of points at one place that were settled in one year, which are as far and as visible, the k lowest and as many more as a query excludes at most: no other can be among k."""
+    most = queries.agg(F.max(F.size("excluded"))).first()[0] or 0
+    w = Window.partitionBy("x", "y", "z", "settled_year").orderBy("star")
+    return points.withColumn("_of_place", F.row_number().over(w)).where(F.col("_of_place") <= k + max(0, most)).drop("_of_place")
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int = 1, cell: float | None = None, side: float | None = None, block: int = 2000, radius: float | None = None) -> DataFrame:
     """query, star, d2, rank: the k nearest points (ties: the lower star) that a query, in its year, does not believe settled and does not exclude.
 
     queries: query (one row each), x, y, z, year, instant, excluded (array). points: star, x, y, z, settled_year. With a side, distances go the shortest way round a box that repeats.
     All queries are searched for within a cell's size (by default, of a size that k and the points' density give); those that found fewer than k go on with twice the size, a job
-    each round. Queries that have not found k when a cell spans the field are tried against every point, in blocks.
+    each round. Queries that have not found k when a cell spans the field are tried against every point, in blocks. With a radius, only points within it count, and the last round
+    has cells of its size. Of copies at one place, as many are met as can matter.
     """
+    with_checkpoints(queries.sparkSession)
+    points = _that_may_count(queries, points, k).checkpoint()
     both = queries.select("x", "y", "z").unionByName(points.select("x", "y", "z"))
     if side is None:
-        span = both.where(~(F.isnan("x") | F.isnan("y") | F.isnan("z"))).agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
-        spans = [v or 0.0 for v in span]
+        span = both.where(~(F.isnan("x") | F.isnan("y") | F.isnan("z"))).agg(*[F.least(F.max(c) - F.min(c), 4 * F.stddev_pop(c)).alias(c) for c in "xyz"], *[(F.max(c) - F.min(c)).alias(f"{c}_all") for c in "xyz"]).first()
+        bulk, spans = [v or 0.0 for v in span[:3]], [v or 0.0 for v in span[3:]]  # far ones do not make cells large for the bulk
     else:
-        spans = [side] * 3
-    cell = spacing(points.count(), spans, k) if cell is None else cell
-    with_checkpoints(queries.sparkSession)
+        bulk = spans = [side] * 3
+    cell = spacing(points.count(), bulk, k) if cell is None else cell
     across = 1.001 * math.sqrt(sum(v**2 for v in spans)) if side is None else side / 3
     out, open_ = None, queries
-    while cell < across:
-        found = nearest_within(open_, points, k, cell, side).checkpoint()
+    while cell < (across if radius is None else radius):
+        found = _in_cells(open_, points, k, cell, side).checkpoint()
         full = found.where(F.col("rank") == k).select("query")
         done = found.join(full, "query", "left_semi")  # the others are searched for again
         out = done if out is None else out.unionByName(done)
@@ -143,7 +157,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, cell: float | Non
         if open_.isEmpty():
             return out
         cell *= 2
-    rest = _everywhere(open_, points, k, side, block)
+    rest = _everywhere(open_, points, k, side, block) if radius is None else _in_cells(open_, points, k, radius, side)
     return rest if out is None else out.unionByName(rest)
 
 
