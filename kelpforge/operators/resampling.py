@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from kelpforge.functions.random import draws32
 from kelpforge.session import with_checkpoints
 
-#: Draws made at a time.
+#: Draws made at a time, and draws of a resample that are counted together: what leaves a task grows with the root of a group's size, not with its draws.
 CHUNK = 1 << 16
+STRETCH = 1 << 23
 
 
 def _ranges(rows: DataFrame, by: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
@@ -65,15 +66,19 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str,
     return d.select(*by, *[between(name).alias(name) for name in shares])
 
 
-def _chunks(groups: DataFrame, resamples: int) -> DataFrame:
-    """_g, _n, _seed, _r, _k: a row for each chunk of draws."""
+def _stretches(groups: DataFrame, resamples: int) -> DataFrame:
+    """_g, _n, _seed, _r, _k: a row for each stretch of draws."""
     d = groups.withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
-    return d.withColumn("_k", F.explode(F.expr(f"sequence(0L, _n - 1, {CHUNK}L)"))).repartition("_g", "_r", "_k")
+    return d.withColumn("_k", F.explode(F.expr(f"sequence(0L, _n - 1, {STRETCH}L)"))).repartition("_g", "_r", "_k")
 
 
-def _drawn(n: int, seed: int, r: int, k: int) -> np.ndarray:
-    """Positions that draws k, k + 1, ... (of a chunk) of resample r fall on."""
-    return draws32(seed, r * n + np.arange(k, min(n, k + CHUNK))) % np.int64(n)
+def _drawn(n: int, seed: int, r: int, k: int) -> Iterator[np.ndarray]:
+    """Positions that draws k, k + 1, ... (of a stretch) of resample r fall on, a chunk at a time."""
+    end = min(n, k + STRETCH)
+    for at in range(k, end, CHUNK):
+        d = draws32(seed, r * n + np.arange(at, min(end, at + CHUNK)))
+        # draws are below 2**32. numpy divides by one number much faster than it takes remainders
+        yield d if n >> 32 else d - d // np.uint32(n) * np.uint32(n)
 
 
 class _Rows:
@@ -110,7 +115,9 @@ def middle(groups: DataFrame, resamples: int) -> DataFrame:
         for batch in batches:
             found = _Rows("_g", "_n", "_r", "_bucket", "_c")
             for g, n, seed, r, k in zip(*(batch[c].to_pylist() for c in ("_g", "_n", "_seed", "_r", "_k")), strict=True):
-                c = np.bincount(_drawn(n, seed, r, k) // _width(n))
+                c = np.zeros(-(-n // _width(n)), np.int64)
+                for drawn in _drawn(n, seed, r, k):
+                    c += np.bincount(drawn // np.uint32(_width(n)), minlength=len(c))
                 at = np.flatnonzero(c)
                 yield from found.add(g, n, r, at, c[at])
             yield from found.rest()
@@ -119,20 +126,27 @@ def middle(groups: DataFrame, resamples: int) -> DataFrame:
         for batch in batches:
             found = _Rows("_g", "_n", "_r", "_before", "_pos", "_c")
             for g, n, seed, r, k, wanted in zip(*(batch[c].to_pylist() for c in ("_g", "_n", "_seed", "_r", "_k", "_wanted")), strict=True):
-                drawn = _drawn(n, seed, r, k)
-                for w in wanted:
-                    at, c = np.unique(drawn[drawn // _width(n) == w["_bucket"]], return_counts=True)
-                    yield from found.add(g, n, r, w["_before"], at, c)
+                width = _width(n)
+                c = np.zeros((len(wanted), width), np.int64)
+                for drawn in _drawn(n, seed, r, k):
+                    for i, w in enumerate(wanted):
+                        first = w["_bucket"] * width
+                        here = drawn[(drawn >= first) & (drawn < first + width)]
+                        if len(here):
+                            c[i] += np.bincount(here.astype(np.int64) - first, minlength=width)
+                for w, some in zip(wanted, c, strict=True):
+                    at = np.flatnonzero(some)
+                    yield from found.add(g, n, r, w["_before"], w["_bucket"] * width + at, some[at])
             yield from found.rest()
 
     low, high = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
-    chunks = _chunks(groups, resamples)
-    d = chunks.mapInArrow(in_buckets, "_g long, _n long, _r long, _bucket long, _c long").groupBy("_g", "_n", "_r", "_bucket").agg(F.sum("_c").alias("_c"))
+    stretches = _stretches(groups, resamples)
+    d = stretches.mapInArrow(in_buckets, "_g long, _n long, _r long, _bucket long, _c long").groupBy("_g", "_n", "_r", "_bucket").agg(F.sum("_c").alias("_c"))
     order = Window.partitionBy("_g", "_r").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_before", F.coalesce(F.sum("_c").over(order), F.lit(0)))
     d = d.where(_held(low, F.col("_before"), F.col("_c")) | _held(high, F.col("_before"), F.col("_c")))
     wanted = d.groupBy("_g", "_r").agg(F.collect_list(F.struct("_bucket", "_before")).alias("_wanted")).checkpoint()  # one or two buckets
-    d = chunks.join(wanted, ["_g", "_r"]).mapInArrow(in_wanted, "_g long, _n long, _r long, _before long, _pos long, _c long")
+    d = stretches.join(wanted, ["_g", "_r"]).mapInArrow(in_wanted, "_g long, _n long, _r long, _before long, _pos long, _c long")
     d = d.groupBy("_g", "_n", "_r", "_before", "_pos").agg(F.sum("_c").alias("_c"))
     order = Window.partitionBy("_g", "_r", "_before").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(order), F.lit(0)))
